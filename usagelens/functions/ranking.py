@@ -89,50 +89,58 @@ def quantile_bucket(buckets: int, rank: str = "_rank", total: str = "_n") -> Col
     return F.coalesce(F.greatest(F.lit(1), steps), F.lit(1)).cast("int")
 
 
-def interpolated_quantiles(frame: DataFrame, column: str, probabilities: Sequence[float]) -> list[float]:
-    """Exact quantiles with linear interpolation between neighbours; a few numbers per call."""
-    values = frame.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL")
-    counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    ranked = global_rank_weighted(counted)
-    wanted = ranked.select(
-        "v",
-        F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(probabilities)])).alias("p"),
-        "_first",
-        "_last",
-        "_n",
-    ).withColumn("at", (F.col("_n") - 1) * F.col("p.q") + 1)
-    low, high = F.floor("at"), F.ceil("at")
-    covers = lambda k: (F.col("_first") <= k) & (k <= F.col("_last"))
-    rows = (
-        wanted.groupBy("p.i")
-        .agg(
-            F.max(F.when(covers(low), F.col("v"))).alias("lo"),
-            F.max(F.when(covers(high), F.col("v"))).alias("hi"),
-            F.max(F.col("at") - low).alias("w"),
-        )
-        .collect()  # one row per requested probability
-    )
-    return [row["lo"] + (row["hi"] - row["lo"]) * row["w"] for row in sorted(rows, key=lambda row: row["i"])]
-
+def interpolated_quantiles(
+    frame: DataFrame, columns: Sequence[str], probabilities: Sequence[float]
+) -> dict[str, list[float]]:
+    """Exact quantiles of several columns, interpolated linearly between neighbours.
 
-def global_rank_weighted(counted: DataFrame) -> DataFrame:
-    """First and last rank covered by each distinct value of a (v, c) count table."""
+    Equal values are counted first; the distinct values are ranked in ranges, all columns in
+    one pass. Only the requested numbers reach the driver.
+    """
+    values = frame.select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("name"), dbl(c).alias("v")) for c in columns])).alias("x")
+    ).select("x.*")
+    ranked = _covered_ranks(
+        values.where(F.col("v").isNotNull()).groupBy("name", "v").agg(F.count(F.lit(1)).alias("c"))
+    )
+    results = []
+    for i, q in enumerate(probabilities):
+        at = (F.col("_n") - 1) * F.lit(float(q)) + 1
+        for side, k in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            covered = (F.col("_first") <= k) & (k <= F.col("_last"))
+            results.append(F.max(F.when(covered, F.col("v"))).alias(f"{side}{i}"))
+        results.append(F.max(at - F.floor(at)).alias(f"w{i}"))
+    found = {row["name"]: row for row in ranked.groupBy("name").agg(*results).collect()}
+    return {
+        c: [
+            row[f"lo{i}"] + (row[f"hi{i}"] - row[f"lo{i}"]) * row[f"w{i}"]
+            for row in [found[c]]
+            for i in range(len(probabilities))
+        ]
+        for c in columns
+        if c in found
+    }
+
+
+def _covered_ranks(counted: DataFrame) -> DataFrame:
+    """First and last rank covered by each distinct value of a (name, v, c) count table."""
     ensure_checkpoint_dir(counted.sparkSession)
     placed = (
-        counted.repartitionByRange("v")
-        .withColumn("_part", F.spark_partition_id())
-        .checkpoint()
+        counted.repartitionByRange("name", "v").withColumn("_part", F.spark_partition_id()).checkpoint()
     )
-    sums = placed.groupBy("_part").agg(F.sum("c").alias("_rows"))
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sums = placed.groupBy("name", "_part").agg(F.sum("c").alias("_rows"))
+    whole = W.partitionBy("name")
     offsets = sums.select(
+        "name",
         "_part",
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
-        F.sum("_rows").over(W.partitionBy()).alias("_n"),
+        F.coalesce(
+            F.sum("_rows").over(whole.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
+        ).alias("_before"),
+        F.sum("_rows").over(whole).alias("_n"),
     )
-    inside = W.partitionBy("_part").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy("name", "_part").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
-        placed.join(F.broadcast(offsets), "_part")
+        placed.join(F.broadcast(offsets), ["name", "_part"])  # one row per range and column
         .withColumn("_last", F.col("_before") + F.sum("c").over(inside))
         .withColumn("_first", F.col("_last") - F.col("c") + 1)
     )
