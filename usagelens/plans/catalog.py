@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,8 +11,21 @@ from pyspark.sql import types as T
 
 from usagelens.functions import stats
 from usagelens.functions.columns import flag, months_between_starts, scalar
-from usagelens.operators import customers, models, pricing, reports, usage
-from usagelens.plans.mapping import EXPERIMENT_NAME, Tables
+from usagelens.operators import (
+    attempts,
+    customers,
+    filtered,
+    headline,
+    models,
+    pricing,
+    quality,
+    reports,
+    star,
+    usage,
+    whatif,
+)
+from usagelens.plans.mapping import EXPERIMENT_END, EXPERIMENT_NAME, EXPERIMENT_START, MODEL_NAMES, Tables
+from usagelens.sources import sinks, tables
 
 Query = Callable[[Tables], DataFrame]
 
@@ -118,4 +132,200 @@ PRICING: dict[str, Query] = {
     "p10_pricing_scenarios": lambda t: pricing.pricing_scenarios(t.customer_months, t.runs),
 }
 
-QUERIES: dict[str, Query] = {**REPORTS, **CUSTOMERS, **MODELS, **PRICING}
+FILTERED: dict[str, Query] = {
+    "d02_monthly_financials": lambda t: filtered.monthly_financials(t.customer_months, t.runs, t.customers),
+    "d03_run_success_rate": lambda t: filtered.run_success_rate(t.runs, t.customers),
+    "d04_nrr_average": lambda t: filtered.nrr_average(t.customer_months, t.customers),
+    "d05_cohort_retention_any": lambda t: filtered.cohort_retention_any(t.customer_months, t.customers),
+    "d06_activation_by_customer": lambda t: filtered.activation_by_customer(t.runs, t.customers),
+    "d07_channel_summary": lambda t: filtered.channel_summary(t.runs, t.customers),
+    "d08_model_task_success": lambda t: filtered.model_task_success(t.runs, t.customers),
+    "d09_cost_per_success": lambda t: filtered.cost_per_success(t.runs, t.customers),
+    "d10_migration_pairs_filtered": lambda t: filtered.migration_pairs(t.runs, t.customers),
+    "d11_executive_kpis": lambda t: filtered.executive_kpis(t.customer_months, t.runs, t.customers),
+    "d12_failure_tax": lambda t: filtered.failure_tax(t.runs, t.customers),
+    "d13_margin_by_plan_filtered": lambda t: filtered.margin_by_plan(t.customer_months, t.runs, t.customers),
+    "d14_cost_per_credit_by_task": lambda t: filtered.cost_per_credit_by_task(t.runs, t.customer_months, t.customers),
+    "d14_team_revenue_per_credit": lambda t: filtered.team_revenue_per_credit(t.customer_months, t.customers),
+    "d15_margin_deciles_filtered": lambda t: filtered.margin_deciles(t.customer_months, t.runs, t.customers),
+    "d15_margin_decile_summary": lambda t: filtered.margin_decile_summary(
+        filtered.margin_deciles(t.customer_months, t.runs, t.customers)
+    ),
+    "d16_experiment_conversion": lambda t: filtered.experiment_conversion(
+        t.experiment_assignments, t.customers, EXPERIMENT_NAME
+    ),
+    "d17_experiment_readout": lambda t: filtered.experiment_readout(
+        t.experiment_assignments, t.customers, EXPERIMENT_NAME
+    ),
+    "d18_simple_task_frontier_stats": lambda t: filtered.simple_task_frontier_stats(t.runs, t.customers),
+    "d19_routing_what_if": lambda t: filtered.routing_what_if(t.runs, t.customers),
+}
+
+
+def _baseline(t: Tables) -> DataFrame:
+    return whatif.simulator_baseline(
+        t.plans, t.customers, t.customer_months, t.runs, t.experiment_assignments, EXPERIMENT_NAME
+    )
+
+
+WHAT_IF: dict[str, Query] = {
+    "x01_workbook_monthly_kpis": lambda t: whatif.workbook_monthly_kpis(t.customer_months, t.runs),
+    "x02_workbook_plan_economics": lambda t: whatif.workbook_plan_economics(t.customer_months, t.runs),
+    "x03_workbook_model_task": lambda t: whatif.workbook_model_task(t.runs),
+    "x04_customer_summary": lambda t: whatif.customer_summary(t.customers, t.customer_months, t.runs),
+    "x05_customer_month_flat": lambda t: whatif.customer_month_flat(t.customer_months, t.runs, t.customers),
+    "x06_simulator_baseline": _baseline,
+    "x06_simulator_task_mix": lambda t: whatif.simulator_task_mix(t.plans, t.customer_months, t.runs),
+    "x07_pricing_what_if": lambda t: whatif.pricing_what_if(_baseline(t), {"Pro": 35.0}, 0.3, 0.02),
+    "x08_scenario_grid": lambda t: whatif.scenario_grid(_baseline(t)),
+}
+
+
+def _star(t: Tables) -> dict[str, DataFrame]:
+    return star.star_schema(t.customers, t.plans, t.models, t.customer_months, t.agent_runs)
+
+
+def _fact_runs(t: Tables) -> DataFrame:
+    return star.fact_agent_runs(
+        t.agent_runs, star.dim_customer(t.customers), star.dim_plan(t.plans), star.dim_model(t.models), star.dim_task(t.runs)
+    )
+
+
+def _monthly_measures(t: Tables) -> DataFrame:
+    customer_dim, plan_dim = star.dim_customer(t.customers), star.dim_plan(t.plans)
+    facts = star.fact_customer_month(t.customer_months, t.runs, customer_dim, plan_dim)
+    return star.star_monthly_measures(facts, plan_dim, customer_dim)
+
+
+STAR: dict[str, Query] = {
+    "s01_dim_customer": lambda t: star.dim_customer(t.customers),
+    "s02_dim_plan": lambda t: star.dim_plan(t.plans),
+    "s03_dim_model": lambda t: star.dim_model(t.models),
+    "s04_dim_task": lambda t: star.dim_task(t.runs),
+    "s05_dim_date": lambda t: star.dim_date(t.runs, t.customer_months, t.customers),
+    "s06_fact_agent_runs": _fact_runs,
+    "s07_fact_customer_month": lambda t: star.fact_customer_month(
+        t.customer_months, t.runs, star.dim_customer(t.customers), star.dim_plan(t.plans)
+    ),
+    "s08_star_monthly_measures": _monthly_measures,
+    "s08_star_run_measures": lambda t: star.star_run_measures(_fact_runs(t)),
+}
+
+
+def _price_table(t: Tables) -> DataFrame:
+    """Listed models plus the default row; the hosted model is unlisted and takes the default price."""
+    hosted = F.when(F.col("model") == "open-weights-hosted", "_default").otherwise(F.col("model"))
+    return t.models.withColumn("model", hosted)
+
+
+ATTEMPTS: dict[str, Query] = {
+    "b01_wilson_ci": lambda t: attempts.wilson_ci(t.attempts, ["model", "task_id"]),
+    "b02_pass_at_k": lambda t: attempts.pass_at_k(t.attempts, ["model"], 3),
+    "b03_benchmark_by_model": lambda t: attempts.by_model(t.attempts),
+    "b04_benchmark_by_model_task_type": lambda t: attempts.by_model_task_type(t.attempts),
+    "b05_contingency": lambda t: attempts.contingency(t.attempts),
+    "b05_outcome_chi2": lambda t: attempts.outcome_test(t.attempts),
+    "b06_test_pass_fraction": lambda t: attempts.test_pass_fraction(t.attempts),
+    "b07_error_breakdown": lambda t: attempts.error_breakdown(t.attempts),
+    "b08_benchmark_header": lambda t: attempts.header(t.attempts),
+    "b09_price_attempts": lambda t: attempts.price_attempts(t.attempts, _price_table(t))
+    .groupBy("model", "task_type")
+    .agg(F.sum("cost_usd").alias("cost_usd"), F.count(F.lit(1)).alias("n_attempts")),
+    "b10_extract_code": lambda t: attempts.extract_code(t.responses),
+    "b11_grade_status": lambda t: attempts.graded(t.attempts),
+}
+
+QUALITY: dict[str, Query] = {
+    "q01_q18_quality_report": lambda t: quality.quality_report(
+        t.customers,
+        t.runs,
+        t.customer_months,
+        t.experiment_assignments,
+        (EXPERIMENT_START, EXPERIMENT_END),
+        {"control": 29, "treatment": 39},
+    ),
+    "q19_star_quality": lambda t: quality.star_quality(
+        _star(t),
+        {
+            "dim_customer": t.customers,
+            "fact_agent_runs": t.runs,
+            "fact_customer_month": t.customer_months,
+        },
+    ),
+    "q20_dataset_summary": lambda t: quality.dataset_summary(
+        t.customers, t.runs, t.customer_months, t.experiment_assignments
+    ),
+}
+
+HEADLINE: dict[str, Query] = {
+    "m01_headline_growth": lambda t: headline.headline_growth(
+        REPORTS["r01_monthly_kpis"](t), REPORTS["r02_nrr_grr"](t)
+    ),
+    "m02_headline_margins": lambda t: headline.headline_margins(
+        PRICING["p01_margin_by_plan"](t), REPORTS["r07_migration_pairs"](t), REPORTS["r09_task_cost_per_credit"](t)
+    ),
+    "m03_headline_channels": lambda t: headline.headline_channels(REPORTS["r05_channel_performance"](t)),
+    "m04_activation_lift": lambda t: headline.activation_lift(CUSTOMERS["c02_activation_threshold"](t)),
+    "m05_strongest_driver": lambda t: headline.strongest_driver(CUSTOMERS["c05_hazard_odds_ratios"](t)),
+    "m06_headline_costs": lambda t: headline.headline_costs(
+        MODELS["l08_routing_savings"](t), REPORTS["r12_failure_cost"](t), REPORTS["r06_model_task_matrix"](t)
+    ),
+    "m07_scenario_best": lambda t: headline.scenario_best(PRICING["p10_pricing_scenarios"](t)),
+    "m08_retention_matrix": lambda t: headline.retention_matrix(REPORTS["r03_cohort_retention"](t), 19),
+    "m08_month_6_average": lambda t: headline.month_n_average(REPORTS["r03_cohort_retention"](t), 6),
+    "m08_month_3_average": lambda t: headline.month_n_average(
+        FILTERED["d05_cohort_retention_any"](t), 3, "retention"
+    ),
+    "m09_model_task_matrix_wide": lambda t: headline.model_task_wide(
+        REPORTS["r06_model_task_matrix"](t), MODEL_NAMES
+    ),
+    "m10_km_steps": lambda t: headline.km_steps(CUSTOMERS["c09_km_by_activation"](t)),
+    "m10_km_gap": lambda t: headline.km_gap(CUSTOMERS["c09_km_by_activation"](t)),
+    "m11_persona_minmax": lambda t: headline.persona_minmax(CUSTOMERS["c15_name_personas"](t)),
+    "m12_arm_wald_ci": lambda t: headline.arm_wald_ci(_experiment(t)),
+    "m13_outcome_by_activation": lambda t: headline.outcome_by_activation(
+        FILTERED["d06_activation_by_customer"](t)
+    ),
+    "m14_format_p": lambda t: headline.labelled_p_values(MODELS["l04_chi_square"](t)).select(
+        "degrees_of_freedom", "n_observations", "p_label"
+    ),
+}
+
+
+def _domain(t: Tables) -> dict[str, DataFrame]:
+    return {
+        "plans": t.plans,
+        "models": t.models,
+        "customers": t.customers,
+        "customer_months": t.customer_months,
+        "agent_runs": t.runs,
+        "experiment_assignments": t.experiment_assignments,
+    }
+
+
+def _table_sizes(t: Tables) -> DataFrame:
+    return reduce(
+        DataFrame.unionByName,
+        [f.agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("n_rows")) for n, f in _domain(t).items()],
+    )
+
+
+SOURCES: dict[str, Query] = {
+    "io1_table_sizes": _table_sizes,
+    "io6_sanitize_text": lambda t: sinks.sanitize_text(t.raw("documents").select("doc_id", "text", "source")),
+    "io7_filter_options": lambda t: tables.filter_options_frame(_domain(t)),
+}
+
+QUERIES: dict[str, Query] = {
+    **SOURCES,
+    **REPORTS,
+    **CUSTOMERS,
+    **MODELS,
+    **PRICING,
+    **FILTERED,
+    **WHAT_IF,
+    **STAR,
+    **ATTEMPTS,
+    **QUALITY,
+    **HEADLINE,
+}
