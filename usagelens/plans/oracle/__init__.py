@@ -1,6 +1,19 @@
 """Independent SQL for every registered query that SQL can express."""
 
 from usagelens.plans.oracle.analytics import CUSTOMERS, MODELS, PRICING
+from usagelens.plans.oracle.layers import ATTEMPTS, FILTERED, HEADLINE, QUALITY, SOURCES, STAR, WHAT_IF
 from usagelens.plans.oracle.reports import REPORTS
 
-ORACLE: dict[str, str] = {**REPORTS, **CUSTOMERS, **MODELS, **PRICING}
+ORACLE: dict[str, str] = {
+    **SOURCES,
+    **REPORTS,
+    **CUSTOMERS,
+    **MODELS,
+    **PRICING,
+    **FILTERED,
+    **WHAT_IF,
+    **STAR,
+    **ATTEMPTS,
+    **QUALITY,
+    **HEADLINE,
+}
