@@ -197,10 +197,22 @@ def _monthly_measures(t: Tables) -> DataFrame:
     return star.star_monthly_measures(facts, plan_dim, customer_dim)
 
 
+def _plan_usage(t: Tables) -> DataFrame:
+    """The plan dimension with the billing rows that point at each plan."""
+    used = t.customer_months.groupBy("plan").agg(F.count(F.lit(1)).alias("customer_months"))
+    return star.dim_plan(t.plans).join(used, "plan", "left")
+
+
+def _model_usage(t: Tables) -> DataFrame:
+    """The model dimension with the runs that point at each model."""
+    used = t.runs.groupBy("model").agg(F.count(F.lit(1)).alias("n_runs"))
+    return star.dim_model(t.models).join(used, "model", "left")
+
+
 STAR: dict[str, Query] = {
     "s01_dim_customer": lambda t: star.dim_customer(t.customers),
-    "s02_dim_plan": lambda t: star.dim_plan(t.plans),
-    "s03_dim_model": lambda t: star.dim_model(t.models),
+    "s02_dim_plan_usage": _plan_usage,
+    "s03_dim_model_usage": _model_usage,
     "s04_dim_task": lambda t: star.dim_task(t.runs),
     "s05_dim_date": lambda t: star.dim_date(t.runs, t.customer_months, t.customers),
     "s06_fact_agent_runs": _fact_runs,

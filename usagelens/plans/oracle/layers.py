@@ -290,14 +290,15 @@ STAR = {
             CAST(first_paid_date AS VARCHAR) AS first_paid_date, CAST(churn_date AS VARCHAR) AS churn_date FROM dc""",
         _DIMS,
     ),
-    "s02_dim_plan": with_mapping(
+    "s02_dim_plan_usage": with_mapping(
         """SELECT plan_key, plan, monthly_fee_usd::DOUBLE AS monthly_fee_usd, included_credits,
-                  overage_usd_per_credit::DOUBLE AS overage_usd_per_credit FROM dp""",
+                  overage_usd_per_credit::DOUBLE AS overage_usd_per_credit, n AS customer_months
+           FROM dp LEFT JOIN (SELECT plan, count(*) AS n FROM customer_months GROUP BY 1) USING (plan)""",
         _DIMS,
     ),
-    "s03_dim_model": with_mapping(
+    "s03_dim_model_usage": with_mapping(
         """SELECT model_key, model, usd_per_m_input::DOUBLE AS usd_per_m_input, usd_per_m_output::DOUBLE AS usd_per_m_output,
-                  sec_per_step FROM dm""",
+                  sec_per_step, n_runs FROM dm LEFT JOIN (SELECT model, count(*) AS n_runs FROM agent_runs GROUP BY 1) USING (model)""",
         _DIMS,
     ),
     "s04_dim_task": with_mapping("SELECT * FROM dt", _DIMS),
