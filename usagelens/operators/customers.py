@@ -137,9 +137,13 @@ HAZARD_NUMBERS = [
 def hazard_design(panel: DataFrame) -> tuple[DataFrame, list[str]]:
     """Feature vectors and their names; dummies leave out the alphabetically first label.
 
-    Constant numeric columns are left out: they are collinear with the intercept.
+    Constant numeric columns are left out: they are collinear with the intercept. A missing
+    category has no dummy set, which is the same as carrying the left-out label.
     """
-    spread = panel.agg(*[(F.max(c) > F.min(c)).alias(c) for c in HAZARD_NUMBERS]).first()
+    spread = panel.agg(
+        *[(F.max(c) > F.min(c)).alias(c) for c in HAZARD_NUMBERS], *[F.min(c).alias(c) for c in HAZARD_CATEGORIES]
+    ).first()
+    panel = panel.withColumns({c: F.coalesce(F.col(c), F.lit(spread[c])) for c in HAZARD_CATEGORIES})
     numbers = [c for c in HAZARD_NUMBERS if spread[c]]
     indexed = [f"{c}_index" for c in HAZARD_CATEGORIES]
     encoded = [f"{c}_dummies" for c in HAZARD_CATEGORIES]

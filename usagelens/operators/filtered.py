@@ -60,6 +60,16 @@ class Filters:
         month = F.col(month) if isinstance(month, str) else month
         return month.isin(*[dt.date.fromisoformat(m) for m in self.months]) if self.months else None
 
+    def run_month_predicate(self) -> Column | None:
+        """The month condition on runs, with a plain time range a scan can use to skip data."""
+        if not self.months:
+            return None
+        chosen = sorted(dt.date.fromisoformat(m) for m in self.months)
+        end = (chosen[-1].replace(day=28) + dt.timedelta(days=4)).replace(day=1)
+        at = F.col("started_at")
+        in_range = (at >= F.lit(chosen[0]).cast("timestamp_ntz")) & (at < F.lit(end).cast("timestamp_ntz"))
+        return in_range & self.month_predicate(_run_month())
+
     def plan_predicate(self, plan: str = "plan") -> Column | None:
         return F.col(plan).isin(*self.plans) if self.plans else None
 
@@ -82,8 +92,12 @@ def selected_customers(customers: DataFrame, filters: Filters) -> DataFrame:
 
 
 def of_selected(frame: DataFrame, customers: DataFrame, filters: Filters) -> DataFrame:
-    """Rows of selected (and known) customers."""
-    return frame.join(selected_customers(customers, filters).select("customer_id"), "customer_id", "left_semi")
+    """Rows of selected (and known) customers.
+
+    An inner join on the customer key: a semi join would be pushed below the aggregates that
+    feed it and would then shuffle single runs.
+    """
+    return frame.join(selected_customers(customers, filters).select("customer_id"), "customer_id")
 
 
 def run_totals(
@@ -141,7 +155,7 @@ def monthly_financials(
 
 def run_success_rate(runs: DataFrame, customers: DataFrame, filters: Filters = Filters()) -> DataFrame:
     """Success rate and volume per run month."""
-    restrict = [filters.month_predicate(_run_month()), filters.plan_predicate("plan_at_run")]
+    restrict = [filters.run_month_predicate(), filters.plan_predicate("plan_at_run")]
     totals = run_totals(runs, customers, filters, [_run_month().alias("month")], *restrict)
     return totals.select("month", ratio("ok", "n").alias("success_rate"), F.col("n").alias("n_runs"))
 
@@ -218,7 +232,7 @@ def channel_summary(runs: DataFrame, customers: DataFrame, filters: Filters = Fi
 
 def model_task_success(runs: DataFrame, customers: DataFrame, filters: Filters = Filters()) -> DataFrame:
     """Success rate, mean cost and volume by model and task."""
-    totals = run_totals(runs, customers, filters, ["model", "task_type"], filters.month_predicate(_run_month()))
+    totals = run_totals(runs, customers, filters, ["model", "task_type"], filters.run_month_predicate())
     return totals.select(
         "model",
         "task_type",

@@ -237,7 +237,7 @@ ATTEMPTS: dict[str, Query] = {
     "b04_benchmark_by_model_task_type": lambda t: attempts.by_model_task_type(t.attempts),
     "b05_contingency": lambda t: attempts.contingency(t.attempts),
     "b05_outcome_chi2": lambda t: attempts.outcome_test(t.attempts),
-    "b06_test_pass_fraction": lambda t: attempts.test_pass_fraction(t.attempts),
+    "b06_test_pass_fraction": lambda t: attempts.passed_test_fraction(t.attempts),
     "b07_error_breakdown": lambda t: attempts.error_breakdown(t.attempts),
     "b08_benchmark_header": lambda t: attempts.header(t.attempts),
     "b09_price_attempts": lambda t: attempts.price_attempts(t.attempts, _price_table(t))

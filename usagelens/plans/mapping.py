@@ -76,6 +76,7 @@ class Tables:
         return self.raw("orders").select(
             "o_orderkey",
             F.col("o_custkey").alias("custkey"),
+            self.customer_id(F.col("o_custkey")).alias("customer_id"),
             F.date_add(F.lit("2025-01-01").cast("date"), offset.cast("int")).alias("day"),
         )
 
@@ -100,6 +101,7 @@ class Tables:
             .withColumn("entry", entry)
             .withColumn("first_paid_date", F.when(F.col("entry") <= F.last_day("end_month"), F.col("entry")))
             .withColumn("is_sales_led", flag(key % 10 == 0))
+            .withColumn("customer_id", self.customer_id(key))
             .drop("entry", "last_month", "max_month")
         )
 
@@ -142,7 +144,7 @@ class Tables:
             self.lifecycles.join(self.raw("customer"), F.col("custkey") == F.col("c_custkey"))
             .join(regions, F.col("c_nationkey") == F.col("n_nationkey"))
             .select(
-                self.customer_id(F.col("custkey")).alias("customer_id"),
+                "customer_id",
                 F.col("c_name").alias("company_name"),
                 "signup_date",
                 F.col("c_mktsegment").alias("industry"),
@@ -161,7 +163,7 @@ class Tables:
     def experiment_assignments(self) -> DataFrame:
         treated = self.in_treatment(F.col("custkey"))
         return self.lifecycles.where(self.is_assigned()).select(
-            self.customer_id(F.col("custkey")).alias("customer_id"),
+            "customer_id",
             F.lit(EXPERIMENT_NAME).alias("experiment_name"),
             F.col("signup_date").alias("assigned_at"),
             F.when(treated, "treatment").otherwise("control").alias("variant"),
@@ -180,7 +182,7 @@ class Tables:
         )
         return (
             per_order.join(self.order_days, F.col("l_orderkey") == F.col("o_orderkey"))
-            .groupBy("custkey", F.trunc("day", "month").alias("month"))
+            .groupBy("customer_id", F.trunc("day", "month").alias("month"))
             .agg(F.sum("credits").alias("credits"))
         )
 
@@ -195,7 +197,7 @@ class Tables:
         treated_pro = (F.col("plan") == "Pro") & self.is_assigned() & self.in_treatment(F.col("custkey"))
         over = F.greatest(F.col("credits_used") - F.col("included_credits"), F.lit(0).cast("long"))
         return (
-            grid.join(self.credits_by_month, ["custkey", "month"], "left")
+            grid.join(self.credits_by_month, ["customer_id", "month"], "left")
             .join(self.plans, "plan")
             .withColumn("fee", F.when(treated_pro, F.lit(39).cast(MONEY)).otherwise(F.col("monthly_fee_usd")))
             .withColumn("credits_used", F.coalesce("credits", F.lit(0)))
@@ -206,7 +208,7 @@ class Tables:
                 .cast(MONEY),
             )
             .select(
-                self.customer_id(F.col("custkey")).alias("customer_id"),
+                "customer_id",
                 "month",
                 "plan",
                 F.col("fee").alias("monthly_fee_usd"),
@@ -261,7 +263,7 @@ class Tables:
                     F.lit("R"),
                     F.concat_ws("-", "l_orderkey", line, part, supp, F.round(price * 100).cast("long")),
                 ).alias("run_id"),
-                self.customer_id(F.col("custkey")).alias("customer_id"),
+                "customer_id",
                 (F.col("day").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), line)).alias("started_at"),
                 pick(TASK_NAMES, part % 6).alias("task_type"),
                 F.when(migrating, pick(MIGRATION_SOURCES, line % 3)).otherwise(language).alias("source_stack"),

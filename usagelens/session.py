@@ -25,6 +25,7 @@ def local_session(name: str, cpus: int | None = None) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.shuffle.partitions", str(cores))
     )
     for setting, value in SQL_SETTINGS.items():
