@@ -1,0 +1,21 @@
+"""Join sides whose size is checked before they are broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 10_000
+
+
+def broadcast_if_small(frame: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """A lookup table marked for broadcast when it has at most ``max_rows`` rows.
+
+    For lookups derived from a large table (distinct labels): their size is unknown to the
+    optimizer, and a shuffle join on a handful of labels would put the fact table into as many
+    tasks. A larger frame is returned as it is and joined by shuffle.
+    """
+    rows = frame.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return frame
+    return F.broadcast(frame.sparkSession.createDataFrame(rows, frame.schema))

@@ -165,13 +165,16 @@ def nrr_average(months: DataFrame, customers: DataFrame, filters: Filters = Filt
     rows = of_selected(_where(paid_only(months), filters.month_predicate()), customers, filters).select(
         "customer_id", "month", "revenue_usd"
     )
-    calendar = rows.select("month").distinct().withColumn("next_month", F.lead("month").over(W.orderBy("month")))
+    # the months present, as one sorted array: a join on month would put each month into one task
+    calendar = scalar(rows.agg(F.sort_array(F.collect_set("month")).alias("c")), "c")
+    position = F.array_position("calendar", F.col("month")).cast("int")
     timeline = W.partitionBy("customer_id").orderBy("month")
     pairs = (
         rows.withColumn("_then", F.lead("month").over(timeline))
         .withColumn("_later", F.lead("revenue_usd").over(timeline))
-        .join(calendar.where(F.col("next_month").isNotNull()), "month")
-        .where(F.col("revenue_usd") > 0)
+        .withColumn("calendar", calendar)
+        .withColumn("next_month", F.get("calendar", position))
+        .where(F.col("next_month").isNotNull() & (F.col("revenue_usd") > 0))
         .groupBy("month")
         .agg(
             ratio(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Leading characters a spreadsheet reads as the start of a formula.
-FORMULA_START = r"^[=+\-@\t\r]"
+FORMULA_STARTS = ["=", "+", "-", "@", "\t", "\r"]
 
 
 def sanitize_text(frame: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -18,7 +18,7 @@ def sanitize_text(frame: DataFrame, columns: Sequence[str] | None = None) -> Dat
     texts = {f.name for f in frame.schema.fields if isinstance(f.dataType, T.StringType)}
     chosen = [c for c in (columns if columns is not None else frame.columns) if c in texts]
     return frame.withColumns(
-        {c: F.when(F.col(c).rlike(FORMULA_START), F.concat(F.lit("'"), c)).otherwise(F.col(c)) for c in chosen}
+        {c: F.when(F.substring(c, 1, 1).isin(FORMULA_STARTS), F.concat(F.lit("'"), c)).otherwise(F.col(c)) for c in chosen}
     )
 
 
