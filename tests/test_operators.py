@@ -145,9 +145,11 @@ def test_most_common_plan_breaks_ties_by_name(make):
 
 def test_nearest_rank_latency(make):
     runs = make.runs(*[dict(customer_id="a", latency_sec=float(x)) for x in (5, 1, 1, 9, 3, 7, 2, 8, 4, 6)])
-    row = reports.nearest_rank_latency(runs, {"p50": 0.5, "p90": 0.9}).collect()[0]
+    untimed = make.runs(dict(customer_id="b", latency_sec=None))
+    row = reports.model_task_matrix(runs.unionByName(untimed)).collect()[0]
     ordered = sorted([5, 1, 1, 9, 3, 7, 2, 8, 4, 6])
-    assert row["p50"] == ordered[5] and row["p90"] == ordered[9]
+    assert row["p50_latency_sec"] == ordered[5] and row["p90_latency_sec"] == ordered[9]
+    assert row["n_runs"] == 11
 
 
 def test_group_without_success_has_no_cost_per_success(make):

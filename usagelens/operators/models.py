@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from usagelens.functions.columns import dbl, month_of, ratio, scalar, succeeded
+from usagelens.functions.columns import dbl, month_of, ratio, succeeded
 from usagelens.functions.stats import chi_square_statistic, chi_square_tail, student_t_two_sided
 from usagelens.operators.usage import average_cost, success_rate
 
@@ -173,25 +173,31 @@ def routing_policy(
 def routing_savings(runs: DataFrame, tolerance: float = ROUTING_TOLERANCE) -> DataFrame:
     """Current mix against the recommended model per task, scaled to month and year.
 
-    One aggregate per (task, model) feeds both sides; the current mix is its sum per task.
+    One aggregate per (task, model, month) feeds everything: the current mix is its sum per
+    task, the candidates its sum per model, the observed months its distinct months.
     """
     per_task = W.partitionBy("task_type")
-    counts = runs.groupBy("task_type", "model").agg(
+    monthly = runs.groupBy("task_type", "model", month_of("started_at").alias("month")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(succeeded()).alias("ok"), F.sum("llm_cost_usd").alias("cost")
     )
+    counts = (
+        monthly.withColumn("months", F.size(F.collect_set("month").over(W.partitionBy())))
+        .groupBy("task_type", "model")
+        .agg(*[F.sum(c).alias(c) for c in ("n", "ok", "cost")], F.max("months").alias("months"))
+    )
     rated = (
         counts.withColumn("rate", ratio("ok", "n"))
         .withColumn("avg_cost", ratio("cost", "n"))
         .withColumn("best", F.max("rate").over(per_task))
     )
     eligible = F.col("rate") >= F.col("best") - tolerance
-    observed_months = scalar(runs.agg(F.countDistinct(month_of("started_at")).alias("m")), "m")
     tasks = (
         rated.groupBy("task_type")
         .agg(
             ratio(F.sum("cost"), F.sum("n")).alias("current_avg_cost_usd"),
             ratio(F.sum("ok"), F.sum("n")).alias("current_success_rate"),
             F.sum("n").alias("n_runs"),
+            F.max("months").alias("months"),
             F.min(F.when(eligible, F.struct("avg_cost", "model", "rate"))).alias("c"),
         )
         .withColumn("recommended_model", F.col("c.model"))
@@ -208,9 +214,10 @@ def routing_savings(runs: DataFrame, tolerance: float = ROUTING_TOLERANCE) -> Da
         .withColumn(
             "success_rate_delta_pp", (F.col("recommended_success_rate") - F.col("current_success_rate")) * 100
         )
-        .withColumn("runs_per_month", ratio(F.col("n_runs"), observed_months))
+        .withColumn("runs_per_month", ratio("n_runs", "months"))
         .withColumn("monthly_dollar_impact_usd", delta * F.col("runs_per_month"))
         .withColumn("annual_dollar_impact_usd", F.col("monthly_dollar_impact_usd") * 12)
+        .drop("months")
     )
 
 

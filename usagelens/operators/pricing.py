@@ -269,15 +269,18 @@ def pricing_scenarios(
 
     With ``exclude_already_repriced`` the Pro increase skips customers of the treatment arm.
     """
-    paid = paid_only(months)
-    pro = paid.where(F.col("plan") == "Pro")
+    paid, pro = paid_only(months), F.col("plan") == "Pro"
     if exclude_already_repriced:
         if assignments is None:
             raise ValueError("exclude_already_repriced needs the experiment assignments")
-        repriced = assignments.where(F.col("variant") == "treatment").select("customer_id")
-        pro = pro.join(repriced, "customer_id", "left_anti")
-    pro_months = scalar(pro.agg(F.count(F.lit(1)).alias("n")), "n")
-    billed = paid.agg(F.sum("revenue_usd").alias("revenue"), F.sum("credits_used").alias("credits"))
+        repriced = assignments.where(F.col("variant") == "treatment").select("customer_id").distinct()
+        paid = paid.join(repriced.withColumn("_repriced", F.lit(True)), "customer_id", "left")
+        pro = pro & F.col("_repriced").isNull()
+    billed = paid.agg(
+        F.sum("revenue_usd").alias("revenue"),
+        F.sum("credits_used").alias("credits"),
+        F.count_if(pro).alias("pro_months"),
+    )
     per_task = runs.groupBy("task_type").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("llm_cost_usd").alias("cost"),
@@ -304,12 +307,7 @@ def pricing_scenarios(
         "route_simple_tasks_to_balanced_medium": (revenue, dbl("other_cost") + F.col("rerouted")),
         "pro_39": (revenue + F.col("pro_months") * pro_increase, cost),
     }
-    base = usage.select(
-        "*",
-        scalar(billed, "revenue").alias("revenue"),
-        scalar(billed, "credits").alias("credits"),
-        pro_months.alias("pro_months"),
-    )
+    base = usage.withColumn("b", scalar(billed.select(F.struct("*").alias("b")), "b")).select("*", "b.*")
     rows = base.select(
         F.explode(
             F.array(

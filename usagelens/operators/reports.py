@@ -183,43 +183,43 @@ def channel_performance(customers: DataFrame, months: DataFrame) -> DataFrame:
     ).withColumn("retention_rank", F.rank().over(W.orderBy(F.asc_nulls_first("paid_logo_churn_pct"))))
 
 
-def nearest_rank_latency(runs: DataFrame, quantiles: dict[str, float]) -> DataFrame:
-    """Latency at row trunc(q n) + 1 per (model, task), from counts of equal latencies.
+def model_task_matrix(runs: DataFrame) -> DataFrame:
+    """Outcome mix, cost and latency per model and task, from one scan.
 
-    The window runs over distinct latencies per group (0.1 s resolution), never over runs.
+    Runs are first counted per distinct latency (0.1 s resolution). The nearest-rank percentile
+    q, the latency at row trunc(q n) + 1, comes from running counts over those few rows, so no
+    group of runs is ever sorted.
     """
     keys = ["model", "task_type"]
-    counted = (
-        runs.where(F.col("latency_sec").isNotNull())
-        .groupBy(*keys, "latency_sec")
-        .agg(F.count(F.lit(1)).alias("c"))
+    sums = ["n_runs", "n_success", "n_partial", "n_failed", "cost", "cost_n", "tin", "tin_n", "tout", "tout_n"]
+    counted = runs.groupBy(*keys, "latency_sec").agg(
+        F.count(F.lit(1)).alias("n_runs"),
+        count_where(succeeded()).alias("n_success"),
+        count_where(F.col("status") == "partial").alias("n_partial"),
+        count_where(F.col("status") == "failed").alias("n_failed"),
+        F.sum("llm_cost_usd").alias("cost"),
+        F.count("llm_cost_usd").alias("cost_n"),
+        F.sum("input_tokens").alias("tin"),
+        F.count("input_tokens").alias("tin_n"),
+        F.sum("output_tokens").alias("tout"),
+        F.count("output_tokens").alias("tout_n"),
+        F.count("latency_sec").alias("timed"),
+    )
+    upto = W.partitionBy(*keys).orderBy("latency_sec").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = counted.withColumn("last", F.sum("timed").over(upto)).withColumn(
+        "n_timed", F.sum("timed").over(W.partitionBy(*keys))
     )
-    ordered = W.partitionBy(*keys).orderBy("latency_sec").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = counted.withColumn("last", F.sum("c").over(ordered)).withColumn("n", F.sum("c").over(W.partitionBy(*keys)))
 
-    def at(q: float):
-        wanted = F.floor(F.col("n") * q) + 1
+    def latency_at(q: float):
+        wanted = F.floor(F.col("n_timed") * q) + 1
         return F.min(F.when(F.col("last") >= wanted, F.col("latency_sec")))
 
-    return ranked.groupBy(*keys).agg(*[at(q).alias(name) for name, q in quantiles.items()])
-
-
-def model_task_matrix(runs: DataFrame) -> DataFrame:
-    """Outcome mix, cost and latency per model and task."""
-    keys = ["model", "task_type"]
-    n, cost = F.count(F.lit(1)), F.sum("llm_cost_usd")
-    totals = runs.groupBy(*keys).agg(
-        n.alias("n_runs"),
-        count_where(succeeded()).alias("n_success"),
-        count_where(F.col("status") == "partial").alias("n_partial"),
-        count_where(F.col("status") == "failed").alias("n_failed"),
-        cost.alias("total_llm_cost_usd"),
-        average_cost().alias("avg_llm_cost_usd"),
-        ratio(F.sum("input_tokens"), F.count("input_tokens")).alias("avg_input_tokens"),
-        ratio(F.sum("output_tokens"), F.count("output_tokens")).alias("avg_output_tokens"),
+    totals = ranked.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in sums],
+        latency_at(0.5).alias("p50_latency_sec"),
+        latency_at(0.9).alias("p90_latency_sec"),
     )
-    latency = nearest_rank_latency(runs, {"p50_latency_sec": 0.5, "p90_latency_sec": 0.9})
-    return totals.join(latency, keys).select(
+    return totals.select(
         *keys,
         "n_runs",
         "n_success",
@@ -228,11 +228,11 @@ def model_task_matrix(runs: DataFrame) -> DataFrame:
         pct("n_success", "n_runs").alias("success_pct"),
         pct("n_partial", "n_runs").alias("partial_pct"),
         pct("n_failed", "n_runs").alias("failed_pct"),
-        "avg_llm_cost_usd",
-        "total_llm_cost_usd",
-        ratio("total_llm_cost_usd", "n_success").alias("cost_per_success_usd"),
-        "avg_input_tokens",
-        "avg_output_tokens",
+        ratio("cost", "cost_n").alias("avg_llm_cost_usd"),
+        F.col("cost").alias("total_llm_cost_usd"),
+        ratio("cost", "n_success").alias("cost_per_success_usd"),
+        ratio("tin", "tin_n").alias("avg_input_tokens"),
+        ratio("tout", "tout_n").alias("avg_output_tokens"),
         "p50_latency_sec",
         "p90_latency_sec",
     )

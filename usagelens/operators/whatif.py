@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from usagelens.functions.columns import (
@@ -143,19 +144,35 @@ def _paid_plan_billing(months: DataFrame) -> DataFrame:
     )
 
 
+def _task_figures(runs: DataFrame, simple_tasks: Sequence[str]) -> DataFrame:
+    """One row from one scan: mean credits by task (a map of the few tasks) and the reduction factor.
+
+    The reduction is the relative saving of the balanced over the frontier model on simple tasks.
+    """
+    simple = F.col("task_type").isin(*simple_tasks)
+    cost = F.col("llm_cost_usd")
+    models = {"b": BALANCED_MODEL, "f": FRONTIER_MODEL}
+    per_task = runs.groupBy("task_type").agg(
+        ratio(F.sum("credits_charged"), F.count("credits_charged")).alias("avg_credits"),
+        *[F.sum(F.when(simple & (F.col("model") == m), cost)).alias(f"{k}_cost") for k, m in models.items()],
+        *[F.count_if(simple & (F.col("model") == m)).alias(f"{k}_runs") for k, m in models.items()],
+    )
+    balanced, frontier = (ratio(F.sum(f"{k}_cost"), F.sum(f"{k}_runs")) for k in models)
+    entries = F.collect_list(F.struct("task_type", "avg_credits"))
+    return per_task.agg(
+        F.map_from_entries(entries).alias("avg_credits"), (1 - F.try_divide(balanced, frontier)).alias("reduction")
+    ).select(F.struct("avg_credits", "reduction").alias("figures"))
+
+
 def simulator_task_mix(
     plans: DataFrame, months: DataFrame, runs: DataFrame, simple_tasks: Sequence[str] = SIMPLE_TASKS
 ) -> DataFrame:
     """X06, long part: mean runs per customer-month and mean credits by (paid plan, task)."""
-    tasks = runs.groupBy("task_type").agg(
-        ratio(F.sum("credits_charged"), F.count("credits_charged")).alias("avg_credits")
-    )
-    # every paid plan appears with every task: the task list of the data is attached to each plan
-    listed = tasks.agg(F.collect_list(F.struct("task_type", "avg_credits")).alias("t"))
+    # every paid plan appears with every task of the data
     grid = (
         plans.where(F.col("plan").isin(*PAID_PLANS))
-        .select("plan", F.explode(scalar(listed, "t")).alias("t"))
-        .select("plan", "t.task_type", "t.avg_credits")
+        .withColumn("figures", scalar(_task_figures(runs, simple_tasks), "figures"))
+        .select("plan", F.explode("figures.avg_credits").alias("task_type", "avg_credits"))
     )
     usage = _plan_task_usage(months, runs, simple_tasks).select("plan", "task_type", "n")
     return (
@@ -179,35 +196,34 @@ def simulator_baseline(
     experiment: str,
     simple_tasks: Sequence[str] = SIMPLE_TASKS,
 ) -> DataFrame:
-    """Every baseline figure the pricing model needs, one row per paid plan."""
+    """Every baseline figure the pricing model needs, one row per paid plan.
+
+    Runs are read twice (usage by plan, figures by task); all joins are between tables of a
+    few plans.
+    """
     active = (
         customers.where(F.col("status") == "active")
         .groupBy(F.col("current_plan").alias("plan"))
         .agg(F.count(F.lit(1)).alias("active_customers"))
     )
-    usage = (
-        _plan_task_usage(months, runs, simple_tasks)
-        .groupBy("plan")
-        .agg(F.sum("cost").alias("cost"), F.sum("frontier_cost").alias("frontier_cost"))
-    )
-    credits = simulator_task_mix(plans, months, runs, simple_tasks).groupBy("plan").agg(
-        F.sum(F.col("avg_runs") * F.col("avg_credits")).alias("credits_used")
-    )
-
-    def mean_cost(model: str) -> Column:
-        chosen = F.col("model") == model
-        return ratio(F.sum(F.when(chosen, F.col("llm_cost_usd"))), F.count_if(chosen))
-
-    reduction = runs.where(F.col("task_type").isin(*simple_tasks)).agg(
-        (1 - F.try_divide(mean_cost(BALANCED_MODEL), mean_cost(FRONTIER_MODEL))).alias("r")
+    usage = _plan_task_usage(months, runs, simple_tasks).groupBy("plan").agg(
+        F.sum("cost").alias("cost"),
+        F.sum("frontier_cost").alias("frontier_cost"),
+        F.collect_list(F.struct("task_type", "n")).alias("mix"),
     )
     elasticity = arc_elasticity(assigned_conversions(assignments, customers, experiment, min_days=0))
+    months_of_plan = F.coalesce("n_months", F.lit(1))
+    credits_used = F.aggregate(
+        F.coalesce("mix", F.array()),
+        F.lit(0.0),
+        lambda total, t: total + ratio(t["n"], months_of_plan) * F.element_at("figures.avg_credits", t["task_type"]),
+    )
     return (
         plans.where(F.col("plan").isin(*PAID_PLANS))
         .join(active, "plan", "left")
         .join(_paid_plan_billing(months), "plan", "left")
         .join(usage, "plan", "left")
-        .join(credits, "plan", "left")
+        .withColumn("figures", scalar(_task_figures(runs, simple_tasks), "figures"))
         .select(
             "plan",
             dbl("monthly_fee_usd").alias("price"),
@@ -216,8 +232,8 @@ def simulator_baseline(
             F.coalesce("active_customers", F.lit(0)).alias("active_customers"),
             ratio(F.coalesce("cost", F.lit(0)), "n_months").alias("avg_llm_cost"),
             ratio(F.coalesce("frontier_cost", F.lit(0)), "n_months").alias("avg_frontier_simple_cost"),
-            "credits_used",
-            scalar(reduction, "r").alias("reduction_factor"),
+            credits_used.alias("credits_used"),
+            F.col("figures.reduction").alias("reduction_factor"),
             scalar(elasticity, "arc_price_elasticity_of_conversion").alias("elasticity"),
             margin("revenue", F.coalesce("cost", F.lit(0))).alias("actual_margin"),
         )
@@ -308,5 +324,5 @@ def scenario_grid(baseline: DataFrame, scenarios: Mapping[str, Mapping] = SCENAR
         )
         .withColumn("margin", _margin_or_zero("total_revenue", "total_llm_cost"))
     )
-    first = scalar(totals.agg(F.min_by("margin", "position").alias("m")), "m")
+    first = F.first("margin").over(W.orderBy("position"))  # one row per scenario
     return totals.withColumn("delta_vs_status_quo_pp", (F.col("margin") - first) * 100)
