@@ -119,7 +119,7 @@ def survival_panel(months: DataFrame, customers: DataFrame, runs: DataFrame) ->
         .withColumn("churned_event", flag(F.col("is_last_row") & (F.col("status") == "churned")))
         .withColumn("tenure_months", tenure)
         .withColumn("tenure_months_sq", F.col("tenure_months") * F.col("tenure_months"))
-        .withColumn("log_monthly_runs", F.log1p("prior_month_n_runs"))
+        .withColumn("log_monthly_runs", F.ln(F.col("prior_month_n_runs") + 1))
     )
 
 
@@ -334,6 +334,12 @@ def _with_vectors(matrix: DataFrame) -> DataFrame:
     )
 
 
+def _concurrently(job, arguments: Sequence, parallelism: int = 8) -> list:
+    """Submit independent Spark jobs from a few driver threads."""
+    with ThreadPoolExecutor(parallelism) as pool:
+        return list(pool.map(inheritable_thread_target(job), arguments))
+
+
 def fit_clusters(vectors: DataFrame, ks: Sequence[int], restarts: int = RESTARTS, parallelism: int = 8) -> dict:
     """Best of ``restarts`` k-means models per k. Independent fits are submitted concurrently."""
 
@@ -342,21 +348,20 @@ def fit_clusters(vectors: DataFrame, ks: Sequence[int], restarts: int = RESTARTS
         model = KMeans(k=k, seed=seed, maxIter=300).fit(vectors)
         return k, model.summary.trainingCost, seed, model
 
-    jobs = [(k, 42 + r) for k in ks for r in range(restarts)]
-    with ThreadPoolExecutor(parallelism) as pool:
-        fits = list(pool.map(inheritable_thread_target(fit), jobs))
+    fits = _concurrently(fit, [(k, 42 + r) for k in ks for r in range(restarts)], parallelism)
     return {k: min((f for f in fits if f[0] == k), key=lambda f: (f[1], f[2]))[3] for k in ks}
 
 
 def choose_k(vectors: DataFrame, models: dict) -> DataFrame:
     """Silhouette (squared Euclidean) and cluster sizes for each k."""
-    evaluator = ClusteringEvaluator()
-    rows = []
-    for k, model in models.items():
-        sizes = [int(s) for s in model.summary.clusterSizes]
+
+    def assess(k: int):
+        sizes = [int(s) for s in models[k].summary.clusterSizes]
         share = min(sizes) / sum(sizes)
-        score = evaluator.evaluate(model.transform(vectors))
-        rows.append((k, score, ",".join(map(str, sizes)), share, share >= MIN_CLUSTER_SHARE))
+        score = ClusteringEvaluator().evaluate(models[k].transform(vectors))
+        return k, score, ",".join(map(str, sizes)), share, share >= MIN_CLUSTER_SHARE
+
+    rows = _concurrently(assess, list(models))
     return vectors.sparkSession.createDataFrame(
         rows,
         "k int, silhouette_score double, cluster_sizes string, smallest_cluster_share double, "

@@ -1,19 +1,19 @@
 """The six domain tables (plus attempts and responses) derived from the order tables.
 
 ``Tables`` is lazy: each property declares a plan, so a query scans only the tables and
-columns it uses. Nothing is cached or collected.
+columns it uses. Nothing is cached; the one value read up front is the last month of the data.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from usagelens.functions.columns import flag, literal_frame, scalar
+from usagelens.functions.columns import flag, literal_frame
 from usagelens.schemas import FREE, MONEY, RUN_COST
 
 # Fixed values of the mapping.
@@ -80,10 +80,14 @@ class Tables:
             F.date_add(F.lit("2025-01-01").cast("date"), offset.cast("int")).alias("day"),
         )
 
+    @cached_property
+    def newest_month(self) -> dt.date | None:
+        """Last month of the window. As a literal it keeps an orders scan out of every other plan."""
+        return self.order_days.agg(F.trunc(F.max("day"), "month")).first()[0]
+
     @cached_property
     def lifecycles(self) -> DataFrame:
         """One row per customer with orders: signup, end, first paid month. Needs orders only."""
-        newest = scalar(self.order_days.agg(F.trunc(F.max("day"), "month").alias("m")), "m")
         spans = self.order_days.groupBy("custkey").agg(
             F.min("day").alias("signup_date"),
             F.trunc(F.max("day"), "month").alias("last_month"),
@@ -95,7 +99,7 @@ class Tables:
             .when(lag != 0, F.add_months(F.trunc("signup_date", "month"), lag.cast("int")))
         )
         return (
-            spans.withColumn("max_month", newest)
+            spans.withColumn("max_month", F.lit(self.newest_month))
             .withColumn("churned", F.col("last_month") < F.add_months("max_month", -CHURN_GRACE_MONTHS))
             .withColumn("end_month", F.when(F.col("churned"), F.col("last_month")).otherwise(F.col("max_month")))
             .withColumn("entry", entry)
