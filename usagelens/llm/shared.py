@@ -62,3 +62,23 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
     members = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return members.union(current.select("b", "b").distinct())
+
+
+def store(path: str):
+    """The pyarrow file system and the path in it for a folder of the shared storage, local or remote."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}" if path.startswith("/") else path.replace("file:", "file://", 1))
+
+
+def publish(files, temporary: str, final: str) -> None:
+    """Give a finished file its final name; a repeated task replaces it by an equal one."""
+    from pyarrow import fs
+
+    try:
+        files.move(temporary, final)
+    except OSError:
+        if files.get_file_info(final).type == fs.FileType.NotFound:
+            raise
+        files.delete_file(final)
+        files.move(temporary, final)
