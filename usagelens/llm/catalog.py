@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from usagelens.llm import simhash
+from usagelens.llm import decontamination, sharding, simhash, tokens, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sharding": sharding.op2_sharding,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_tokens": tokens.op4_tokens,
+    "op6_warc": warc.op6_warc,
+    "op8_decontamination": decontamination.op8_decontamination,
     "op9_simhash": simhash.op9_simhash,
+    "op10_topk": topk.op10_topk,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_warc": warc.ORACLE,
+    "op10_topk": topk.ORACLE,
+}
