@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from usagelens.llm import decontamination, sharding, simhash, tokens, topk, toxicity, warc
+from usagelens.llm import decontamination, mixing, pii, sharding, simhash, tokens, topk, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": pii.op1_pii,
     "op2_sharding": sharding.op2_sharding,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_tokens": tokens.op4_tokens,
+    "op5_urls": urls.op5_urls,
     "op6_warc": warc.op6_warc,
+    "op7_mixing": mixing.op7_mixing,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_simhash": simhash.op9_simhash,
     "op10_topk": topk.op10_topk,

@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from usagelens.llm.shared import components, stored, table
 
@@ -220,5 +221,48 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, radius: int = RADI
     )
 
 
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """The rows of ``documents``, all columns as they are, that stand for their component: those with its smallest id.
+
+    Of rows that repeat an id within a component one stays; in components without any id one row of each fingerprint.
+    """
+    found = near_duplicates(documents)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = stored(
+        first.groupBy("doc_id", "fingerprint").agg(F.count(F.lit(1)).alias("n"), F.max("component_id").alias("component_id"))
+        .groupBy("doc_id", "component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("own_print"))
+        .agg(F.min("fingerprint").alias("kept_print"), F.sum("n").alias("n"))
+        .select(F.col("doc_id").alias("kept_id"), "kept_print", "n"),
+        "kept",
+    )
+    once, more = kept.where("n = 1 AND kept_id IS NOT NULL"), kept.where("n > 1 OR kept_id IS NULL")
+    own = documents["doc_id"].cast("long")
+    rows = documents.join(once, own == once["kept_id"], "left_semi")
+    if more.isEmpty():
+        return rows
+    # repeated or missing ids: told apart by their fingerprints, one row for each
+    repeated = documents.join(more, own.eqNullSafe(more["kept_id"]), "left_semi").select(F.struct("*").alias("row"))
+    printed = fingerprints_beside(repeated)
+    return rows.unionAll(
+        printed.join(more, F.col("row.doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.col("print") == F.col("kept_print")), "left_semi")
+        .groupBy(F.col("row.doc_id").alias("k"), "print").agg(F.any_value("row").alias("row")).select("row.*")
+    )
+
+
+def fingerprints_beside(rows: DataFrame) -> DataFrame:
+    """Add ``print`` (hexadecimal) to a frame with a struct ``row`` that has a text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).field("text")
+            prints = [f"{fingerprint((t.as_py() or '').encode()):016x}" for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, type=pa.string())], names=["row", "print"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("print", StringType())]))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return one_of_each(docs)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
