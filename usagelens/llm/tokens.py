@@ -16,10 +16,12 @@ manifest (Parquet, one row per part) is written last, and only parts it lists co
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -35,7 +37,9 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 LENGTH = 2048
 BATCH = 256
-CACHE = 1_000_000
+CACHE, KEPT = 250_000, 60_000
+TOGETHER = 512
+ROWS = 64
 
 #: What the vocabulary's pre-tokenizer does, for texts of Latin letters only: a piece never depends on its neighbours.
 _LATIN = [chr(c) for c in range(0x20, 0x250) if unicodedata.category(chr(c))[0] in "LNPSZ" and c != 0xA0] + ["\t", "\n", "\r"]
@@ -43,6 +47,7 @@ _class = lambda kind: "".join(re.escape(c) for c in _LATIN if unicodedata.catego
 _PIECES = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_class('L')}]+| ?[{_class('N')}]+| ?[^\\s{_class('LN')}]+|\\s+(?!\\S)|\\s+"
 )
+_WORD = re.compile(f" [{_class('L')}]+")  # next to another such piece, still a piece of its own
 _OTHER = re.compile(f"[^{''.join(re.escape(c) for c in _LATIN)}]")
 
 
@@ -50,11 +55,13 @@ class Encoder:
     """Ids of whole texts by the tokenizers library, as little-endian bytes.
 
     The library splits a text into pieces and encodes each by itself, so the ids of a piece are remembered (at most
-    ``CACHE`` pieces) and only new pieces are encoded. A text with a character outside the Latin range, or with the
-    text of a special token, goes through the library as a whole.
+    ``CACHE`` between calls; of these the first ``KEPT``, most of them common, outlive a clean-up) and only new pieces are
+    encoded, words up to ``TOGETHER`` in one call. A text with a character outside the Latin range, or with the text of
+    a special token, goes through the library as a whole.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -67,19 +74,29 @@ class Encoder:
             for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         ]
 
-    def encode(self, text: str) -> bytes:
-        if _OTHER.search(text) or self.special and self.special.search(text):
-            return self._direct([text])[0]
-        pieces, known = _PIECES.findall(text), self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            new = [p for p in dict.fromkeys(pieces) if p not in known]
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(dict.fromkeys(pieces))
-            known.update(zip(new, self._direct(new)))
-            return b"".join([known[p] for p in pieces])
+    def _learn(self, pieces: list[str]) -> None:
+        words = [p for p in pieces if _WORD.fullmatch(p)]
+        rest = [p for p in pieces if not _WORD.fullmatch(p)]
+        for k in range(0, len(words), TOGETHER):
+            part = words[k : k + TOGETHER]
+            found = self.tokenizer.encode("".join(part), add_special_tokens=False)
+            of, ids = np.array(found.word_ids), np.array(found.ids, dtype=self.kind)
+            ends = np.searchsorted(of, np.arange(len(part)), side="right")
+            raw, size = ids.tobytes(), self.kind.itemsize
+            self.known.update((p, raw[size * a : size * b]) for p, a, b in zip(part, [0, *ends[:-1]], ends))
+        if rest:
+            self.known.update(zip(rest, self._direct(rest)))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        plain = [not (_OTHER.search(t) or self.special and self.special.search(t)) for t in texts]
+        pieces = [_PIECES.findall(t) if p else [] for t, p in zip(texts, plain)]
+        if len(self.known) > CACHE:
+            self.known = dict(islice(self.known.items(), KEPT))
+        known = self.known
+        self._learn(sorted(set().union(*(set(found).difference(known) for found in pieces))))
+        return [
+            b"".join(map(known.__getitem__, found)) if p else self._direct([t])[0] for t, p, found in zip(texts, plain, pieces)
+        ]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -158,9 +175,11 @@ def write_tokens(documents: DataFrame, folder: str, vocabulary: str = VOCABULARY
         context, writer, encode = TaskContext.get(), None, encoder(path)
         end = np.array([END_ID], dtype=encode.kind).tobytes()
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for k in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(k, ROWS)
                 writer = writer or PartWriter(folder, context.partitionId(), encode.kind, context.taskAttemptId())
-                writer.add(doc_id, encode.encode(text.as_py() or "") + end)
+                for doc_id, ids in zip(rows.column(0).to_pylist(), encode.encode([t or "" for t in rows.column(1).to_pylist()])):
+                    writer.add(doc_id, ids + end)
         if writer:
             writer.close()
             yield pa.RecordBatch.from_pylist(
@@ -238,5 +257,9 @@ def encode_documents(documents: DataFrame) -> DataFrame:
     return read_tokens(write_tokens(documents, folder), folder)
 
 
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return encode_documents(docs)
+
+
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
