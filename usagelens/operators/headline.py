@@ -172,11 +172,10 @@ def scenario_best(scenarios: DataFrame) -> DataFrame:
     )
 
 
-def retention_matrix(retention: DataFrame, horizon: int, value: str = "retention_pct") -> DataFrame:
-    """M08 from R03 or D05: cohort by months since signup, months 0..horizon as columns m0, m1, ..."""
-    return retention.groupBy("cohort_month").agg(
-        *[F.max(F.when(F.col("months_since_signup") == k, F.col(value))).alias(f"m{k}") for k in range(horizon + 1)]
-    )
+def retention_matrix(retention: DataFrame, value: str = "retention_pct") -> DataFrame:
+    """M08 from R03 or D05: cohort by months since signup, a column m0, m1, ... for every month that occurs."""
+    month = F.concat(F.lit("m"), F.col("months_since_signup").cast("string"))
+    return retention.withColumn("column", month).groupBy("cohort_month").pivot("column").agg(F.max(value))
 
 
 def month_n_average(retention: DataFrame, month: int, value: str = "retention_pct") -> DataFrame:
@@ -186,9 +185,9 @@ def month_n_average(retention: DataFrame, month: int, value: str = "retention_pc
     )
 
 
-def model_task_wide(matrix: DataFrame, models: Sequence[str], value: str = "success_pct") -> DataFrame:
-    """M09 from R06: one row per task, one column per model, and the spread between them."""
-    wide = matrix.groupBy("task_type").pivot("model", list(models)).agg(F.max(value))
+def model_task_wide(matrix: DataFrame, value: str = "success_pct") -> DataFrame:
+    """M09 from R06: one row per task, one column for every model that occurs, and the spread between them."""
+    wide = matrix.groupBy("task_type").pivot("model").agg(F.max(value))
     spread = matrix.groupBy("task_type").agg((F.max(value) - F.min(value)).alias("spread_pp"))
     widest = F.max("spread_pp").over(W.partitionBy())
     return wide.join(spread.withColumn("is_widest", F.col("spread_pp") == widest), "task_type")

@@ -47,10 +47,35 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def run_bounds(runs: DataFrame) -> DataFrame:
-    """First and last run per customer: what the signup and churn rules need of the run table."""
-    return runs.groupBy("customer_id").agg(
-        F.min("started_at").alias("first_run"), F.max("started_at").alias("last_run")
+def _not_proven(good: Column) -> Column:
+    """A rule is broken unless its condition is true: a missing value proves nothing."""
+    return ~F.coalesce(good, F.lit(False))
+
+
+def lifecycle_faults(runs: DataFrame, customers: DataFrame) -> DataFrame:
+    """Q13, Q14: runs before signup or after churn, and runs whose time or signup is missing.
+
+    Bounds per customer show who may have such runs; only their runs are joined one by one.
+    """
+    dates = customers.select("customer_id", "signup_date", "churn_date")
+    bounds = runs.groupBy("customer_id").agg(
+        F.min("started_at").alias("first_run"), F.max("started_at").alias("last_run"),
+        F.count_if(F.col("started_at").isNull()).alias("untimed"),
+    )
+    # the churn date is the last active day, so one day of slack from its midnight
+    last_moment = F.date_add("churn_date", 1).cast("timestamp_ntz")
+    in_time = F.col("churn_date").isNull() | (F.col("last_run") <= last_moment)
+    suspects = bounds.join(dates, "customer_id").where(
+        (F.col("untimed") > 0) | _not_proven(F.to_date("first_run") >= F.col("signup_date")) | _not_proven(in_time)
+    )
+    theirs = runs.select("customer_id", "started_at").join(suspects.drop("first_run", "last_run", "untimed"), "customer_id")
+    before_churn = F.when(F.col("churn_date").isNull(), F.col("started_at").isNotNull()).otherwise(F.col("started_at") <= last_moment)
+    return _rows_where(
+        theirs,
+        {
+            "q13_runs_not_before_signup": _not_proven(F.to_date("started_at") >= F.col("signup_date")),
+            "q14_runs_not_after_churn": _not_proven(before_churn),
+        },
     )
 
 
@@ -62,39 +87,34 @@ def quality_report(
     window: tuple[str, str],
     prices: Mapping[str, int],
 ) -> DataFrame:
-    """Q01-Q18. Key rules count distinct offending keys, lifecycle rules count customers, others count rows."""
-    any_negative = lambda columns: reduce(lambda a, b: a | b, [F.col(c) < 0 for c in columns])
-    tests_bad = (F.col("tests_passed") < 0) | (F.col("tests_passed") > F.col("tests_total"))
+    """Q01-Q18. Key rules count distinct offending keys, others count rows; what is not proven good is counted.
+
+    A missing rating is allowed, and the revenue sum skips missing amounts.
+    """
+    no_negative = lambda columns: reduce(lambda a, b: a & b, [F.col(c) >= 0 for c in columns])
+    tests_good = (F.col("tests_passed") >= 0) & (F.col("tests_passed") <= F.col("tests_total"))
     run_rules = _rows_where(
         runs,
         {
-            "q07_run_measures_non_negative": any_negative(RUN_MEASURES),
-            "q08_tests_passed_within_total": tests_bad,
+            "q07_run_measures_non_negative": _not_proven(no_negative(RUN_MEASURES)),
+            "q08_tests_passed_within_total": _not_proven(tests_good),
             "q09_rating_between_1_and_5": ~F.col("human_rating").between(1, 5),
-            "q10_known_status": ~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)),
+            "q10_known_status": _not_proven(F.col("status").isin(*STATUSES)),
         },
     )
     gap = F.abs(F.col("revenue_usd") - F.col("monthly_fee_usd") - F.col("overage_revenue_usd"))
+    free = (F.col("monthly_fee_usd") == 0) & (F.col("overage_revenue_usd") == 0)
     billing_rules = _rows_where(
         months,
         {
-            "q11_billing_measures_non_negative": any_negative(BILLING_MEASURES),
+            "q11_billing_measures_non_negative": _not_proven(no_negative(BILLING_MEASURES)),
             "q12_revenue_is_fee_plus_overage": gap >= 1e-6,
-            "q15_free_plan_costs_nothing": ~is_paid()
-            & ((F.col("monthly_fee_usd") != 0) | (F.col("overage_revenue_usd") != 0)),
-        },
-    )
-    lifecycle = run_bounds(runs).join(customers.select("customer_id", "signup_date", "churn_date"), "customer_id")
-    lifecycle_rules = _rows_where(
-        lifecycle,
-        {
-            "q13_runs_not_before_signup": F.to_date("first_run") < F.col("signup_date"),
-            # the churn date is the last active day, so one day of slack from its midnight
-            "q14_runs_not_after_churn": F.col("last_run") > F.date_add("churn_date", 1).cast("timestamp_ntz"),
+            "q15_free_plan_costs_nothing": _not_proven(is_paid() | free),
         },
     )
+    lifecycle_rules = lifecycle_faults(runs, customers)
     sales_led = assignments.join(
-        customers.where(F.col("is_sales_led") != 0).select("customer_id"), "customer_id", "left_semi"
+        customers.where(_not_proven(F.col("is_sales_led") == 0)).select("customer_id"), "customer_id", "left_semi"
     )
     expected_price = reduce(
         lambda chain, item: chain.when(F.col("variant") == item[0], item[1]), list(prices.items()), F
@@ -102,8 +122,8 @@ def quality_report(
     assignment_rules = _rows_where(
         assignments,
         {
-            "q17_assigned_within_window": ~F.col("assigned_at").between(*window),
-            "q18_price_matches_variant": F.col("pro_price_shown") != expected_price,
+            "q17_assigned_within_window": _not_proven(F.col("assigned_at").between(*window)),
+            "q18_price_matches_variant": _not_proven(F.col("pro_price_shown") == expected_price),
         },
     )
     return _union(

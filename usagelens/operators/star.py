@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from usagelens.functions.columns import is_paid, margin, ratio, scalar, succeeded, sum_where
-from usagelens.functions.joins import broadcast_if_small
 from usagelens.functions.ranking import global_rank
 from usagelens.operators.usage import WINDOW_SIZE, billing_with_cost, success_rate
 from usagelens.schemas import SIMPLE_TASKS
@@ -98,13 +97,12 @@ def fact_agent_runs(
 ) -> DataFrame:
     """Runs with surrogate keys.
 
-    The label dimensions are broadcast once their row count is checked, so no exchange ever
-    partitions the runs by a plan, model or task; the only shuffle is the customer join, whose
-    hot customers adaptive execution splits.
+    Adaptive execution broadcasts the label dimensions by their measured bytes; where one is too
+    large for that, it splits the hot partitions of the join, as it does for customers.
     """
-    keyed = _with_key(runs, broadcast_if_small(plan_dim), "plan_key", "plan", "plan_at_run")
-    keyed = _with_key(keyed, broadcast_if_small(model_dim), "model_key", "model", "model")
-    keyed = _with_key(keyed, broadcast_if_small(task_dim), "task_key", "task_type", "task_type")
+    keyed = _with_key(runs, plan_dim, "plan_key", "plan", "plan_at_run")
+    keyed = _with_key(keyed, model_dim, "model_key", "model", "model")
+    keyed = _with_key(keyed, task_dim, "task_key", "task_type", "task_type")
     keyed = _with_key(keyed, customer_dim, "customer_key", "customer_id", "customer_id")
     ordered = keyed.select(
         "run_id", "customer_key", date_key("started_at").alias("date_key"), "plan_key", "model_key", "task_key",
@@ -119,7 +117,7 @@ def fact_customer_month(
 ) -> DataFrame:
     """Billing rows with run cost and surrogate keys."""
     keyed = _with_key(billing_with_cost(months, runs), customer_dim, "customer_key", "customer_id", "customer_id")
-    keyed = _with_key(keyed, broadcast_if_small(plan_dim), "plan_key", "plan", "plan")
+    keyed = _with_key(keyed, plan_dim, "plan_key", "plan", "plan")
     return keyed.select(
         "customer_key", date_key("month").alias("date_key"), "plan_key", "monthly_fee_usd", "included_credits",
         "credits_used", "overage_credits", "overage_revenue_usd", "revenue_usd", "llm_cost_usd",
@@ -146,7 +144,7 @@ def star_schema(
 def star_monthly_measures(fact_months: DataFrame, plan_dim: DataFrame, customer_dim: DataFrame) -> DataFrame:
     """S08 per month: MRR, gross margin and NRR against the MRR twelve months earlier of ever-paid customers."""
     ever_paid = customer_dim.select("customer_key", F.col("first_paid_date").isNotNull().alias("ever_paid"))
-    labelled = fact_months.join(broadcast_if_small(plan_dim.select("plan_key", "plan")), "plan_key").join(
+    labelled = fact_months.join(plan_dim.select("plan_key", "plan"), "plan_key").join(
         ever_paid, "customer_key"
     )
     fee = F.col("monthly_fee_usd")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,7 +24,7 @@ from usagelens.operators import (
     usage,
     whatif,
 )
-from usagelens.plans.mapping import EXPERIMENT_END, EXPERIMENT_NAME, EXPERIMENT_START, MODEL_NAMES, Tables
+from usagelens.plans.mapping import EXPERIMENT_END, EXPERIMENT_NAME, EXPERIMENT_START, Tables
 from usagelens.sources import sinks, tables
 
 Query = Callable[[Tables], DataFrame]
@@ -247,15 +247,55 @@ ATTEMPTS: dict[str, Query] = {
     "b11_grade_status": lambda t: attempts.graded(t.attempts),
 }
 
+def _spoil(frame: DataFrame, key: Column, faults: dict[str, dict[int, object]]) -> DataFrame:
+    """A copy with faults: per column, the value of rows whose key is divisible by a number (the first that fits)."""
+    spoiled = {}
+    for name, cases in faults.items():
+        value = F
+        for divisor, wrong in cases.items():
+            value = value.when(key % divisor == 0, wrong)
+        spoiled[name] = value.otherwise(F.col(name))
+    return frame.withColumns(spoiled)
+
+
+def _quality(t: Tables, soiled: bool) -> DataFrame:
+    runs, months, assigned = t.runs, t.customer_months, t.experiment_assignments
+    if soiled:
+        number = F.right("customer_id", F.lit(8)).cast("long")
+        runs = _spoil(
+            runs, F.col("input_tokens"),
+            {
+                "llm_cost_usd": {97: -F.col("llm_cost_usd") - 1, 101: None},
+                "tests_passed": {103: F.col("tests_total") + 1, 107: None},
+                "human_rating": {109: 6},
+                "status": {113: "lost", 127: None},
+                "started_at": {131: F.lit("2000-01-01").cast("timestamp_ntz"), 137: F.lit("2100-01-01").cast("timestamp_ntz"), 139: None},
+                "customer_id": {149: "nobody"},
+                "run_id": {151: "twice"},
+            },
+        )
+        months = _spoil(
+            months, number,
+            {
+                "credits_used": {97: -1, 101: None},
+                "revenue_usd": {103: F.col("revenue_usd") + 1, 107: None},
+                "plan": {109: "Free", 113: None},
+                "month": {127: F.lit("2025-01-01").cast("date")},
+            },
+        )
+        led = F.concat(F.lit("C"), F.lpad((F.floor(number / 10) * 10).cast("string"), 8, "0"))
+        assigned = _spoil(
+            assigned, number,
+            {"assigned_at": {7: F.lit("2025-05-01").cast("date"), 11: None}, "pro_price_shown": {13: 30, 17: None}, "customer_id": {19: led}},
+        )
+    return quality.quality_report(
+        t.customers, runs, months, assigned, (EXPERIMENT_START, EXPERIMENT_END), {"control": 29, "treatment": 39}
+    )
+
+
 QUALITY: dict[str, Query] = {
-    "q01_q18_quality_report": lambda t: quality.quality_report(
-        t.customers,
-        t.runs,
-        t.customer_months,
-        t.experiment_assignments,
-        (EXPERIMENT_START, EXPERIMENT_END),
-        {"control": 29, "treatment": 39},
-    ),
+    "q01_q18_quality_report": lambda t: _quality(t, soiled=False),
+    "q01_q18_soiled_quality_report": lambda t: _quality(t, soiled=True),
     "q19_star_quality": lambda t: quality.star_quality(
         _star(t),
         {
@@ -283,14 +323,12 @@ HEADLINE: dict[str, Query] = {
         MODELS["l08_routing_savings"](t), REPORTS["r12_failure_cost"](t), REPORTS["r06_model_task_matrix"](t)
     ),
     "m07_scenario_best": lambda t: headline.scenario_best(PRICING["p10_pricing_scenarios"](t)),
-    "m08_retention_matrix": lambda t: headline.retention_matrix(REPORTS["r03_cohort_retention"](t), 19),
+    "m08_retention_matrix": lambda t: headline.retention_matrix(REPORTS["r03_cohort_retention"](t)),
     "m08_month_6_average": lambda t: headline.month_n_average(REPORTS["r03_cohort_retention"](t), 6),
     "m08_month_3_average": lambda t: headline.month_n_average(
         FILTERED["d05_cohort_retention_any"](t), 3, "retention"
     ),
-    "m09_model_task_matrix_wide": lambda t: headline.model_task_wide(
-        REPORTS["r06_model_task_matrix"](t), MODEL_NAMES
-    ),
+    "m09_model_task_matrix_wide": lambda t: headline.model_task_wide(REPORTS["r06_model_task_matrix"](t)),
     "m10_km_steps": lambda t: headline.km_steps(CUSTOMERS["c09_km_by_activation"](t)),
     "m10_km_gap": lambda t: headline.km_gap(CUSTOMERS["c09_km_by_activation"](t)),
     "m11_persona_minmax": lambda t: headline.persona_minmax(CUSTOMERS["c15_name_personas"](t)),

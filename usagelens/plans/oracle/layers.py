@@ -393,8 +393,7 @@ JOIN (SELECT model, avg({_pass('1')}) AS pass_at_1, avg({_pass('top')}) AS pass_
                          avg(tokens_per_sec) AS avg_tokens_per_sec, sum(cost_usd)::DOUBLE / count(*) AS avg_cost_usd FROM attempts GROUP BY ALL)"""
     ),
     "b05_contingency": with_mapping(
-        """SELECT model, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'partial') AS partial,
-                  count(*) FILTER (status = 'success') AS success FROM attempts GROUP BY 1"""
+        """SELECT * FROM (PIVOT (SELECT model, coalesce(status, 'unknown') AS status FROM attempts) ON status USING count(*) GROUP BY model)"""
     ),
     "b05_outcome_chi2": with_mapping(
         f"""SELECT x2 AS chi2_statistic, CAST(dof AS INTEGER) AS degrees_of_freedom, sqrt(x2 / (n * small)) AS cramers_v,
@@ -423,7 +422,7 @@ FROM (SELECT a.model, task_type, round(prompt_tokens / 1e6::DOUBLE * usd_per_m_i
         r"""
 SELECT response_id, text, regexp_replace(regexp_replace(CASE WHEN len(blocks) > 0 THEN coalesce(list_filter(blocks, lambda b: contains(b, 'def '))[1], blocks[1])
             WHEN line <> '' THEN line ELSE text END, '^\s+', ''), '\s+$', '') AS code, len(blocks) > 0 AS extracted_cleanly
-FROM (SELECT *, regexp_extract_all(text, '```(?:python3|python|py)?\s*\n((?s:.*?))```', 1) AS blocks,
+FROM (SELECT *, regexp_extract_all(text, '(?s)```(?:python|python3|py)?\s*\n(.*?)```', 1) AS blocks,
              regexp_extract(replace(text, chr(13) || chr(10), chr(10)), '(?m)^[\t ]*(?:def |import |from )(?s:.*)', 0) AS line FROM responses)"""
     ),
     "b11_grade_status": with_mapping(
@@ -432,35 +431,63 @@ FROM (SELECT *, regexp_extract_all(text, '```(?:python3|python|py)?\s*\n((?s:.*?
     ),
 }
 
+def _quality_sql(runs: str, months: str, assigned: str) -> str:
+    """Every rule counts what is not proven good, so a missing value is a violation (but for ratings and the revenue sum)."""
+    measures = ["llm_cost_usd", "input_tokens", "output_tokens", "steps", "latency_sec", "lines_changed", "credits_charged"]
+    billing = ["credits_used", "overage_credits", "overage_revenue_usd", "monthly_fee_usd"]
+    all_good = lambda columns: " AND ".join(f"{c} >= 0" for c in columns)
+    rows = [
+        ("q07_run_measures_non_negative", runs, all_good(measures)),
+        ("q08_tests_passed_within_total", runs, "tests_passed >= 0 AND tests_passed <= tests_total"),
+        ("q09_rating_between_1_and_5", runs, "human_rating IS NULL OR human_rating BETWEEN 1 AND 5"),
+        ("q10_known_status", runs, "status IN ('success', 'partial', 'failed')"),
+        ("q11_billing_measures_non_negative", months, all_good(billing)),
+        ("q12_revenue_is_fee_plus_overage", months, "coalesce(abs(revenue_usd - monthly_fee_usd - overage_revenue_usd) < 0.000001, true)"),
+        ("q13_runs_not_before_signup", f"{runs} JOIN customers c USING (customer_id)", "started_at::DATE >= signup_date"),
+        ("q14_runs_not_after_churn", f"{runs} JOIN customers c USING (customer_id)", "(churn_date IS NULL AND started_at IS NOT NULL) OR started_at <= churn_date + INTERVAL 1 DAY"),
+        ("q15_free_plan_costs_nothing", months, "plan <> 'Free' OR (monthly_fee_usd = 0 AND overage_revenue_usd = 0)"),
+        ("q16_assignments_are_self_serve", f"{assigned} JOIN customers USING (customer_id)", "is_sales_led = 0"),
+        ("q17_assigned_within_window", assigned, "assigned_at BETWEEN DATE '2025-02-01' AND DATE '2025-04-30'"),
+        ("q18_price_matches_variant", assigned, "pro_price_shown = CASE variant WHEN 'control' THEN 29 WHEN 'treatment' THEN 39 END"),
+    ]
+    keys = [("q01_customer_id_unique", "customers", "customer_id"), ("q02_run_id_unique", runs, "run_id"), ("q06_one_row_per_customer_month", months, "customer_id, month")]
+    parents = [("q03_runs_have_customer", runs), ("q04_months_have_customer", months), ("q05_assignments_have_customer", assigned)]
+    return " UNION ALL ".join(
+        [f"SELECT '{rule}' AS rule, count(*) AS violations FROM (SELECT 1 FROM {t} GROUP BY {k} HAVING count(*) > 1)" for rule, t, k in keys]
+        + [f"SELECT '{rule}', count(*) FROM (SELECT DISTINCT t.customer_id FROM {t} t ANTI JOIN customers c ON c.customer_id = t.customer_id)" for rule, t in parents]
+        + [f"SELECT '{rule}', count(*) FILTER (NOT coalesce(({good}), false)) FROM {t}" for rule, t, good in rows]
+    )
+
+
+#: Faulty copies: which rows are spoiled follows from their keys, as in the catalogue.
+SOILED = """
+bad_runs AS (
+  SELECT * EXCLUDE (k) REPLACE (
+      CASE WHEN k % 97 = 0 THEN -llm_cost_usd - 1 WHEN k % 101 = 0 THEN NULL ELSE llm_cost_usd END AS llm_cost_usd,
+      CASE WHEN k % 103 = 0 THEN tests_total + 1 WHEN k % 107 = 0 THEN NULL ELSE tests_passed END AS tests_passed,
+      CASE WHEN k % 109 = 0 THEN 6 ELSE human_rating END AS human_rating,
+      CASE WHEN k % 113 = 0 THEN 'lost' WHEN k % 127 = 0 THEN NULL ELSE status END AS status,
+      CASE WHEN k % 131 = 0 THEN TIMESTAMP '2000-01-01' WHEN k % 137 = 0 THEN TIMESTAMP '2100-01-01' WHEN k % 139 = 0 THEN NULL ELSE started_at END AS started_at,
+      CASE WHEN k % 149 = 0 THEN 'nobody' ELSE customer_id END AS customer_id,
+      CASE WHEN k % 151 = 0 THEN 'twice' ELSE run_id END AS run_id)
+  FROM (SELECT *, input_tokens AS k FROM agent_runs)),
+bad_months AS (
+  SELECT * EXCLUDE (k) REPLACE (
+      CASE WHEN k % 97 = 0 THEN -1 WHEN k % 101 = 0 THEN NULL ELSE credits_used END AS credits_used,
+      CASE WHEN k % 103 = 0 THEN revenue_usd + 1 WHEN k % 107 = 0 THEN NULL ELSE revenue_usd END AS revenue_usd,
+      CASE WHEN k % 109 = 0 THEN 'Free' WHEN k % 113 = 0 THEN NULL ELSE plan END AS plan,
+      CASE WHEN k % 127 = 0 THEN DATE '2025-01-01' ELSE month END AS month)
+  FROM (SELECT *, right(customer_id, 8)::BIGINT AS k FROM customer_months)),
+bad_assignments AS (
+  SELECT * EXCLUDE (k) REPLACE (
+      CASE WHEN k % 7 = 0 THEN DATE '2025-05-01' WHEN k % 11 = 0 THEN NULL ELSE assigned_at END AS assigned_at,
+      CASE WHEN k % 13 = 0 THEN 30 WHEN k % 17 = 0 THEN NULL ELSE pro_price_shown END AS pro_price_shown,
+      CASE WHEN k % 19 = 0 THEN 'C' || lpad(CAST(k // 10 * 10 AS VARCHAR), 8, '0') ELSE customer_id END AS customer_id)
+  FROM (SELECT *, right(customer_id, 8)::BIGINT AS k FROM experiment_assignments))"""
+
 QUALITY = {
-    "q01_q18_quality_report": with_mapping(
-        """
-SELECT 'q01_customer_id_unique' AS rule, count(*) AS violations FROM (SELECT customer_id FROM customers GROUP BY 1 HAVING count(*) > 1)
-UNION ALL SELECT 'q02_run_id_unique', count(*) FROM (SELECT run_id FROM agent_runs GROUP BY 1 HAVING count(*) > 1)
-UNION ALL SELECT 'q03_runs_have_customer', count(DISTINCT customer_id) FROM agent_runs WHERE customer_id NOT IN (SELECT customer_id FROM customers)
-UNION ALL SELECT 'q04_months_have_customer', count(DISTINCT customer_id) FROM customer_months WHERE customer_id NOT IN (SELECT customer_id FROM customers)
-UNION ALL SELECT 'q05_assignments_have_customer', count(DISTINCT customer_id) FROM experiment_assignments
-          WHERE customer_id NOT IN (SELECT customer_id FROM customers)
-UNION ALL SELECT 'q06_one_row_per_customer_month', count(*) FROM (SELECT 1 FROM customer_months GROUP BY customer_id, month HAVING count(*) > 1)
-UNION ALL SELECT 'q07_run_measures_non_negative', count(*) FILTER (least(llm_cost_usd, input_tokens, output_tokens, steps, latency_sec,
-          lines_changed, credits_charged) < 0) FROM agent_runs
-UNION ALL SELECT 'q08_tests_passed_within_total', count(*) FILTER (tests_passed < 0 OR tests_passed > tests_total) FROM agent_runs
-UNION ALL SELECT 'q09_rating_between_1_and_5', count(*) FILTER (human_rating NOT BETWEEN 1 AND 5) FROM agent_runs
-UNION ALL SELECT 'q10_known_status', count(*) FILTER (status NOT IN ('success', 'partial', 'failed')) FROM agent_runs
-UNION ALL SELECT 'q11_billing_measures_non_negative', count(*) FILTER (least(credits_used, overage_credits, overage_revenue_usd, monthly_fee_usd) < 0)
-          FROM customer_months
-UNION ALL SELECT 'q12_revenue_is_fee_plus_overage', count(*) FILTER (abs(revenue_usd - monthly_fee_usd - overage_revenue_usd) >= 0.000001) FROM customer_months
-UNION ALL SELECT 'q13_runs_not_before_signup', count(DISTINCT a.customer_id) FROM agent_runs a JOIN customers c USING (customer_id)
-          WHERE started_at::DATE < signup_date
-UNION ALL SELECT 'q14_runs_not_after_churn', count(DISTINCT a.customer_id) FROM agent_runs a JOIN customers c USING (customer_id)
-          WHERE started_at > churn_date + INTERVAL 1 DAY
-UNION ALL SELECT 'q15_free_plan_costs_nothing', count(*) FROM customer_months WHERE plan = 'Free' AND (monthly_fee_usd <> 0 OR overage_revenue_usd <> 0)
-UNION ALL SELECT 'q16_assignments_are_self_serve', count(*) FROM experiment_assignments JOIN customers USING (customer_id) WHERE is_sales_led <> 0
-UNION ALL SELECT 'q17_assigned_within_window', count(*) FROM experiment_assignments
-          WHERE assigned_at NOT BETWEEN DATE '2025-02-01' AND DATE '2025-04-30'
-UNION ALL SELECT 'q18_price_matches_variant', count(*) FROM experiment_assignments
-          WHERE pro_price_shown <> CASE variant WHEN 'control' THEN 29 WHEN 'treatment' THEN 39 END"""
-    ),
+    "q01_q18_quality_report": with_mapping(_quality_sql("agent_runs", "customer_months", "experiment_assignments")),
+    "q01_q18_soiled_quality_report": with_mapping(_quality_sql("bad_runs", "bad_months", "bad_assignments"), SOILED),
     "q19_star_quality": with_mapping(
         """
 SELECT * FROM (VALUES ('q19_dim_plan_key_unique', 0::BIGINT), ('q19_dim_model_key_unique', 0), ('q19_dim_customer_row_count', 0),
@@ -552,9 +579,7 @@ failed AS (SELECT model, task_type, sum(llm_cost_usd) AS cost FROM agent_runs WH
     ),
     "m08_retention_matrix": _over(
         REPORT_SQL["r03_cohort_retention"],
-        "SELECT cohort_month, "
-        + ", ".join(f"max(retention_pct) FILTER (months_since_signup = {k}) AS m{k}" for k in range(20))
-        + " FROM {q} GROUP BY 1",
+        "SELECT * FROM (PIVOT (SELECT cohort_month, 'm' || months_since_signup AS k, retention_pct FROM {q}) ON k USING max(retention_pct) GROUP BY cohort_month)",
     ),
     "m08_month_6_average": _over(
         REPORT_SQL["r03_cohort_retention"],
@@ -566,13 +591,9 @@ failed AS (SELECT model, task_type, sum(llm_cost_usd) AS cost FROM agent_runs WH
     ),
     "m09_model_task_matrix_wide": _over(
         REPORT_SQL["r06_model_task_matrix"],
-        "SELECT task_type, "
-        + ", ".join(
-            f"max(success_pct) FILTER (model = '{m}') AS \"{m}\""
-            for m in ("frontier-large", "balanced-medium", "fast-small", "open-weights-hosted")
-        )
-        + """, max(success_pct) - min(success_pct) AS spread_pp,
-             max(success_pct) - min(success_pct) = max(max(success_pct) - min(success_pct)) OVER () AS is_widest FROM {q} GROUP BY task_type""",
+        """SELECT wide.*, spread_pp, spread_pp = max(spread_pp) OVER () AS is_widest
+           FROM (PIVOT (SELECT task_type, model, success_pct FROM {q}) ON model USING max(success_pct) GROUP BY task_type) wide
+           JOIN (SELECT task_type AS task, max(success_pct) - min(success_pct) AS spread_pp FROM {q} GROUP BY 1) ON task = wide.task_type""",
     ),
     "m10_km_steps": with_mapping(
         """SELECT "group", 0::BIGINT AS t, 1.0::DOUBLE AS survival FROM km GROUP BY 1

@@ -5,20 +5,21 @@ from usagelens.plans.mapping_sql import with_mapping
 REPORTS = {
     "r01_monthly_kpis": with_mapping(
         """
-SELECT CAST(m.month AS VARCHAR) AS month, mrr::DOUBLE AS mrr_usd, revenue::DOUBLE AS revenue_usd,
-       active AS active_paid_customers, mrr::DOUBLE / NULLIF(active::DOUBLE, 0) AS arpa_usd,
-       CAST(coalesce(nl.n, 0) AS BIGINT) AS new_logos, CAST(coalesce(cl.n, 0) AS BIGINT) AS churned_logos,
-       (mrr - lag(mrr) OVER w)::DOUBLE * 100.0 / NULLIF(lag(mrr) OVER w, 0)::DOUBLE AS mrr_mom_growth_pct,
-       (active - lag(active) OVER w)::DOUBLE * 100.0 / NULLIF(lag(active) OVER w, 0)::DOUBLE
-           AS active_customers_mom_growth_pct
-FROM m
-LEFT JOIN (SELECT date_trunc('month', first_paid_date)::DATE AS month, count(*) AS n FROM customers
-           WHERE first_paid_date IS NOT NULL GROUP BY 1) nl ON nl.month = m.month
-LEFT JOIN (SELECT date_trunc('month', churn_date)::DATE AS month, count(*) AS n FROM customers
-           WHERE churn_date IS NOT NULL AND first_paid_date IS NOT NULL GROUP BY 1) cl ON cl.month = m.month
-WINDOW w AS (ORDER BY m.month)""",
-        """m AS (SELECT month, sum(monthly_fee_usd) AS mrr, sum(revenue_usd) AS revenue,
-                 count(DISTINCT customer_id) AS active FROM paid GROUP BY month)""",
+SELECT CAST(now.month AS VARCHAR) AS month, now.fee::DOUBLE AS mrr_usd, now.rev::DOUBLE AS revenue_usd,
+       now.payers AS active_paid_customers, now.fee::DOUBLE / NULLIF(now.payers, 0) AS arpa_usd,
+       now.joined AS new_logos, now.gone AS churned_logos,
+       (now.fee - past.fee)::DOUBLE * 100.0 / NULLIF(past.fee, 0)::DOUBLE AS mrr_mom_growth_pct,
+       (now.payers - past.payers)::DOUBLE * 100.0 / NULLIF(past.payers, 0)::DOUBLE AS active_customers_mom_growth_pct
+FROM per_month now LEFT JOIN per_month past ON past.place = now.place - 1""",
+        """changes AS (
+  SELECT month, customer_id AS payer, monthly_fee_usd AS fee, revenue_usd AS rev, 0 AS joined, 0 AS gone FROM paid
+  UNION ALL SELECT date_trunc('month', first_paid_date)::DATE, NULL, 0, 0, 1, 0 FROM customers WHERE first_paid_date IS NOT NULL
+  UNION ALL SELECT date_trunc('month', churn_date)::DATE, NULL, 0, 0, 0, 1 FROM customers
+            WHERE first_paid_date IS NOT NULL AND churn_date IS NOT NULL),
+per_month AS (
+  SELECT month, dense_rank() OVER (ORDER BY month) AS place, sum(fee) AS fee, sum(rev) AS rev, count(DISTINCT payer) AS payers,
+         CAST(sum(joined) AS BIGINT) AS joined, CAST(sum(gone) AS BIGINT) AS gone
+  FROM changes GROUP BY month HAVING count(payer) > 0)""",
     ),
     "r02_nrr_grr": with_mapping(
         """
@@ -66,37 +67,36 @@ agg AS (SELECT successes, count(*) AS customers,
     ),
     "r05_channel_performance": with_mapping(
         """
-SELECT acquisition_channel, signups, self_serve_signups, self_serve_conversions, paid_logos, paid_logos_churned,
-       total::DOUBLE AS total_lifetime_revenue_usd,
-       self_serve_conversions::DOUBLE * 100.0 / NULLIF(self_serve_signups, 0) AS self_serve_conversion_pct,
-       paid_logos_churned::DOUBLE * 100.0 / NULLIF(paid_logos, 0) AS paid_logo_churn_pct,
-       total::DOUBLE / signups AS avg_lifetime_revenue_per_signup_usd,
-       rank() OVER (ORDER BY self_serve_conversions::DOUBLE / NULLIF(self_serve_signups, 0) DESC NULLS LAST) AS conversion_rank,
-       rank() OVER (ORDER BY paid_logos_churned::DOUBLE / NULLIF(paid_logos, 0) ASC NULLS FIRST) AS retention_rank
-FROM s""",
-        """rev AS (SELECT customer_id, sum(revenue_usd) AS rev FROM paid GROUP BY 1),
-s AS (SELECT acquisition_channel, count(*) AS signups, count(*) FILTER (is_sales_led = 0) AS self_serve_signups,
-             count(*) FILTER (is_sales_led = 0 AND first_paid_date IS NOT NULL) AS self_serve_conversions,
-             count(first_paid_date) AS paid_logos,
-             count(first_paid_date) FILTER (status = 'churned') AS paid_logos_churned,
-             sum(coalesce(rev, 0)) AS total
-      FROM customers LEFT JOIN rev USING (customer_id) GROUP BY 1)""",
+SELECT channel AS acquisition_channel, people AS signups, selfs AS self_serve_signups, won AS self_serve_conversions,
+       payers AS paid_logos, lost AS paid_logos_churned, worth::DOUBLE AS total_lifetime_revenue_usd,
+       win_rate AS self_serve_conversion_pct, loss_rate AS paid_logo_churn_pct,
+       worth::DOUBLE / people AS avg_lifetime_revenue_per_signup_usd,
+       1 + (SELECT count(*) FROM rates o WHERE coalesce(o.win_rate, -1) > coalesce(t.win_rate, -1)) AS conversion_rank,
+       1 + (SELECT count(*) FROM rates o WHERE coalesce(o.loss_rate, -1) < coalesce(t.loss_rate, -1)) AS retention_rank
+FROM rates t""",
+        """people AS (
+  SELECT acquisition_channel AS channel, is_sales_led = 0 AS own, first_paid_date IS NOT NULL AS pays, status = 'churned' AS left_us,
+         (SELECT sum(revenue_usd) FROM paid p WHERE p.customer_id = c.customer_id) AS paid_in
+  FROM customers c),
+sums AS (
+  SELECT channel, count(*) AS people, count_if(own) AS selfs, count_if(own AND pays) AS won, count_if(pays) AS payers,
+         count_if(pays AND left_us) AS lost, coalesce(sum(paid_in), 0) AS worth
+  FROM people GROUP BY channel),
+rates AS (SELECT *, won * 100.0::DOUBLE / NULLIF(selfs, 0) AS win_rate, lost * 100.0::DOUBLE / NULLIF(payers, 0) AS loss_rate FROM sums)""",
     ),
     "r06_model_task_matrix": with_mapping(
         """
-SELECT model, task_type, n_runs, n_success, n_partial, n_failed,
-       n_success * 100.0::DOUBLE / n_runs AS success_pct, n_partial * 100.0::DOUBLE / n_runs AS partial_pct,
-       n_failed * 100.0::DOUBLE / n_runs AS failed_pct, cost::DOUBLE / n_runs AS avg_llm_cost_usd,
-       cost::DOUBLE AS total_llm_cost_usd, cost::DOUBLE / NULLIF(n_success, 0) AS cost_per_success_usd,
-       tin::DOUBLE / n_runs AS avg_input_tokens, tout::DOUBLE / n_runs AS avg_output_tokens, p50_latency_sec, p90_latency_sec
-FROM (SELECT model, task_type, count(*) AS n_runs, count(*) FILTER (status = 'success') AS n_success,
-             count(*) FILTER (status = 'partial') AS n_partial, count(*) FILTER (status = 'failed') AS n_failed,
-             sum(llm_cost_usd) AS cost, sum(input_tokens) AS tin, sum(output_tokens) AS tout,
-             max(latency_sec) FILTER (rn = floor(0.5::DOUBLE * n) + 1) AS p50_latency_sec,
-             max(latency_sec) FILTER (rn = floor(0.9::DOUBLE * n) + 1) AS p90_latency_sec
-      FROM ranked GROUP BY ALL)""",
-        """ranked AS (SELECT *, row_number() OVER (PARTITION BY model, task_type ORDER BY latency_sec) AS rn,
-                       count(*) OVER (PARTITION BY model, task_type) AS n FROM agent_runs)""",
+SELECT model, task_type, n AS n_runs, ok AS n_success, half AS n_partial, bad AS n_failed,
+       ok * 100.0::DOUBLE / n AS success_pct, half * 100.0::DOUBLE / n AS partial_pct, bad * 100.0::DOUBLE / n AS failed_pct,
+       spent / n AS avg_llm_cost_usd, spent AS total_llm_cost_usd, spent / NULLIF(ok, 0) AS cost_per_success_usd,
+       tokens.a::DOUBLE / n AS avg_input_tokens, tokens.b::DOUBLE / n AS avg_output_tokens,
+       waits[1 + n // 2] AS p50_latency_sec, waits[1 + 9 * n // 10] AS p90_latency_sec
+FROM cells""",
+        """cells AS (
+  SELECT model, task_type, count(*) AS n, count_if(status = 'success') AS ok, count_if(status = 'partial') AS half,
+         count_if(status = 'failed') AS bad, sum(llm_cost_usd)::DOUBLE AS spent,
+         {'a': sum(input_tokens), 'b': sum(output_tokens)} AS tokens, list_sort(list(latency_sec), 'ASC', 'NULLS LAST') AS waits
+  FROM agent_runs GROUP BY model, task_type)""",
     ),
     "r07_migration_pairs": with_mapping(
         """
