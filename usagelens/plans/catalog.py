@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -132,33 +133,59 @@ PRICING: dict[str, Query] = {
     "p10_pricing_scenarios": lambda t: pricing.pricing_scenarios(t.customer_months, t.runs),
 }
 
-FILTERED: dict[str, Query] = {
-    "d02_monthly_financials": lambda t: filtered.monthly_financials(t.customer_months, t.runs, t.customers),
-    "d03_run_success_rate": lambda t: filtered.run_success_rate(t.runs, t.customers),
-    "d04_nrr_average": lambda t: filtered.nrr_average(t.customer_months, t.customers),
-    "d05_cohort_retention_any": lambda t: filtered.cohort_retention_any(t.customer_months, t.customers),
-    "d06_activation_by_customer": lambda t: filtered.activation_by_customer(t.runs, t.customers),
-    "d07_channel_summary": lambda t: filtered.channel_summary(t.runs, t.customers),
-    "d08_model_task_success": lambda t: filtered.model_task_success(t.runs, t.customers),
-    "d09_cost_per_success": lambda t: filtered.cost_per_success(t.runs, t.customers),
-    "d10_migration_pairs_filtered": lambda t: filtered.migration_pairs(t.runs, t.customers),
-    "d11_executive_kpis": lambda t: filtered.executive_kpis(t.customer_months, t.runs, t.customers),
-    "d12_failure_tax": lambda t: filtered.failure_tax(t.runs, t.customers),
-    "d13_margin_by_plan_filtered": lambda t: filtered.margin_by_plan(t.customer_months, t.runs, t.customers),
-    "d14_cost_per_credit_by_task": lambda t: filtered.cost_per_credit_by_task(t.runs, t.customer_months, t.customers),
-    "d14_team_revenue_per_credit": lambda t: filtered.team_revenue_per_credit(t.customer_months, t.customers),
-    "d15_margin_deciles_filtered": lambda t: filtered.margin_deciles(t.customer_months, t.runs, t.customers),
-    "d15_margin_decile_summary": lambda t: filtered.margin_decile_summary(
-        filtered.margin_deciles(t.customer_months, t.runs, t.customers)
+FILTERABLE: dict[str, Callable[[Tables, filtered.Filters], DataFrame]] = {
+    "d02_monthly_financials": lambda t, f: filtered.monthly_financials(t.customer_months, t.runs, t.customers, f),
+    "d03_run_success_rate": lambda t, f: filtered.run_success_rate(t.agent_runs, t.customers, f),
+    "d04_nrr_average": lambda t, f: filtered.nrr_average(t.customer_months, t.customers, f),
+    "d05_cohort_retention_any": lambda t, f: filtered.cohort_retention_any(t.customer_months, t.customers, f),
+    "d06_activation_by_customer": lambda t, f: filtered.activation_by_customer(t.runs, t.customers, f),
+    "d07_channel_summary": lambda t, f: filtered.channel_summary(t.runs, t.customers, f),
+    "d08_model_task_success": lambda t, f: filtered.model_task_success(t.runs, t.customers, f),
+    "d09_cost_per_success": lambda t, f: filtered.cost_per_success(t.runs, t.customers, f),
+    "d10_migration_pairs_filtered": lambda t, f: filtered.migration_pairs(t.runs, t.customers, f),
+    "d11_executive_kpis": lambda t, f: filtered.executive_kpis(t.customer_months, t.runs, t.customers, f),
+    "d12_failure_tax": lambda t, f: filtered.failure_tax(t.runs, t.customers, f),
+    "d13_margin_by_plan_filtered": lambda t, f: filtered.margin_by_plan(t.customer_months, t.runs, t.customers, f),
+    "d14_cost_per_credit_by_task": lambda t, f: filtered.cost_per_credit_by_task(t.runs, t.customer_months, t.customers, f),
+    "d14_team_revenue_per_credit": lambda t, f: filtered.team_revenue_per_credit(t.customer_months, t.customers, f),
+    "d15_margin_deciles_filtered": lambda t, f: filtered.margin_deciles(t.customer_months, t.runs, t.customers, f),
+    "d15_margin_decile_summary": lambda t, f: filtered.margin_decile_summary(
+        filtered.margin_deciles(t.customer_months, t.runs, t.customers, f)
     ),
+    "d18_simple_task_frontier_stats": lambda t, f: filtered.simple_task_frontier_stats(t.runs, t.customers, f),
+    "d19_routing_what_if": lambda t, f: filtered.routing_what_if(t.runs, t.customers, f),
+}
+
+#: What the filtered variants select; ``d11`` has no plans, because its parts honour them differently.
+CHOSEN = filtered.Filters(
+    months=("2025-03-01", "2025-04-01", "2025-06-01"), plans=("Pro", "Team"), regions=("EUROPE", "ASIA"),
+    channels=("Organic", "Referral"), industries=("BUILDING", "MACHINERY", "FURNITURE"),
+)
+
+
+def _all_invalid(t: Tables) -> DataFrame:
+    options = tables.filter_options(_domain(t))
+    nothing = filtered.Filters.build(options, regions=["Atlantis"], months=["1999-01-01"], plans=["Gold"], channels=[""], industries=["x"])
+    return FILTERABLE["d02_monthly_financials"](t, nothing)
+
+
+def _with_filters(name: str, chosen: filtered.Filters) -> Query:
+    return lambda t: FILTERABLE[name](t, chosen)
+
+
+FILTERED: dict[str, Query] = {
+    **{name: _with_filters(name, filtered.Filters()) for name in FILTERABLE},
+    **{
+        f"{name.removesuffix('_filtered')}_selected": _with_filters(name, replace(CHOSEN, plans=()) if name.startswith("d11") else CHOSEN)
+        for name in FILTERABLE
+    },
+    "d01_all_invalid_selection": _all_invalid,
     "d16_experiment_conversion": lambda t: filtered.experiment_conversion(
         t.experiment_assignments, t.customers, EXPERIMENT_NAME
     ),
     "d17_experiment_readout": lambda t: filtered.experiment_readout(
         t.experiment_assignments, t.customers, EXPERIMENT_NAME
     ),
-    "d18_simple_task_frontier_stats": lambda t: filtered.simple_task_frontier_stats(t.runs, t.customers),
-    "d19_routing_what_if": lambda t: filtered.routing_what_if(t.runs, t.customers),
 }
 
 

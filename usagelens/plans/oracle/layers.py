@@ -162,6 +162,37 @@ FROM (SELECT sum(f.n_runs)::DOUBLE AS n, sum(f.n_runs * f.avg_cost) AS cost, sum
     ),
 }
 
+_CHOSEN_CUSTOMERS = "region IN ('EUROPE', 'ASIA') AND acquisition_channel IN ('Organic', 'Referral') AND industry IN ('BUILDING', 'MACHINERY', 'FURNITURE')"
+_CHOSEN_MONTHS = "month IN (DATE '2025-03-01', DATE '2025-04-01', DATE '2025-06-01')"
+#: Which conditions on runs and on billing rows a filtered query honours besides those on customers.
+_HONOURED = {
+    "d02_monthly_financials": ("true", f"{_CHOSEN_MONTHS} AND plan IN ('Pro', 'Team')"),
+    "d03_run_success_rate": (f"{_CHOSEN_MONTHS} AND plan_at_run IN ('Pro', 'Team')", "true"),
+    "d04_nrr_average": ("true", _CHOSEN_MONTHS),
+    "d05_cohort_retention_any": ("true", _CHOSEN_MONTHS),
+    "d08_model_task_success": (_CHOSEN_MONTHS, "true"),
+    "d11_executive_kpis": (_CHOSEN_MONTHS, _CHOSEN_MONTHS),
+}
+
+
+def _selected(sql: str, runs: str = "true", months: str = "true") -> str:
+    """The same query over the chosen customers: the mapping's tables get new names and filtered ones take theirs."""
+    for table, follower, condition in (
+        ("customers", "experiment_assignments", f"WHERE {_CHOSEN_CUSTOMERS}"),
+        ("agent_runs", "run_month", f"SEMI JOIN customers USING (customer_id) WHERE {runs}"),
+        ("customer_months", "attempts", f"SEMI JOIN customers USING (customer_id) WHERE {months}"),
+    ):
+        sql = sql.replace(f"\n{table} AS (", f"\n{table}_all AS (", 1)
+        sql = sql.replace(f"\n{follower} AS (", f"\n{table} AS (SELECT * FROM {table}_all {condition}),\n{follower} AS (", 1)
+    return sql
+
+
+FILTERED |= {
+    f"{name.removesuffix('_filtered')}_selected": _selected(sql, *_HONOURED.get(name, ()))
+    for name, sql in FILTERED.items() if not name.startswith(("d16", "d17"))
+}
+FILTERED["d01_all_invalid_selection"] = FILTERED["d02_monthly_financials"]
+
 _MIX = f"""pt AS (SELECT plan, task_type, count(*) AS n, sum(llm_cost_usd) AS cost,
                    sum(llm_cost_usd) FILTER (model = 'frontier-large' AND task_type IN {_SIMPLE}) AS fs
             FROM agent_runs a JOIN (SELECT customer_id, month, plan FROM paid) p USING (customer_id, month) GROUP BY ALL),
