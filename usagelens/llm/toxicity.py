@@ -99,31 +99,37 @@ class BlockMaxIndex:
         weights = np.concatenate([w for _, w in vectors] or [np.zeros(0)]).astype(np.float64)
         order = np.lexsort((rows, terms))
         self.rows, self.weights = rows[order], weights[order]
-        self.start = np.searchsorted(terms[order], np.arange(features + 1))
-        self.block_of = self.rows // BLOCK
+        block_of = self.rows // BLOCK
         self.most = np.zeros((features, blocks))
-        np.maximum.at(self.most, (terms[order], self.block_of), self.weights)
-
-    def _scores(self, terms: np.ndarray, weights: np.ndarray, alive: np.ndarray) -> np.ndarray:
-        scores = np.zeros(self.n)
-        for t, w in zip(terms, weights):
-            a, b = self.start[t], self.start[t + 1]
-            here = alive[self.block_of[a:b]]
-            scores[self.rows[a:b][here]] += w * self.weights[a:b][here]
-        return scores
+        np.maximum.at(self.most, (terms[order], block_of), self.weights)
+        # at[t, b]: where the postings of term t in block b begin; at[t, b + 1] is where they end
+        counts = np.zeros((features, blocks + 1), dtype=np.int32)
+        np.add.at(counts, (terms[order], block_of + 1), 1)
+        self.at = np.searchsorted(terms[order], np.arange(features))[:, None].astype(np.int32) + np.cumsum(counts, axis=1, dtype=np.int32)
+
+    def _scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Exact scores of the examples in the given blocks, zero elsewhere."""
+        rows = self.at[terms]
+        first = rows[:, blocks].ravel()
+        sizes = rows[:, blocks + 1].ravel() - first
+        total = int(sizes.sum())
+        before = np.cumsum(sizes) - sizes
+        postings = np.repeat(first - before, sizes) + np.arange(total)
+        query = np.repeat(weights, sizes.reshape(len(terms), -1).sum(axis=1))
+        return np.bincount(self.rows[postings], self.weights[postings] * query, minlength=self.n)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples with a cosine above zero and their cosines, nearest first, ties to the smaller index."""
         bound = weights @ self.most[terms]
-        alive = np.zeros(len(bound), dtype=bool)
-        alive[np.argpartition(-bound, min(SEED_BLOCKS, len(bound)) - 1)[:SEED_BLOCKS]] = True
-        scores = self._scores(terms, weights, alive)
+        seeds = np.argpartition(-bound, min(SEED_BLOCKS, len(bound)) - 1)[:SEED_BLOCKS]
+        scores = self._scores(terms, weights, seeds)
         if without >= 0:
             scores[without] = 0
         floor = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
-        rest = (bound >= floor - 1e-12) & (bound > 0) & ~alive
+        rest = (bound >= floor - 1e-12) & (bound > 0)
+        rest[seeds] = False
         if rest.any():
-            scores += self._scores(terms, weights, rest)
+            scores += self._scores(terms, weights, np.nonzero(rest)[0])
             if without >= 0:
                 scores[without] = 0
         found = np.nonzero(scores > 0)[0]
@@ -228,7 +234,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     gap = a * (total - toxic) - (n - a) * toxic  # a * d - b * c
     chi2 = total * gap * gap / (n * (total - n) * float(toxic) * (total - toxic))
     best = counted.where(n < total).select("feature", "n", chi2.alias("chi2")).where(F.col("chi2") >= CHI2)
-    best = best.orderBy(F.desc("chi2"), "feature").limit(FEATURES).collect()
+    best = best.orderBy(F.desc("chi2"), "feature").limit(FEATURES).collect()  # at most FEATURES rows
     space = Space({r["feature"]: i for i, r in enumerate(best)}, np.array([1 + np.log((total + 1) / (r["n"] + 1)) for r in best]))
     shared = spark.sparkContext.broadcast(space)
 
@@ -244,8 +250,8 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     empty = rows["terms"].map(len) == 0
     without = (rows.loc[empty, "toxic"].sum() + toxic / total) / (empty.sum() + 1)
     rows = rows[~empty]
-    # examples with the same strongest term lie in the same blocks, which makes the block bounds tight
-    strongest = [int(t[np.argmax(w)]) for t, w in zip(rows["terms"], rows["weights"])]
+    # examples with the same strongest terms lie in the same blocks, which makes the block bounds tight
+    strongest = [tuple(np.asarray(t)[np.argsort(-np.asarray(w), kind="stable")[:3]].tolist()) for t, w in zip(rows["terms"], rows["weights"])]
     rows = rows.assign(strongest=strongest).sort_values(["strongest", "doc_id"], kind="stable")
     pairs = [(np.asarray(t), np.asarray(w)) for t, w in zip(rows["terms"], rows["weights"])]
     model = Model(
