@@ -4,7 +4,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from usagelens.operators import customers, filtered, headline, models, pricing, quality, reports, star, usage, whatif
+from usagelens.operators import attempts, customers, filtered, headline, models, pricing, quality, reports, star, usage, whatif
 from usagelens.plans.mapping import EXPERIMENT_END, EXPERIMENT_NAME, EXPERIMENT_START
 from usagelens.schemas import TABLES
 
@@ -489,6 +489,28 @@ def test_quality_rules_find_planted_faults(make):
     assert got["q13_runs_not_before_signup"] == 2
 
 
+def test_quality_rules_count_missing_values(make):
+    people = make.customers(dict(customer_id="a", signup_date=D(2024, 12, 1)))
+    runs = make.runs(*[dict(customer_id="a", run_id=f"R{i}", **{c: None}) for i, c in enumerate(["llm_cost_usd", "tests_passed", "status", "started_at"])])
+    months = make.months(dict(customer_id="a", plan=None), dict(customer_id="a", month=D(2025, 2, 1), credits_used=None), dict(customer_id="a", month=D(2025, 3, 1), revenue_usd=None))
+    assigned = make.assignments(dict(customer_id="a", assigned_at=None), dict(customer_id="a", assigned_at=D(2025, 3, 1), pro_price_shown=None))
+    report = quality.quality_report(people, runs, months, assigned, (EXPERIMENT_START, EXPERIMENT_END), {"control": 29, "treatment": 39})
+    broken = {r["rule"][:3] for r in report.collect() if r["violations"] == 1}
+    assert broken == {"q07", "q08", "q10", "q11", "q13", "q14", "q15", "q17", "q18"}
+
+
+def test_wide_tables_take_their_columns_from_the_data(spark):
+    cohort = spark.range(31).selectExpr("'2025-01-01' AS cohort_month", "id AS months_since_signup", "100.0 - id AS retention_pct")
+    wide = headline.retention_matrix(cohort).collect()[0]
+    assert len(wide) == 32 and wide["m30"] == 70
+    cells = spark.range(5).selectExpr("'bug_fix' AS task_type", "concat('model-', id) AS model", "10.0 * id AS success_pct")
+    row = headline.model_task_wide(cells).collect()[0]
+    assert row["model-4"] == 40 and row["spread_pp"] == 40
+    tried = spark.createDataFrame([("m", "success"), ("m", "timeout"), ("n", "failed"), ("n", None)], "model string, status string")
+    got = {r["model"]: r.asDict() for r in attempts.contingency(tried).collect()}
+    assert got["n"] == {"model": "n", "failed": 1, "success": 0, "timeout": 0, "unknown": 1} and got["m"]["timeout"] == 1
+
+
 def test_star_measures_rank_time_ties_together(spark, make):
     facts = make.runs(*[dict(customer_id="1", status="success" if i < 3 else "failed") for i in range(8)]).withColumnRenamed(
         "customer_id", "customer_key"
