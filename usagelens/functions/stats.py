@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from usagelens.functions.columns import dbl, ratio
+from usagelens.functions.columns import dbl, ratio, scalar
 
 Z_95 = NormalDist().inv_cdf(0.975)
 Z_POWER_80 = NormalDist().inv_cdf(0.80)
@@ -146,13 +146,13 @@ def chi_square_statistic(frame: DataFrame, row: str, column: str) -> DataFrame:
         .groupBy(F.col(row).alias("r"), F.col(column).alias("c"))
         .agg(F.count(F.lit(1)).alias("o"))
     )
-    everything = W.partitionBy()
+    sizes = counted.agg(
+        F.sum("o").alias("n"), F.count_distinct("r").cast("int").alias("rows"), F.count_distinct("c").cast("int").alias("cols")
+    )
     cells = (
         counted.withColumn("rt", F.sum("o").over(W.partitionBy("r")))
         .withColumn("ct", F.sum("o").over(W.partitionBy("c")))
-        .withColumn("n", F.sum("o").over(everything))
-        .withColumn("rows", F.size(F.collect_set("r").over(everything)))
-        .withColumn("cols", F.size(F.collect_set("c").over(everything)))
+        .withColumns({c: scalar(sizes, c) for c in ("n", "rows", "cols")})
         .withColumn("dof", (F.col("rows") - 1) * (F.col("cols") - 1))
         .withColumn("e", dbl("rt") * dbl("ct") / dbl("n"))
     )
