@@ -2,8 +2,9 @@
 
 The model is fitted on a bounded sample of labelled rows (``EXAMPLES``, the lowest hashes of their ids; rows whose
 crc32(doc_id) mod 5 is 0 are held out and never learned from). Features are words and word beginnings of three to six
-letters; those whose document counts differ between the classes (chi-squared at least ``CHI2``, the best ``FEATURES``)
-form the vector space. Document vectors are TF-IDF with unit length, so a product is the cosine.
+letters; those in at least ``MIN_TEXTS`` different texts whose counts differ between the classes (chi-squared at least
+``CHI2``, beyond what chance gives among a million features; the best ``FEATURES``) form the vector space. Copies count
+once here, or every rare word of a copied toxic text would look telling. Document vectors are TF-IDF with unit length, so a product is the cosine.
 
 The examples lie in an inverted index whose posting lists are cut into blocks of ``BLOCK`` examples with the largest
 weight of each term and block. A query takes the exact scores of the most promising blocks, drops every block whose
@@ -31,7 +32,8 @@ from usagelens.llm.shared import stored, table
 
 EXAMPLES = 20_000
 FEATURES = 4096
-CHI2 = 15.0
+CHI2 = 40.0
+MIN_TEXTS = 8
 NEAREST = 25
 BLOCK = 64
 SEED_BLOCKS = 4
@@ -221,14 +223,15 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
             names=["feature", "n_toxic", "n"],
         )
 
-    totals = examples.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    texts = stored(examples.groupBy("text").agg(F.max("toxic").alias("toxic")), "texts")
+    totals = texts.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     total, toxic = totals[0], int(totals[1] or 0)
     if not 0 < toxic < total:
         base = 1.0 if total and toxic else 0.0
         return Model(Space({}, np.zeros(0)), None, np.zeros(0), np.zeros(0), base, base, np.zeros(1), np.zeros(1))
     counted = (
-        examples.select("toxic", "text").mapInArrow(count, "feature string, n_toxic long, n long")
-        .groupBy("feature").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n").alias("n")).where("n >= 3")
+        texts.select("toxic", "text").mapInArrow(count, "feature string, n_toxic long, n long")
+        .groupBy("feature").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n").alias("n")).where(F.col("n") >= MIN_TEXTS)
     )
     a, n = F.col("n_toxic").cast("double"), F.col("n").cast("double")
     gap = a * (total - toxic) - (n - a) * toxic  # a * d - b * c
