@@ -386,8 +386,12 @@ def persona_models(features: DataFrame, ks: Sequence[int] = range(3, 7), restart
     """(vectors, models, diagnostics) over ever-paid customers."""
     # checkpointed so that the many short k-means jobs do not carry the feature lineage
     vectors = _with_vectors(cluster_matrix(features.where("ever_paid"))).checkpoint()
-    models = fit_clusters(vectors, list(ks), restarts)
-    return vectors, models, choose_k(vectors, models)
+    vectors.persist(StorageLevel.MEMORY_AND_DISK)  # one copy for all fits; else each caches its own
+    try:
+        models = fit_clusters(vectors, list(ks), restarts)
+        return vectors, models, choose_k(vectors, models)
+    finally:
+        vectors.unpersist()
 
 
 def persona_k_selection(features: DataFrame, ks: Sequence[int] = range(3, 7), restarts: int = RESTARTS) -> DataFrame:
