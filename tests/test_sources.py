@@ -51,9 +51,10 @@ def test_benchmark_results_from_csv(spark, tmp_path):
 
 def test_reports_are_written_and_empty_ones_refused(spark, tmp_path):
     frame = spark.createDataFrame([("a", None), ("b", 2)], "k string, v int")
-    paths = sinks.run_report_catalog({"one": lambda: frame, "two": lambda: frame.where("k = 'a'")}, str(tmp_path), "csv")
-    assert set(paths) == {"one", "two"}
-    back = spark.read.csv(paths["one"], header=True)
+    reports = {"one": lambda: frame, "two": lambda: frame.where("k = 'a'")}
+    assert sinks.run_report_catalog(reports, str(tmp_path), "csv", shared=[frame]) == {"one": 2, "two": 1}
+    assert not frame.is_cached
+    back = spark.read.csv(f"{tmp_path}/one", header=True)
     assert sorted(tuple(r) for r in back.collect()) == [("a", None), ("b", "2")]
     with pytest.raises(ValueError, match="nothing"):
         sinks.write_report_table(frame.where("k = 'z'"), str(tmp_path), "nothing")

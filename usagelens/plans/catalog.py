@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 
 from usagelens.functions import stats
 from usagelens.functions.columns import flag, months_between_starts, scalar
+from usagelens.functions.ranking import ensure_checkpoint_dir
 from usagelens.operators import (
     attempts,
     customers,
@@ -26,6 +28,7 @@ from usagelens.operators import (
     whatif,
 )
 from usagelens.plans.mapping import EXPERIMENT_END, EXPERIMENT_NAME, EXPERIMENT_START, Tables
+from usagelens.schemas import TABLES
 from usagelens.sources import sinks, tables
 
 Query = Callable[[Tables], DataFrame]
@@ -387,9 +390,52 @@ def _table_sizes(t: Tables) -> DataFrame:
     )
 
 
+def _folder(t: Tables) -> str:
+    """A new folder below the one the cluster shares."""
+    ensure_checkpoint_dir(t.spark)
+    return f"{t.spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def _sizes(frames: dict[str, DataFrame]) -> DataFrame:
+    counts = [f.agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("n_rows")) for n, f in frames.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def _loaded_tables(t: Tables) -> DataFrame:
+    """IO1: the domain tables written, then loaded with their declared schemas."""
+    folder = _folder(t)
+    for name, frame in (_domain(t) | {"agent_runs": t.agent_runs}).items():
+        frame.select(*TABLES[name].names).write.parquet(f"{folder}/{name}")
+    loaded = tables.load_tables(t.spark, folder)
+    cost = loaded["agent_runs"].agg(F.sum("llm_cost_usd").cast("double").alias("total_llm_cost_usd"))
+    return _sizes(loaded).join(cost, F.col("table_name") == "agent_runs", "left")
+
+
+def _report_files(t: Tables) -> DataFrame:
+    """IO3, IO4: reports written from a shared frame, then read again."""
+    folder = _folder(t)
+    runs = t.runs
+    reports_ = {
+        "r06": lambda: reports.model_task_matrix(runs),
+        "r07": lambda: reports.migration_pairs(runs),
+        "r12": lambda: reports.failure_cost(runs),
+    }
+    written = sinks.run_report_catalog(reports_, folder, shared=[runs])
+    return _sizes({name: t.spark.read.parquet(f"{folder}/{name}") for name in written})
+
+
+def _star_files(t: Tables) -> DataFrame:
+    """IO5: the star schema as CSV, read again."""
+    written = sinks.write_star_schema(_star(t), _folder(t))
+    return _sizes({name: t.spark.read.csv(path, header=True) for name, path in written.items()})
+
+
 SOURCES: dict[str, Query] = {
     "io1_table_sizes": _table_sizes,
-    "io6_sanitize_text": lambda t: sinks.sanitize_text(t.raw("documents").select("doc_id", "text", "source")),
+    "io1_loaded_tables": _loaded_tables,
+    "io4_report_files": _report_files,
+    "io5_star_files": _star_files,
+    "io6_sanitize_text": lambda t: sinks.sanitize_text(t.raw("documents").select("doc_id", "text", "lang", "source")),
     "io7_filter_options": lambda t: tables.filter_options_frame(_domain(t)),
 }
 

@@ -661,6 +661,16 @@ _OPTION_SOURCES = {
     "models": ("models", "model"),
     "task_types": ("agent_runs", "task_type"),
 }
+_STAR_TABLES = {
+    "dim_customer": STAR["s01_dim_customer"],
+    "dim_plan": with_mapping("SELECT * FROM plans"),
+    "dim_model": with_mapping("SELECT * FROM models"),
+    "dim_task": STAR["s04_dim_task"],
+    "dim_date": STAR["s05_dim_date"],
+    "fact_agent_runs": with_mapping("SELECT run_id FROM agent_runs"),
+    "fact_customer_month": with_mapping("SELECT month FROM customer_months"),
+}
+
 SOURCES = {
     "io1_table_sizes": with_mapping(
         " UNION ALL ".join(
@@ -668,7 +678,20 @@ SOURCES = {
             for t in ("plans", "models", "customers", "customer_months", "agent_runs", "experiment_assignments")
         )
     ),
-    "io6_sanitize_text": f"SELECT doc_id, {_safe('text')}, {_safe('source')} FROM documents",
+    "io1_loaded_tables": with_mapping(
+        " UNION ALL ".join(
+            f"SELECT '{t}' AS table_name, count(*) AS n_rows, {'sum(llm_cost_usd)::DOUBLE' if t == 'agent_runs' else 'NULL::DOUBLE'} AS total_llm_cost_usd FROM {t}"
+            for t in ("plans", "models", "customers", "customer_months", "agent_runs", "experiment_assignments")
+        )
+    ),
+    "io4_report_files": " UNION ALL ".join(
+        f"SELECT '{short}' AS table_name, count(*) AS n_rows FROM ({REPORT_SQL[name]})"
+        for short, name in (("r06", "r06_model_task_matrix"), ("r07", "r07_migration_pairs"), ("r12", "r12_failure_cost"))
+    ),
+    "io5_star_files": " UNION ALL ".join(
+        f"SELECT '{table}' AS table_name, count(*) AS n_rows FROM ({sql})" for table, sql in _STAR_TABLES.items()
+    ),
+    "io6_sanitize_text": f"SELECT doc_id, {_safe('text')}, {_safe('lang')}, {_safe('source')} FROM documents",
     "io7_filter_options": with_mapping(
         " UNION ALL ".join(
             f"SELECT DISTINCT '{f}' AS field, CAST({c} AS VARCHAR) AS value FROM {t}" for f, (t, c) in _OPTION_SOURCES.items()

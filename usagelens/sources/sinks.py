@@ -22,11 +22,12 @@ def sanitize_text(frame: DataFrame, columns: Sequence[str] | None = None) -> Dat
     )
 
 
-def write_report_table(frame: DataFrame, folder: str, name: str, file_format: str = "parquet") -> str:
-    """IO3: write one report; an empty report is an error and leaves no output."""
+def write_report_table(frame: DataFrame, folder: str, name: str, file_format: str = "parquet") -> int:
+    """IO3: write one report as ``folder/name`` and return its rows; an empty report is an error and leaves no output."""
     kept = frame.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        if kept.isEmpty():
+        rows = kept.count()
+        if not rows:
             raise ValueError(f"report {name} returned no rows")
         path = f"{folder}/{name}"
         writer = kept.write.mode("overwrite")
@@ -34,16 +35,22 @@ def write_report_table(frame: DataFrame, folder: str, name: str, file_format: st
             writer.option("header", True).option("emptyValue", "").csv(path)
         else:
             writer.format(file_format).save(path)
-        return path
+        return rows
     finally:
         kept.unpersist()
 
 
 def run_report_catalog(
-    reports: Mapping[str, Callable[[], DataFrame]], folder: str, file_format: str = "parquet"
-) -> dict[str, str]:
-    """IO4: run every named report and write it; returns name -> path."""
-    return {name: write_report_table(build(), folder, name, file_format) for name, build in reports.items()}
+    reports: Mapping[str, Callable[[], DataFrame]], folder: str, file_format: str = "parquet", shared: Sequence[DataFrame] = ()
+) -> dict[str, int]:
+    """IO4: run every named report and write it; returns name -> rows. ``shared`` frames that reports read are kept meanwhile."""
+    for frame in shared:
+        frame.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return {name: write_report_table(build(), folder, name, file_format) for name, build in reports.items()}
+    finally:
+        for frame in shared:
+            frame.unpersist()
 
 
 def write_star_schema(star: Mapping[str, DataFrame], folder: str) -> dict[str, str]:
