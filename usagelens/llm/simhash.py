@@ -16,7 +16,7 @@ reaches the driver. For hundreds of millions of distinct fingerprints use ``part
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import accumulate, combinations
 
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from usagelens.llm import neardup
 from usagelens.llm.shared import components, stored, table
 
 WORDS = 3
@@ -226,7 +227,11 @@ def one_of_each(documents: DataFrame) -> DataFrame:
 
     Of rows that repeat an id within a component one stays; in components without any id one row of each fingerprint.
     """
-    found = near_duplicates(documents)
+    return standing_for(documents, near_duplicates(documents), lambda raw: f"{fingerprint(raw):016x}")
+
+
+def standing_for(documents: DataFrame, found: DataFrame, print_of: Callable[[bytes], str]) -> DataFrame:
+    """``one_of_each`` for any components ``found`` (doc_id, fingerprint, component_id) with the fingerprints ``print_of``."""
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = stored(
         first.groupBy("doc_id", "fingerprint").agg(F.count(F.lit(1)).alias("n"), F.max("component_id").alias("component_id"))
@@ -242,26 +247,27 @@ def one_of_each(documents: DataFrame) -> DataFrame:
         return rows
     # repeated or missing ids: told apart by their fingerprints, one row for each
     repeated = documents.join(more, own.eqNullSafe(more["kept_id"]), "left_semi").select(F.struct("*").alias("row"))
-    printed = fingerprints_beside(repeated)
+    printed = fingerprints_beside(repeated, print_of)
     return rows.unionAll(
         printed.join(more, F.col("row.doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.col("print") == F.col("kept_print")), "left_semi")
         .groupBy(F.col("row.doc_id").alias("k"), "print").agg(F.any_value("row").alias("row")).select("row.*")
     )
 
 
-def fingerprints_beside(rows: DataFrame) -> DataFrame:
+def fingerprints_beside(rows: DataFrame, print_of: Callable[[bytes], str]) -> DataFrame:
     """Add ``print`` (hexadecimal) to a frame with a struct ``row`` that has a text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).field("text")
-            prints = [f"{fingerprint((t.as_py() or '').encode()):016x}" for t in texts]
+            prints = [print_of((t.as_py() or "").encode()) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, type=pa.string())], names=["row", "print"])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("print", StringType())]))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs)
+    """One document of each group of near copies: five-word shingles with a Jaccard similarity of at least 0.8."""
+    return standing_for(docs, neardup.near_duplicates(docs), neardup.text_print)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
