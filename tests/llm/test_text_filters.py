@@ -126,6 +126,16 @@ def test_held_out_toxicity(spark):
     assert hits[1, 1] >= 0.85 * (hits[1, 0] + hits[1, 1]) and hits[0, 1] <= 0.02 * (hits[0, 0] + hits[0, 1])
 
 
+@pytest.mark.parametrize("sf, least, without", [("sf0.001", 1.0, 0), ("sf0.01", 0.8, 3)])
+def test_held_out_toxicity_of_few_labels(spark, sf, least, without):
+    folder = f"/root/testdata/{sf}"
+    rows = toxicity.op3_toxicity(spark, folder).toPandas().merge(pd.read_parquet(f"{folder}/labels.parquet"), on="doc_id")
+    toxic = rows[rows.toxic == 1]
+    assert (toxic.evidence.map(len) == 0).sum() <= without
+    assert toxic[toxic.held_out].predicted.mean() >= least
+    assert rows[rows.held_out & (rows.toxic == 0)].predicted.mean() <= 0.12
+
+
 def test_toxicity_edge_cases(spark, docs):
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)] + [(1, None), (None, 1), (5000, 1), (7, 1), (7, 0)], "doc_id long, toxic int")
     rows = [(i, ("foul " if i % 3 == 0 or i == 7 else "kind ") + f"word{i} text") for i in range(220)] + [(None, None), (300, ""), (301, "foul " * 50_000), (301, "foul " * 50_000)]

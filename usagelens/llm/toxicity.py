@@ -3,7 +3,9 @@
 The model is fitted on a bounded sample of labelled rows (``EXAMPLES``, the lowest hashes of their ids; rows whose
 crc32(doc_id) mod 5 is 0 are held out and never learned from). Features are words and word beginnings of three to six
 letters; those in at least ``MIN_TEXTS`` different texts whose counts differ between the classes (chi-squared at least
-``CHI2``, beyond what chance gives among a million features; the best ``FEATURES``) form the vector space. Copies count
+``CHI2``, beyond what chance gives among a million features; the best ``FEATURES``) form the vector space. Toxic texts
+with none of these, as with few labels or in a rare language, add their ``COVER`` most telling features each: such as
+chance gives once among all features, or else at a level of 1 % (``CHI2_LEAST``). Copies count
 once here, or every rare word of a copied toxic text would look telling. Document vectors are TF-IDF with unit length, so a product is the cosine.
 
 The examples lie in an inverted index whose posting lists are cut into blocks of ``BLOCK`` examples with the largest
@@ -22,6 +24,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,9 @@ EXAMPLES = 20_000
 FEATURES = 4096
 CHI2 = 40.0
 MIN_TEXTS = 8
+COVER = 4
+COVER_TEXTS = 2
+CHI2_LEAST = 6.63
 NEAREST = 25
 BLOCK = 64
 SEED_BLOCKS = 4
@@ -229,15 +235,18 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     if not 0 < toxic < total:
         base = 1.0 if total and toxic else 0.0
         return Model(Space({}, np.zeros(0)), None, np.zeros(0), np.zeros(0), base, base, np.zeros(1), np.zeros(1))
-    counted = (
+    counted = stored(
         texts.select("toxic", "text").mapInArrow(count, "feature string, n_toxic long, n long")
-        .groupBy("feature").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n").alias("n")).where(F.col("n") >= MIN_TEXTS)
+        .groupBy("feature").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n").alias("n")).where(F.col("n") >= COVER_TEXTS),
+        "features",
     )
     a, n = F.col("n_toxic").cast("double"), F.col("n").cast("double")
     gap = a * (total - toxic) - (n - a) * toxic  # a * d - b * c
     chi2 = total * gap * gap / (n * (total - n) * float(toxic) * (total - toxic))
-    best = counted.where(n < total).select("feature", "n", chi2.alias("chi2")).where(F.col("chi2") >= CHI2)
+    tested = counted.where(n < total).select("feature", "n", "n_toxic", chi2.alias("chi2"))
+    best = tested.where((F.col("chi2") >= CHI2) & (F.col("n") >= MIN_TEXTS))
     best = best.orderBy(F.desc("chi2"), "feature").limit(FEATURES).collect()  # at most FEATURES rows
+    best += _covering(texts, tested, best, counted.count())
     space = Space({r["feature"]: i for i, r in enumerate(best)}, np.array([1 + np.log((total + 1) / (r["n"] + 1)) for r in best]))
     shared = spark.sparkContext.broadcast(space)
 
@@ -277,6 +286,29 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
+def _covering(texts: DataFrame, tested: DataFrame, best: list, features: int) -> list:
+    """Features for the toxic texts that have none of ``best``: at most ``COVER`` for each of these examples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(at, f) for at, text in zip(batch.column(0).to_pylist(), batch.column(1)) for f in feature_counts(text.as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], type=pa.int64()), pa.array([f for _, f in found], type=pa.string())], names=["at", "feature"])
+
+    toxic = texts.where("toxic = 1").select(F.xxhash64("text").alias("at"), "text").mapInArrow(run, "at long, feature string")
+    met = toxic.join(tested, "feature")
+    chance = NormalDist().inv_cdf(1 - 0.5 / max(features, 2)) ** 2  # chi-squared that one of so many features reaches
+    floor = best[-1]["chi2"] if len(best) == FEATURES else CHI2
+    strict = (F.col("chi2") >= floor) & (F.col("n") >= MIN_TEXTS)
+    telling = (F.col("chi2") >= CHI2_LEAST) & (2 * F.col("n_toxic") >= F.col("n"))
+    each = F.when(telling, F.struct((-F.col("chi2")).alias("minus"), "feature", "n"))
+    bare = met.groupBy("at").agg(F.max(strict).alias("covered"), F.slice(F.sort_array(F.collect_list(each)), 1, COVER).alias("own"))  # of one text
+    added: dict[str, dict] = {}
+    for row in bare.where(~F.col("covered")).select("own").collect():  # at most COVER features of each example
+        sure = [x for x in row["own"] if -x["minus"] >= chance]
+        added.update({x["feature"]: {"feature": x["feature"], "n": x["n"]} for x in sure or row["own"]})
+    return [added[f] for f in sorted(added.keys() - {r["feature"] for r in best})]
+
+
 def scored(documents: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, evidence (nearest example ids), evidence_cosines."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
