@@ -83,6 +83,19 @@ def test_templates_and_slots(spark, docs):
     assert decontamination.contamination(docs(*rows), items.limit(0)).count() == 0
 
 
+def test_names_at_sentence_starts_and_wrapped_lines(spark, docs):
+    text = "a train leaves at 30 km. Bob pays then for the apples. He and Bob eat: (Carl) sees it with joy"
+    items = spark.createDataFrame([(1, text), (2, "Yes sir")], "item_id long, text string")
+    rows = [
+        (1, "words. " + text.replace("Bob", "Eve").replace("Carl", "Otto")), (2, text.replace(" ", "\n")), (3, text.replace(". ", ".\n\n").replace("then", "\tthen")),
+        (4, text.lower()), (5, "A" + text[1:]), (6, text.replace("Bob pays", "Eve pays")), (7, text.replace("30 km", "45  mi").replace("Bob", "Eve")),
+        (8, "No sir"), (9, "yes sir"), (10, "Yes Sir"), (11, "The bird sings at 30 km. Bob pays none of the pears. He and Bob eat"),
+    ]
+    got = {(r.doc_id, r.item_id): r for r in decontamination.contamination(docs(*rows), items).collect()}
+    assert set(got) - {(6, 1)} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (7, 1), (9, 2), (10, 2)}
+    assert all(got[i, 1].containment == 1.0 for i in (1, 2, 3, 4, 5, 7)) and got[4, 1].verbatim and not got[1, 1].verbatim
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     whole = sorted(map(tuple, decontamination.op8_decontamination(spark, SMALL).collect()))
     monkeypatch.setattr(decontamination, "MAX_WINDOWS", 300)

@@ -1,6 +1,8 @@
 """Benchmark decontamination by template windows.
 
-Numbers, names and units become typed placeholders, so a question keeps its template when its parameters change. Every
+Numbers, names and units become typed placeholders, so a question keeps its template when its parameters change. Any
+capitalised word may be a name, wherever it stands and however lines are wrapped; items list their windows both with the
+placeholder and with the word, for documents that have it in lower case. Every
 window of ``WINDOW`` template tokens is hashed; document windows meet benchmark windows in a hash join. Matches of a
 document and an item on one diagonal (document position minus item position) form an instance; in it, equal values of
 the item must stand for equal values of the document (slot consistency). A document is contaminated by an item if
@@ -32,17 +34,18 @@ UNITS = [
 ]
 
 _MARK = "\u0001"  # starts a placeholder; followed by n, m or u and then the value
-_NAME = r"\p{Lu}(?<=[\p{Ll}\p{N},;] \p{Lu})\p{L}*"  # a capitalised word within a sentence
+_NAME = r"(?<![\p{L}\p{N}])\p{Lu}\p{L}*"  # a capitalised word
+_INNER_NAME = r"\p{Lu}(?<=[\p{Ll}\p{N},;] \p{Lu})\p{L}*"  # one within a sentence
 _UNIT = rf"(?<=\p{{N}})\s?({'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])"
 _CURRENCY = r"([$€£])\s?(?=\p{N})"
 _PUNCTUATION = rf"[^\p{{L}}\p{{N}}\s{_MARK}]++(?!\p{{N}})|(?<!\p{{N}})[^\p{{L}}\p{{N}}\s{_MARK}]++"
 _NUMBER = rf"\p{{N}}++(?:[^\p{{L}}\p{{N}}\s{_MARK}]++\p{{N}}++)*+"
 
 
-def marked_text(text: Column) -> Column:
+def marked_text(text: Column, name: str = _NAME) -> Column:
     """Lower-case text without punctuation whose numbers, names and units carry a typed mark before their value."""
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), _MARK, " ")
-    text = F.regexp_replace(text, _NAME, _MARK + "m$0")
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), rf"[\s\p{{Z}}{_MARK}]+", " ")
+    text = F.regexp_replace(text, name, _MARK + "m$0")
     text = F.regexp_replace(text, _UNIT, f" {_MARK}u$1")
     text = F.regexp_replace(text, _CURRENCY, f"{_MARK}u$1 ")
     text = F.regexp_replace(text, _PUNCTUATION, " ")
@@ -85,20 +88,32 @@ def windowed(texts: DataFrame, *keys: str) -> DataFrame:
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """Windows of all items: item_id, item_key, n_windows, item_at, hash, item_values.
 
-    Inside a document, the capitalised first word of an item may stand within a sentence and look like a name. The
-    first window is therefore listed in that form as well.
+    A window is listed in every form a document may have it: a capitalised word as a name or as the word, and the first
+    word as a name that is this word. An item shorter than a window would match any names, so only names within its
+    sentences are free there, and each other word may be capitalised.
     """
     items = benchmark.select(F.col("item_id").cast("long"), "text", F.xxhash64("text").alias("item_key")).distinct()
-    within = items.withColumn("text", F.concat(F.lit("x "), "text"))
-    listed = [
-        windowed(texts, "item_id", "item_key").select(
-            "item_id", "item_key", "values", (F.size("hashes") - shift).alias("n_windows"), F.posexplode_outer("hashes").alias("at", "hash")
-        ).select(
-            "item_id", "item_key", "n_windows", (F.col("at") - shift).alias("item_at"), "hash", F.slice("values", F.col("at") + 1, WINDOW).alias("item_values")
-        )
-        for shift, texts in enumerate((items, within))
-    ]
-    return listed[0].where("hash IS NOT NULL").unionAll(listed[1].where("item_at = 0")).distinct()
+    long_values, short_values = _tokens(marked_text(F.col("text"))), _tokens(marked_text(F.col("text"), _INNER_NAME))
+    items = items.select("item_id", "item_key", long_values.alias("long_values"), short_values.alias("short_values"))
+    short = F.size("long_values") < WINDOW
+    # stored step by step: else Spark repeats the chain of replacements wherever a later expression uses it
+    items = stored(items.select("item_id", "item_key", short.alias("short"), F.when(short, F.col("short_values")).otherwise(F.col("long_values")).alias("values")), "items")
+    n_windows = F.when(F.size("values") > 0, F.greatest(F.size("values") - WINDOW + 1, F.lit(1))).otherwise(0)
+    at = items.withColumn("n_windows", n_windows).where("n_windows > 0").select(
+        "item_id", "item_key", "short", "n_windows", "values", F.explode(F.sequence(F.lit(0), F.col("n_windows") - 1)).alias("item_at")
+    ).withColumn("item_values", F.slice("values", F.col("item_at") + 1, WINDOW))
+
+    def forms(v: Column, k: Column) -> Column:
+        name = F.startswith(v, F.lit(_MARK + "m"))
+        capital = F.col("short") | ((k == 0) & (F.col("item_at") == 0))
+        other = F.when(name, F.substring(v, 3, 1 << 30)).when(~F.contains(v, F.lit(_MARK)) & capital, F.lit(_MARK + "m"))
+        return F.struct(template_text(v).alias("usual"), other.alias("other"))
+
+    listed = stored(at.withColumn("forms", F.transform("item_values", forms)).drop("values"), "forms").withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit((1 << WINDOW) - 1))))
+    picked = F.transform("forms", lambda f, k: F.when(F.expr("mask").bitwiseAND(F.pow(F.lit(2), k).cast("int")) > 0, f["other"]).otherwise(f["usual"]))
+    listed = stored(listed.where(F.col("mask") < F.pow(F.lit(2), F.size("forms"))).withColumn("tokens", picked), "forms_picked")
+    listed = listed.where(F.forall("tokens", lambda t: t.isNotNull()))
+    return listed.select("item_id", "item_key", "n_windows", "item_at", windows(F.col("tokens"))[0].alias("hash"), "item_values").distinct()
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -126,7 +141,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, threshold: float =
             for b in range(blocks)
         ],
     )
-    found = stored(_with_slots(found), "windows")
+    # filtered once stored: as a condition of the join, the test would take each window's row with its whole text along
+    found = stored(_with_slots(found), "windows").where("fits").drop("fits")
     pair = ["doc_id", "text_key", "item_id", "item_key"]
     covered = found.groupBy(*pair, "n_windows").agg(F.count_distinct("item_at").alias("hits"))
     likely = covered.where(F.col("hits") >= threshold * F.col("n_windows")).select(*pair)
@@ -136,9 +152,17 @@ def contamination(documents: DataFrame, benchmark: DataFrame, threshold: float =
 
 
 def _with_slots(found: DataFrame) -> DataFrame:
-    """``slots``: the placeholders of the window with the values of item and document; most windows have none."""
-    both = F.zip_with("item_values", "doc_values", lambda i, d: F.struct(i.alias("item_value"), d.alias("doc_value")))
-    return found.withColumn("slots", F.filter(both, lambda s: F.contains(s["item_value"], F.lit(_MARK)))).drop("item_values", "doc_values")
+    """``slots``: the placeholders of the window with the values of item and document; most windows have none.
+
+    Names are compared without their mark, as either side may have the word in lower case. ``fits`` tells that each word
+    of the item that is no placeholder is the same word in the document, capitalised or not.
+    """
+    word = lambda v: F.when(F.startswith(v, F.lit(_MARK + "m")), F.substring(v, 3, 1 << 30)).otherwise(v)
+    free = lambda v: F.contains(v, F.lit(_MARK))
+    both = F.zip_with("item_values", "doc_values", lambda i, d: F.struct(free(i).alias("free"), word(i).alias("item_value"), word(d).alias("doc_value")))
+    fits = F.forall("both", lambda s: s["free"] | (s["item_value"] == s["doc_value"]))
+    slots = F.transform(F.filter("both", lambda s: s["free"]), lambda s: F.struct(s["item_value"].alias("item_value"), s["doc_value"].alias("doc_value")))
+    return found.withColumn("both", both).withColumns({"slots": slots, "fits": fits}).drop("item_values", "doc_values", "both")
 
 
 def _consistent(found: DataFrame, pair: list[str], threshold: float) -> DataFrame:
