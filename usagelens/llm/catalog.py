@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from usagelens.llm import decontamination, mixing, pii, sharding, simhash, tokens, topk, toxicity, urls, warc
+from usagelens.llm import decontamination, fim, mixing, pii, repeats, resampling, sharding, simhash, tokens, topk, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
@@ -19,9 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_simhash": simhash.op9_simhash,
     "op10_topk": topk.op10_topk,
+    "op11_repeats": repeats.op11_repeats,
+    "op12_resampling": resampling.op12_resampling,
+    "op13_fim": fim.op13_fim,
 }
 
 ORACLE: dict[str, str] = {
     "op6_warc": warc.ORACLE,
     "op10_topk": topk.ORACLE,
+    "op12_resampling": resampling.ORACLE,
+    "op13_fim": fim.ORACLE,
 }
