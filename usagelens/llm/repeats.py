@@ -19,8 +19,8 @@ would take a row for every byte of the dictionary. Two levels are enough:
 
 **Exchange.** Questions are dealt out by key, packed to one row per batch and bucket, and answered to the row they came
 from. A batch asks once for equal questions and settles its own copies itself, so a name that a third of all rows
-share reaches its bucket once per batch. Texts move once, to be joined with the answers; texts with open triggers a second
-time.
+share reaches its bucket once per batch. Texts are compressed once; they move once, to be joined with the answers, and
+those with open triggers a second time.
 """
 
 from __future__ import annotations
@@ -31,10 +31,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm.shared import stored, table
+from usagelens.llm.shared import discard, stored, table
 
 LENGTH = 200
 WINDOW = 8
@@ -45,6 +46,7 @@ PER_PARTITION = 8
 REPEATED, OPEN, BOTH = 1, 2, 3
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
+ROWS = 2048
 _QUESTION = np.dtype([("key", "<u4"), ("name", "<u8"), ("row", "<u4"), ("at", "<u4")])
 _KNOWN = np.dtype([("at", "<u4"), ("state", "u1")])
 PACK = "bucket long, row long, content binary"
@@ -89,7 +91,7 @@ def _string_names(raw: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _packed(parts: int, row: np.ndarray, at: np.ndarray, key: np.ndarray, name: np.ndarray, twice: np.ndarray | None) -> pa.RecordBatch:
     """The questions of one batch: one for each (key, name), and what the batch can tell by itself.
 
-    Rows with ``bucket`` -1 are answers already, keyed by ``row``. ``twice`` marks questions that are known to be
+    Rows with a negative ``bucket`` are answers already, keyed by ``row``. ``twice`` marks questions that are known to be
     repeated. A question is asked by the first row that has it; its ``row`` counts from the least of the batch.
     """
     base = int(row.min()) if len(row) else 0
@@ -102,19 +104,28 @@ def _packed(parts: int, row: np.ndarray, at: np.ndarray, key: np.ndarray, name:
     if twice is not None:
         several |= np.maximum.reduceat(twice[order], starts) if len(starts) else several
     told = np.repeat(several, np.diff([*starts, len(key)]))
-    out = _answers(row[told], at[told], np.full(int(told.sum()), REPEATED, dtype=np.uint8))
+    out = [(-1 - r % parts, r, c) for _, r, c in _answers(row[told], at[told], np.full(int(told.sum()), REPEATED, dtype=np.uint8))]
     first, bucket = starts, (key[starts] % np.uint64(parts)).astype(np.int64)
     asked = np.zeros(len(first), dtype=_QUESTION)
     asked["key"], asked["name"] = (key[first] >> np.uint64(32)).astype(np.uint32), name[first]
     asked["row"], asked["at"] = row[first] - base, at[first]
-    by = np.argsort(bucket, kind="stable")
+    by = np.lexsort((asked["at"], asked["row"], bucket))
     bucket, asked = bucket[by], asked[by]
     edges = np.flatnonzero(np.diff(bucket)) + 1
     cuts = [0, *edges.tolist(), len(asked)] if len(asked) else [0]
-    rows = [(int(bucket[a]), base, asked[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
+    rows = [(int(bucket[a]), base, _planes(asked[a:b])) for a, b in zip(cuts, cuts[1:])]
     return _batch(out + rows)
 
 
+def _planes(asked: np.ndarray) -> bytes:
+    """Questions byte by byte, so that the shuffle's compression meets runs of equal bytes."""
+    return np.ascontiguousarray(asked.view(np.uint8).reshape(-1, _QUESTION.itemsize).T).tobytes()
+
+
+def _questions(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(_QUESTION.itemsize, -1).T).view(_QUESTION).ravel()
+
+
 def _answers(row: np.ndarray, at: np.ndarray, state: np.ndarray) -> list[tuple[int, int, bytes]]:
     order = np.argsort(row, kind="stable")
     row = row[order]
@@ -133,7 +144,7 @@ def _answered(packs: list[tuple[int, int, bytes]], by_name: bool) -> list[tuple[
     """Answers to the questions of whole buckets; ``by_name``: keys with several names are opened."""
     if not packs:
         return []
-    asked = np.concatenate([np.frombuffer(c, dtype=_QUESTION) for _, _, c in packs])
+    asked = np.concatenate([_questions(c) for _, _, c in packs])
     sizes = [len(c) // _QUESTION.itemsize for _, _, c in packs]
     bucket = np.repeat([b for b, _, _ in packs], sizes)
     row = np.repeat(np.array([r for _, r, _ in packs], dtype=np.int64), sizes) + asked["row"]
@@ -158,15 +169,19 @@ def _exchange(packs: DataFrame, by_name: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
+            told = []
             for pack in zip(*(c.to_pylist() for c in batch.columns)):
+                if pack[0] < 0:
+                    told.append(pack)
+                    continue
                 if held and held[-1][0] != pack[0]:
-                    yield _batch(_answered(held, by_name))
+                    told += _answered(held, by_name)
                     held = []
                 held.append(pack)
+            yield _batch(told)
         yield _batch(_answered(held, by_name))
 
-    asked = packs.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, PACK)
-    told = packs.where("bucket < 0").unionByName(asked)
+    told = packs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, PACK)
     return told.groupBy("row").agg(F.array_join(F.collect_list(F.hex("content")), "").alias("known"))
 
 
@@ -183,20 +198,62 @@ def _parts(spark: SparkSession) -> int:
     return PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _ask_triggers(documents: DataFrame) -> DataFrame:
-    parts = _parts(documents.sparkSession)
+def _held(documents: DataFrame) -> DataFrame:
+    """The texts, compressed, with numbers for rows: row, doc_id, text. Stored, so that numbers stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            found = []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = text.as_py() or b""
-                cut = parse(raw)
-                found.append((np.full(len(cut[0]), row), cut[0], *names(raw, *cut)))
-            for part in _by_range(found):
-                yield _packed(parts, *part, None)
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                texts = pa.array([pack.compress(t.as_py() or b"") for t in part.column(2)], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], texts], names=["row", "doc_id", "text"])
 
-    return stored(documents.select("row", "text").mapInArrow(run, PACK), "triggers")
+    numbered = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    return stored(numbered.mapInArrow(run, "row long, doc_id long, text binary"), "texts")
+
+
+def _ask_triggers(held: DataFrame) -> DataFrame:
+    parts = _parts(held.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS):
+                found = []
+                for row, text in zip(*(c.to_pylist() for c in batch.slice(k, ROWS).columns)):
+                    raw = unpack(text)
+                    cut = parse(raw)
+                    found.append((np.full(len(cut[0]), row), cut[0], *names(raw, *cut)))
+                for part in _by_range(found):
+                    yield _packed(parts, *part, None)
+
+    return held.select("row", "text").mapInArrow(run, PACK)
+
+
+def _ask_strings(opened: DataFrame) -> DataFrame:
+    """Questions on all strings of the open triggers."""
+    parts = _parts(opened.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS):
+                found = []
+                for row, text, known in zip(*(c.to_pylist() for c in batch.slice(k, ROWS).columns)):
+                    raw = unpack(text)
+                    at, state = _known(known)
+                    open_ = state & OPEN > 0
+                    triggers, first, last = parse(raw)
+                    place = np.searchsorted(triggers, at[open_])
+                    width = last[place] - first[place] + 1
+                    starts = np.repeat(first[place] - np.cumsum(width) + width, width) + np.arange(int(width.sum()))
+                    sure = np.repeat(state[open_] & REPEATED > 0, width)
+                    found.append((np.full(len(starts), row), starts, *_string_names(raw, starts), sure))
+                for part in _by_range(found):
+                    yield _packed(parts, *part)
+
+    return opened.select("row", "text", "known").mapInArrow(run, PACK)
 
 
 def _by_range(found: list[tuple]) -> Iterator[tuple]:
@@ -235,57 +292,51 @@ def _done(raw: bytes, spans: list[tuple[int, int]]) -> tuple:
 
 
 def _settle(joined: DataFrame) -> DataFrame:
-    """Texts with the answers on their triggers: finished rows, and open ones with their settled runs and questions."""
-    parts = _parts(joined.sparkSession)
+    """Texts with the answers on their triggers: finished rows (``row`` is NULL), and open ones with what they need."""
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", _SPANS), ("kept_sha256", pa.string())]
-    fields += [("row", pa.int64()), ("text", pa.binary()), ("packs", pa.list_(pa.struct(list(zip(_PACK.names, _PACK.types)))))]
+    fields += [("row", pa.int64()), ("text", pa.binary()), ("known", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            out, asked, owner = [], [], []
-            for row, doc_id, text, known in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                raw = text or b""
-                at, state = _known(known)
-                if not len(at):
-                    out.append([doc_id, *_done(raw, []), None, None, None])
-                    continue
-                triggers, first, last = parse(raw)
-                place = np.searchsorted(triggers, at)
-                whole = place[state & REPEATED > 0]
-                settled = spans_of(first[whole], last[whole] + LENGTH)
-                opened = place[state & OPEN > 0]
-                if not len(opened):
-                    out.append([doc_id, *_done(raw, settled), None, None, None])
-                    continue
-                width = last[opened] - first[opened] + 1
-                starts = np.repeat(first[opened] - np.cumsum(width) + width, width) + np.arange(int(width.sum()))
-                sure = np.repeat(state[state & OPEN > 0] & REPEATED > 0, width)
-                out.append([doc_id, len(raw), [{"first": a, "end": b} for a, b in settled], None, row, raw, []])
-                owner.append(len(out) - 1)
-                asked.append((np.full(len(starts), row), starts, *_string_names(raw, starts), sure))
-            for part in _by_range(asked):
-                packs = _packed(parts, *part)
-                out[owner[0]][6] += packs.to_pylist()  # carried by any open row; each pack says whose it is
-            columns = zip(*out) if out else [[] for _ in fields]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
-
-    kind = _DONE + f", row long, text binary, packs array<struct<{PACK.replace(' ', ': ').replace(',:', ',')}>>"
-    return stored(joined.mapInArrow(run, kind), "settled")
+            for k in range(0, batch.num_rows, ROWS):
+                out = []
+                for row, doc_id, text, known in zip(*(c.to_pylist() for c in batch.slice(k, ROWS).columns)):
+                    raw = unpack(text)
+                    at, state = _known(known)
+                    settled = []
+                    if len(at):
+                        triggers, first, last = parse(raw)
+                        whole = np.searchsorted(triggers, at[state & REPEATED > 0])
+                        settled = spans_of(first[whole], last[whole] + LENGTH)
+                    done = _done(raw, settled)
+                    if (state & OPEN).any() and settled != [(0, len(raw))]:
+                        out.append((doc_id, *done[:2], None, row, text, known))
+                    elif (state & OPEN).any():  # all of it goes, but others ask for its strings
+                        out.append((doc_id, *done, row, text, known))
+                    else:
+                        out.append((doc_id, *done, None, None, None))
+                columns = zip(*out) if out else [[] for _ in fields]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+
+    return stored(joined.mapInArrow(run, _DONE + ", row long, text binary, known string"), "settled")
 
 
 def _finish(opened: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            out = []
-            for doc_id, settled, raw, known in zip(*(c.to_pylist() for c in batch.columns)):
-                at, state = _known(known)
-                at = at[state & REPEATED > 0]
-                starts = np.array([s["first"] for s in settled] + at.tolist(), dtype=np.int64)
-                ends = np.array([s["end"] for s in settled] + (at + LENGTH).tolist(), dtype=np.int64)
-                out.append((doc_id, *_done(raw, spans_of(starts, ends))))
-            kinds = (pa.int64(), pa.int64(), _SPANS, pa.string())
-            columns = zip(*out) if out else [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, kinds)], names=["doc_id", "n_bytes", "spans", "kept_sha256"])
+            for k in range(0, batch.num_rows, ROWS):
+                out = []
+                for doc_id, settled, text, known in zip(*(c.to_pylist() for c in batch.slice(k, ROWS).columns)):
+                    at, state = _known(known)
+                    at = at[state & REPEATED > 0]
+                    starts = np.array([s["first"] for s in settled] + at.tolist(), dtype=np.int64)
+                    ends = np.array([s["end"] for s in settled] + (at + LENGTH).tolist(), dtype=np.int64)
+                    out.append((doc_id, *_done(unpack(text), spans_of(starts, ends))))
+                kinds = (pa.int64(), pa.int64(), _SPANS, pa.string())
+                columns = zip(*out) if out else [[] for _ in kinds]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, kinds)], names=["doc_id", "n_bytes", "spans", "kept_sha256"])
 
     return opened.select("doc_id", "spans", "text", "known").mapInArrow(run, _DONE)
 
@@ -297,17 +348,14 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     least that length keep nothing. NULL and repeated ids are rows like any other. Other columns are ignored. An empty
     table gives no rows.
     """
-    numbered = documents.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")
-    )
-    held = stored(numbered, "texts")
+    held = _held(documents)
     answers = _exchange(_ask_triggers(held), by_name=True)
     settled = _settle(held.join(answers, "row", "left").select("row", "doc_id", "text", "known"))
-    finished = settled.where("row IS NULL").select("doc_id", "n_bytes", "spans", "kept_sha256")
-    opened = settled.where("row IS NOT NULL")
-    packs = opened.select(F.inline("packs"))
-    again = _exchange(packs, by_name=False)
-    return finished.unionAll(_finish(opened.drop("packs").join(again, "row", "left")))
+    discard(held)
+    finished = settled.where("kept_sha256 IS NOT NULL").select("doc_id", "n_bytes", "spans", "kept_sha256")
+    again = _exchange(_ask_strings(settled.where("row IS NOT NULL")), by_name=False)
+    opened = settled.where("kept_sha256 IS NULL").drop("known").join(again, "row", "left")
+    return finished.unionAll(_finish(opened))
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:

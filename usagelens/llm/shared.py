@@ -31,6 +31,17 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of ``stored`` frames that no frame in use reads any more."""
+    for frame in frames:
+        root = shared_root(frame.sparkSession).partition(":")[2].lstrip("/") or shared_root(frame.sparkSession)
+        for folder in {name.rpartition("/")[0] for name in frame.inputFiles()}:
+            if root not in folder:
+                raise ValueError(f"{folder} is not a stored frame")
+            files, path = store(folder)
+            files.delete_dir(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
