@@ -41,13 +41,13 @@ LENGTH = 200
 WINDOW = 8
 GAP = 80
 DEPTH = LENGTH - GAP + 1
-PER_PARTITION = 8
+PER_PARTITION = 4
 #: What is known of a trigger or a string.
 REPEATED, OPEN, BOTH = 1, 2, 3
 MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 ROWS = 2048
-_QUESTION = np.dtype([("key", "<u4"), ("name", "<u8"), ("row", "<u4"), ("at", "<u4")])
+_QUESTION = np.dtype([("key", "<u4"), ("name", "<u8"), ("row", "<i8"), ("at", "<u4")])
 _KNOWN = np.dtype([("at", "<u4"), ("state", "u1")])
 PACK = "bucket long, row long, content binary"
 _PACK = pa.schema([("bucket", pa.int64()), ("row", pa.int64()), ("content", pa.binary())])
@@ -88,13 +88,12 @@ def _string_names(raw: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return both[:, 0], both[:, 1]
 
 
-def _packed(parts: int, row: np.ndarray, at: np.ndarray, key: np.ndarray, name: np.ndarray, twice: np.ndarray | None) -> pa.RecordBatch:
+def _packed(parts: int, row: np.ndarray, at: np.ndarray, key: np.ndarray, name: np.ndarray, twice: np.ndarray | None = None) -> pa.RecordBatch:
     """The questions of one batch: one for each (key, name), and what the batch can tell by itself.
 
     Rows with a negative ``bucket`` are answers already, keyed by ``row``. ``twice`` marks questions that are known to be
-    repeated. A question is asked by the first row that has it; its ``row`` counts from the least of the batch.
+    repeated. A question is asked by the first row that has it.
     """
-    base = int(row.min()) if len(row) else 0
     order = np.lexsort((at, row, name, key))
     row, at, key, name = row[order], at[order], key[order], name[order]
     new = np.ones(len(key), dtype=bool)
@@ -108,12 +107,12 @@ def _packed(parts: int, row: np.ndarray, at: np.ndarray, key: np.ndarray, name:
     first, bucket = starts, (key[starts] % np.uint64(parts)).astype(np.int64)
     asked = np.zeros(len(first), dtype=_QUESTION)
     asked["key"], asked["name"] = (key[first] >> np.uint64(32)).astype(np.uint32), name[first]
-    asked["row"], asked["at"] = row[first] - base, at[first]
+    asked["row"], asked["at"] = row[first], at[first]
     by = np.lexsort((asked["at"], asked["row"], bucket))
     bucket, asked = bucket[by], asked[by]
     edges = np.flatnonzero(np.diff(bucket)) + 1
     cuts = [0, *edges.tolist(), len(asked)] if len(asked) else [0]
-    rows = [(int(bucket[a]), base, _planes(asked[a:b])) for a, b in zip(cuts, cuts[1:])]
+    rows = [(int(bucket[a]), None, _planes(asked[a:b])) for a, b in zip(cuts, cuts[1:])]
     return _batch(out + rows)
 
 
@@ -147,9 +146,8 @@ def _answered(packs: list[tuple[int, int, bytes]], by_name: bool) -> list[tuple[
     asked = np.concatenate([_questions(c) for _, _, c in packs])
     sizes = [len(c) // _QUESTION.itemsize for _, _, c in packs]
     bucket = np.repeat([b for b, _, _ in packs], sizes)
-    row = np.repeat(np.array([r for _, r, _ in packs], dtype=np.int64), sizes) + asked["row"]
-    order = np.lexsort((row, asked["name"], asked["key"], bucket))
-    asked, bucket, row = asked[order], bucket[order], row[order]
+    order = np.lexsort((asked["row"], asked["name"], asked["key"], bucket))
+    asked, bucket = asked[order], bucket[order]
     new_key = np.ones(len(asked), dtype=bool)
     new_key[1:] = (asked["key"][1:] != asked["key"][:-1]) | (bucket[1:] != bucket[:-1])
     new_name = new_key.copy()
@@ -160,7 +158,7 @@ def _answered(packs: list[tuple[int, int, bytes]], by_name: bool) -> list[tuple[
         different = np.bincount(of_key[new_name])
         state[new_name & (different[of_key] > 1)] |= OPEN  # the first of each name stands for it
     told = state > 0
-    return _answers(row[told], asked["at"][told], state[told])
+    return _answers(asked["row"][told], asked["at"][told], state[told])
 
 
 def _exchange(packs: DataFrame, by_name: bool) -> DataFrame:
@@ -225,8 +223,8 @@ def _ask_triggers(held: DataFrame) -> DataFrame:
                     raw = unpack(text)
                     cut = parse(raw)
                     found.append((np.full(len(cut[0]), row), cut[0], *names(raw, *cut)))
-                for part in _by_range(found):
-                    yield _packed(parts, *part, None)
+                if found:
+                    yield _packed(parts, *map(np.concatenate, zip(*found)))
 
     return held.select("row", "text").mapInArrow(run, PACK)
 
@@ -250,21 +248,12 @@ def _ask_strings(opened: DataFrame) -> DataFrame:
                     starts = np.repeat(first[place] - np.cumsum(width) + width, width) + np.arange(int(width.sum()))
                     sure = np.repeat(state[open_] & REPEATED > 0, width)
                     found.append((np.full(len(starts), row), starts, *_string_names(raw, starts), sure))
-                for part in _by_range(found):
-                    yield _packed(parts, *part)
+                if found:
+                    yield _packed(parts, *map(np.concatenate, zip(*found)))
 
     return opened.select("row", "text", "known").mapInArrow(run, PACK)
 
 
-def _by_range(found: list[tuple]) -> Iterator[tuple]:
-    """Joined columns of (row, ...), cut where rows are 2^32 or more apart, as row numbers of different files are."""
-    if found:
-        columns = [np.concatenate(c) for c in zip(*found)]
-        high = columns[0] >> 32
-        for k in np.unique(high).tolist():
-            yield tuple(c[high == k] for c in columns)
-
-
 def spans_of(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs covered by the intervals [start, end); touching ones are one run."""
     if not len(starts):
