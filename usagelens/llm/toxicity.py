@@ -23,7 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
@@ -44,9 +44,10 @@ NEAREST = 25
 BLOCK = 64
 SEED_BLOCKS = 4
 HELD_OUT_MOD = 5
-WORD_CACHE = 500_000
+WORD_CACHE = 50_000
 
 _WORD = re.compile(r"[^\W\d_]+")
+_RECENT: list = [None, {}]
 
 
 def word_features(word: str) -> list[str]:
@@ -76,20 +77,23 @@ class Space:
 
     ids: dict[str, int]
     idf: np.ndarray
-    known: dict[str, tuple[int, ...]] = field(default_factory=dict, repr=False)
 
-    def __getstate__(self):
-        return {"ids": self.ids, "idf": self.idf, "known": {}}
+    def _known(self) -> dict[str, tuple[int, ...]]:
+        """Terms of words met before: one bounded memory per worker, for the space it used last."""
+        if _RECENT[0] is not self:
+            _RECENT[:] = [self, {}]
+        return _RECENT[1]
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Sorted term ids and unit-length weights; empty where the text has no feature."""
         counts: dict[int, int] = {}
+        known = self._known()
         for word, n in Counter(_WORD.findall(text.lower())).items():
-            terms = self.known.get(word)
+            terms = known.get(word)
             if terms is None:
-                if len(self.known) >= WORD_CACHE:
-                    self.known.clear()
-                terms = self.known[word] = tuple(self.ids[f] for f in word_features(word) if f in self.ids)
+                if len(known) >= WORD_CACHE:
+                    known.clear()
+                terms = known[word] = tuple(self.ids[f] for f in word_features(word) if f in self.ids)
             for t in terms:
                 counts[t] = counts.get(t, 0) + n
         terms = np.array(sorted(counts), dtype=np.int64)
@@ -233,7 +237,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     totals = texts.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     total, toxic = totals[0], int(totals[1] or 0)
     if not 0 < toxic < total:
-        base = 1.0 if total and toxic else 0.0
+        base = float(examples.agg(F.avg("toxic")).first()[0] or 0)  # one text, or one class: nothing to tell apart
         return Model(Space({}, np.zeros(0)), None, np.zeros(0), np.zeros(0), base, base, np.zeros(1), np.zeros(1))
     counted = stored(
         texts.select("toxic", "text").mapInArrow(count, "feature string, n_toxic long, n long")
