@@ -45,6 +45,7 @@ BLOCK = 64
 SEED_BLOCKS = 4
 HELD_OUT_MOD = 5
 WORD_CACHE = 50_000
+COUNTED = 50_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _RECENT: list = [None, {}]
@@ -220,6 +221,11 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> pa.RecordBatch:
+            names = list(every)
+            columns = [pa.array(names, type=pa.string()), *(pa.array([of[f] for f in names], type=pa.int64()) for of in (toxic, every))]
+            return pa.RecordBatch.from_arrays(columns, names=["feature", "n_toxic", "n"])
+
         toxic, every = Counter(), Counter()
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -227,11 +233,10 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
                 every.update(features)
                 if label:
                     toxic.update(features)
-        names = list(every)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, type=pa.string()), pa.array([toxic[f] for f in names], type=pa.int64()), pa.array([every[f] for f in names], type=pa.int64())],
-            names=["feature", "n_toxic", "n"],
-        )
+                if len(every) > COUNTED:
+                    yield counted()
+                    toxic, every = Counter(), Counter()
+        yield counted()
 
     texts = stored(examples.groupBy("text").agg(F.max("toxic").alias("toxic")), "texts")
     totals = texts.agg(F.count(F.lit(1)), F.sum("toxic")).first()
