@@ -107,9 +107,14 @@ def test_chi_square_with_one_degree_of_freedom_is_corrected(spark, cells):
     assert row["p_value"] == pytest.approx(math.erfc(math.sqrt(expected / 2)), rel=1e-9)
 
 
-def test_tails_without_a_sql_form(spark):
-    assert stats._gamma_tail(0.5, 3.841458820694124 / 2) == pytest.approx(0.05, rel=1e-9)
-    assert stats._beta_share(5.0, 0.5, 10 / (10 + 2.228138852**2)) == pytest.approx(0.05, rel=1e-7)
+def test_tails_at_known_quantiles(spark):
+    frame = spark.range(1).select(
+        stats.chi_square_tail(F.lit(3.841458820694124), F.lit(1)).alias("chi1"),
+        stats.chi_square_tail(F.lit(12.591587243743977), F.lit(6)).alias("chi6"),
+        stats.student_t_two_sided(F.lit(2.2281388519649385), F.lit(10)).alias("t10"),
+    )
+    row = frame.first()
+    assert [row["chi1"], row["chi6"], row["t10"]] == pytest.approx([0.05] * 3, rel=1e-9)
 
 
 def test_kaplan_meier_hand_values(spark):

@@ -78,3 +78,13 @@ def literal_frame(spark: SparkSession, names: Sequence[str], rows: Iterable[Sequ
     """A tiny constant table from SQL literals; its size is known to the optimizer."""
     values = ", ".join("(" + ", ".join(row) + ")" for row in rows)
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
+
+
+def dense(cells: DataFrame, row: str, column: str) -> DataFrame:
+    """``cells`` (one row per row and column label) with the missing pairs of labels added, other columns NULL.
+
+    Meant for crosstabs: every row label carries the set of column labels, so the size is that of the crosstab.
+    """
+    labels = cells.agg(F.collect_set(column).alias("labels"))
+    every = cells.select(row).distinct().withColumn(column, F.explode(scalar(labels, "labels")))
+    return every.join(cells, [row, column], "left")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from usagelens.functions.columns import dbl, ratio, scalar
+from usagelens.functions.columns import dense, dbl, ratio, scalar
 from usagelens.functions.stats import format_p
 from usagelens.operators.pricing import arm_counts
 
@@ -172,6 +172,11 @@ def scenario_best(scenarios: DataFrame) -> DataFrame:
     )
 
 
+def retention_cells(retention: DataFrame, value: str = "retention_pct") -> DataFrame:
+    """M08 from R03 or D05 in long form: every cohort with every month since signup that occurs, NULL where it has none yet."""
+    return dense(retention.select("cohort_month", "months_since_signup", value), "cohort_month", "months_since_signup")
+
+
 def retention_matrix(retention: DataFrame, value: str = "retention_pct") -> DataFrame:
     """M08 from R03 or D05: cohort by months since signup, a column m0, m1, ... for every month that occurs."""
     month = F.concat(F.lit("m"), F.col("months_since_signup").cast("string"))
@@ -185,6 +190,14 @@ def month_n_average(retention: DataFrame, month: int, value: str = "retention_pc
     )
 
 
+def model_task_cells(matrix: DataFrame, value: str = "success_pct") -> DataFrame:
+    """M09 from R06 in long form: every task with every model, and the task's spread between models."""
+    of_task = W.partitionBy("task_type")
+    spread = (F.max(value).over(of_task) - F.min(value).over(of_task)).alias("spread_pp")
+    cells = dense(matrix.select("task_type", "model", value), "task_type", "model").select("task_type", "model", value, spread)
+    return cells.withColumn("is_widest", F.col("spread_pp") == F.max("spread_pp").over(W.partitionBy()))
+
+
 def model_task_wide(matrix: DataFrame, value: str = "success_pct") -> DataFrame:
     """M09 from R06: one row per task, one column for every model that occurs, and the spread between them."""
     wide = matrix.groupBy("task_type").pivot("model").agg(F.max(value))

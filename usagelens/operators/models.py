@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from usagelens.functions.columns import dbl, month_of, ratio, succeeded
+from usagelens.functions.draws import binomial_interval
 from usagelens.functions.stats import chi_square_statistic, chi_square_tail, student_t_two_sided
 from usagelens.operators.usage import average_cost, success_rate
 
-_INTERVAL = T.StructType([T.StructField(side, T.DoubleType()) for side in ("ci_low", "ci_high")])
 ROUTING_TOLERANCE = 0.02
 BOOTSTRAP_REPLICATES = 2000
 
@@ -105,30 +102,27 @@ def cost_quality_frontier(runs: DataFrame) -> DataFrame:
     return points.withColumn("on_pareto_frontier", ~dominated)
 
 
-@F.pandas_udf(_INTERVAL)
-def _binomial_interval(n: pd.Series, successes: pd.Series, replicates: pd.Series, seed: pd.Series) -> pd.DataFrame:
-    """Percentile interval of resampled means of 0/1 labels: the sum of a resample is binomial."""
-    rows = []
-    for size, ok, b, s in zip(n, successes, replicates, seed):
-        draws = np.random.default_rng(abs(int(s))).binomial(int(size), ok / size, int(b)) / size
-        rows.append(np.percentile(draws, [2.5, 97.5]))
-    return pd.DataFrame(rows, columns=["ci_low", "ci_high"])
-
-
 def bootstrap_rate_ci(runs: DataFrame, groups: list[str], replicates: int = BOOTSTRAP_REPLICATES) -> DataFrame:
-    """Bootstrap interval of the success rate per group; each group is one row of counts."""
+    """Bootstrap interval of the success rate per group. The sum of a resample of 0/1 labels is binomial, so each
+    group is one row of counts; a group with a NULL label is compared by its text."""
     counts = runs.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_runs"), F.count_if(succeeded()).alias("n_success"))
-    interval = _binomial_interval("n_runs", "n_success", F.lit(replicates), F.xxhash64(*groups))
-    return counts.withColumn("_ci", interval).select(
+    return _with_interval(counts, groups, replicates).select(
         *groups,
         "n_runs",
         "n_success",
         ratio("n_success", "n_runs").alias("success_rate"),
-        F.col("_ci.ci_low").alias("success_rate_ci_low"),
-        F.col("_ci.ci_high").alias("success_rate_ci_high"),
+        F.col("ci_low").alias("success_rate_ci_low"),
+        F.col("ci_high").alias("success_rate_ci_high"),
     )
 
 
+def _with_interval(counts: DataFrame, groups: list[str], replicates: int) -> DataFrame:
+    interval = binomial_interval(counts, groups, "n_runs", "n_success", replicates)
+    interval = interval.select(*[F.col(g).alias(f"_{g}") for g in groups], "ci_low", "ci_high")
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]
+    return counts.join(interval, same, "left").drop(*[f"_{g}" for g in groups])
+
+
 def routing_rates(runs: DataFrame, tolerance: float = ROUTING_TOLERANCE) -> DataFrame:
     """L07 without intervals: best model and cheapest model within ``tolerance`` of it, per task."""
     per_task = W.partitionBy("task_type")
@@ -155,14 +149,12 @@ def routing_policy(
     runs: DataFrame, tolerance: float = ROUTING_TOLERANCE, replicates: int = BOOTSTRAP_REPLICATES
 ) -> DataFrame:
     """Routing recommendation with bootstrap intervals on every candidate."""
-    rated = routing_rates(runs, tolerance)
-    interval = _binomial_interval("n_runs", "n_success", F.lit(replicates), F.xxhash64("task_type", "model"))
-    return rated.withColumn("_ci", interval).select(
+    return _with_interval(routing_rates(runs, tolerance), ["task_type", "model"], replicates).select(
         "task_type",
         "model",
         "success_rate",
-        F.col("_ci.ci_low").alias("success_rate_ci_low"),
-        F.col("_ci.ci_high").alias("success_rate_ci_high"),
+        F.col("ci_low").alias("success_rate_ci_low"),
+        F.col("ci_high").alias("success_rate_ci_high"),
         "avg_cost_usd",
         "n_runs",
         "is_current_best_success",

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagelens.functions.columns import dbl, margin, paid_only, pct, ratio, scalar
+from usagelens.functions.draws import poisson_draws
 from usagelens.functions.ranking import global_rank, quantile_bucket
 from usagelens.functions.stats import Z_95, Z_POWER_80, normal_cdf, two_sided_p
 from usagelens.operators.reports import assigned_conversions, customer_margin, first_quarter_revenue
@@ -16,6 +15,7 @@ from usagelens.schemas import BALANCED_MODEL, MIGRATION_TASK, SIMPLE_TASKS_PRICI
 
 PRICES = (29.0, 39.0)  # fixed values: control and treatment price
 REPLICATES = 5000
+ARMS = ("control", "treatment")
 
 
 def margin_by_plan(months: DataFrame, runs: DataFrame) -> DataFrame:
@@ -109,51 +109,25 @@ def two_proportion_z(frame: DataFrame) -> DataFrame:
     )
 
 
-def _poisson_sums(replicates: int):
-    """Per task: replicate sums of Poisson-weighted distinct revenues of each arm.
-
-    c customers with the same revenue get a total weight Poisson(c), so a distinct value costs
-    one draw per replicate whatever its count. The seed depends on the value alone.
-    """
-
-    def weigh(batches):
-        weight: dict[str, np.ndarray] = {}
-        cents: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for arm, value, count, seed in zip(batch["variant"], batch["cents"], batch["c"], batch["seed"]):
-                draws = np.random.default_rng(seed & 0x7FFFFFFFFFFFFFFF).poisson(count, replicates)
-                if arm not in weight:
-                    weight[arm] = np.zeros(replicates, dtype="int64")
-                    cents[arm] = np.zeros(replicates, dtype="int64")
-                weight[arm] += draws
-                cents[arm] += draws * int(value)
-        for arm in weight:
-            yield pd.DataFrame(
-                {"variant": arm, "replicate": np.arange(replicates), "w": weight[arm], "wx": cents[arm]}
-            )
-
-    return weigh
-
-
 def bootstrap_revenue_ci(frame: DataFrame, replicates: int = REPLICATES) -> DataFrame:
     """Bootstrap intervals of revenue per assigned customer, per arm and for the difference.
 
-    Poisson bootstrap over distinct (arm, revenue) counts in whole cents; integer sums make
-    the result independent of partitioning.
+    Poisson bootstrap over distinct (arm, revenue) counts in whole cents: c customers with the same revenue get a
+    total weight Poisson(c), one draw a replicate whatever their count. Draws depend on the value alone and sums are
+    integers, so the result is independent of partitioning.
     """
     values = (
-        frame.where(F.col("variant").isin("control", "treatment"))
+        frame.where(F.col("variant").isin(*ARMS))
         .groupBy("variant", F.round(F.col("revenue_first_3mo_usd") * 100).cast("long").alias("cents"))
         .agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("seed", F.xxhash64("variant", "cents"))
     )
+    weight, total = [F.sum(F.when(F.col("variant") == arm, F.col("w"))) for arm in ARMS], [
+        F.sum(F.when(F.col("variant") == arm, F.col("w") * F.col("cents"))) for arm in ARMS
+    ]
     resampled = (
-        values.mapInPandas(_poisson_sums(replicates), "variant string, replicate long, w long, wx long")
+        poisson_draws(values, ["variant", "cents"], "c", replicates)
         .groupBy("replicate")
-        .agg(*[
-            ratio(F.sum(F.when(F.col("variant") == arm, F.col("wx"))), F.sum(F.when(F.col("variant") == arm, F.col("w"))) * 100).alias(arm)
-            for arm in ("control", "treatment")
-        ])
+        .agg(*[ratio(t, w * 100).alias(arm) for arm, w, t in zip(ARMS, weight, total)])
         .withColumn("difference", F.col("treatment") - F.col("control"))
     )
     bounds = resampled.agg(
@@ -166,7 +140,7 @@ def bootstrap_revenue_ci(frame: DataFrame, replicates: int = REPLICATES) -> Data
     means = frame.agg(
         *[
             ratio(F.sum(F.when(F.col("variant") == arm, revenue)), F.count_if(F.col("variant") == arm)).alias(arm)
-            for arm in ("control", "treatment")
+            for arm in ARMS
         ]
     ).withColumn("difference", F.col("treatment") - F.col("control"))
     metrics = {

@@ -28,6 +28,7 @@ from usagelens.operators import (
     whatif,
 )
 from usagelens.plans.mapping import EXPERIMENT_END, EXPERIMENT_NAME, EXPERIMENT_START, Tables
+from usagelens.schemas import ATTEMPTS as ATTEMPTS_SCHEMA
 from usagelens.schemas import TABLES
 from usagelens.sources import sinks, tables
 
@@ -265,7 +266,7 @@ ATTEMPTS: dict[str, Query] = {
     "b02_pass_at_k": lambda t: attempts.pass_at_k(t.attempts, ["model"], 3),
     "b03_benchmark_by_model": lambda t: attempts.by_model(t.attempts),
     "b04_benchmark_by_model_task_type": lambda t: attempts.by_model_task_type(t.attempts),
-    "b05_contingency": lambda t: attempts.contingency(t.attempts),
+    "b05_contingency": lambda t: attempts.contingency_counts(t.attempts),
     "b05_outcome_chi2": lambda t: attempts.outcome_test(t.attempts),
     "b06_test_pass_fraction": lambda t: attempts.passed_test_fraction(t.attempts),
     "b07_error_breakdown": lambda t: attempts.error_breakdown(t.attempts),
@@ -353,12 +354,12 @@ HEADLINE: dict[str, Query] = {
         MODELS["l08_routing_savings"](t), REPORTS["r12_failure_cost"](t), REPORTS["r06_model_task_matrix"](t)
     ),
     "m07_scenario_best": lambda t: headline.scenario_best(PRICING["p10_pricing_scenarios"](t)),
-    "m08_retention_matrix": lambda t: headline.retention_matrix(REPORTS["r03_cohort_retention"](t)),
+    "m08_retention_matrix": lambda t: headline.retention_cells(REPORTS["r03_cohort_retention"](t)),
     "m08_month_6_average": lambda t: headline.month_n_average(REPORTS["r03_cohort_retention"](t), 6),
     "m08_month_3_average": lambda t: headline.month_n_average(
         FILTERED["d05_cohort_retention_any"](t), 3, "retention"
     ),
-    "m09_model_task_matrix_wide": lambda t: headline.model_task_wide(REPORTS["r06_model_task_matrix"](t)),
+    "m09_model_task_matrix_wide": lambda t: headline.model_task_cells(REPORTS["r06_model_task_matrix"](t)),
     "m10_km_steps": lambda t: headline.km_steps(CUSTOMERS["c09_km_by_activation"](t)),
     "m10_km_gap": lambda t: headline.km_gap(CUSTOMERS["c09_km_by_activation"](t)),
     "m11_persona_minmax": lambda t: headline.persona_minmax(CUSTOMERS["c15_name_personas"](t)),
@@ -411,17 +412,30 @@ def _loaded_tables(t: Tables) -> DataFrame:
     return _sizes(loaded).join(cost, F.col("table_name") == "agent_runs", "left")
 
 
+def _digest(name: str, frame: DataFrame) -> DataFrame:
+    """Contents of a table in a form any engine can compute: per column, values, their sum, and the length of what is text."""
+    flat = plain(frame)
+    cells = flat.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("string").alias("value")) for c in flat.columns])).alias("x")).select("x.*")
+    number = F.expr("try_cast(value AS double)")
+    return cells.where("value IS NOT NULL").groupBy("name").agg(
+        F.count("value").alias("n_values"), F.sum(number).alias("total"),
+        F.sum(F.when(number.isNull(), F.length("value"))).alias("text_length"),
+    ).select(F.lit(name).alias("table_name"), "name", "n_values", "total", "text_length")
+
+
 def _report_files(t: Tables) -> DataFrame:
-    """IO3, IO4: reports written from a shared frame, then read again."""
+    """IO3, IO4: all twelve reports written, then read again; a digest of every column."""
     folder = _folder(t)
-    runs = t.runs
-    reports_ = {
-        "r06": lambda: reports.model_task_matrix(runs),
-        "r07": lambda: reports.migration_pairs(runs),
-        "r12": lambda: reports.failure_cost(runs),
-    }
-    written = sinks.run_report_catalog(reports_, folder, shared=[runs])
-    return _sizes({name: t.spark.read.parquet(f"{folder}/{name}") for name in written})
+    written = sinks.run_report_catalog({name: (lambda q=query: q(t)) for name, query in REPORTS.items()}, folder)
+    return reduce(DataFrame.unionByName, [_digest(name, t.spark.read.parquet(f"{folder}/{name}")) for name in written])
+
+
+def _benchmark_results(t: Tables) -> DataFrame:
+    """IO2: attempts as CSV with a header, read again with the declared schema; a digest of every column."""
+    folder = f"{_folder(t)}/attempts.csv"
+    t.attempts.withColumn("repeat", F.lit(1)).select(*ATTEMPTS_SCHEMA.names).write.option("header", True).csv(folder)
+    loaded = tables.load_benchmark_results(t.spark, folder)
+    return _digest("attempts", loaded.drop("repeat", "timestamp"))
 
 
 def _star_files(t: Tables) -> DataFrame:
@@ -433,6 +447,7 @@ def _star_files(t: Tables) -> DataFrame:
 SOURCES: dict[str, Query] = {
     "io1_table_sizes": _table_sizes,
     "io1_loaded_tables": _loaded_tables,
+    "io2_benchmark_results": _benchmark_results,
     "io4_report_files": _report_files,
     "io5_star_files": _star_files,
     "io6_sanitize_text": lambda t: sinks.sanitize_text(t.raw("documents").select("doc_id", "text", "lang", "source")),

@@ -131,6 +131,32 @@ _RATES = """rates AS (SELECT task_type, model, count(*) AS n, count(*) FILTER (s
                       count(*) FILTER (status = 'success')::DOUBLE / count(*) AS rate,
                       sum(llm_cost_usd)::DOUBLE / count(*) AS avg_cost FROM agent_runs GROUP BY ALL)"""
 
+def uniform(key: str) -> str:
+    """52 bits of an MD5 digest as a number in (0, 1)."""
+    return f"((('0x' || substr(md5({key}), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496::DOUBLE"
+
+
+#: All 2000 draws of every group, each by the inverse distribution function, and their quantiles.
+RESAMPLED = f"""sized AS (SELECT task_type, model, n, ok, ok::DOUBLE / n AS rate, CASE WHEN ok IN (0, n) THEN ok ELSE
+             greatest(0, floor(ok - 10 * sqrt(ok::DOUBLE * (n - ok) / n)))::BIGINT END AS low,
+             CASE WHEN ok IN (0, n) THEN ok ELSE least(n, ceil(ok + 10 * sqrt(ok::DOUBLE * (n - ok) / n) + 20))::BIGINT END AS high
+          FROM (SELECT task_type, model, count(*) AS n, count(*) FILTER (status = 'success') AS ok FROM agent_runs GROUP BY ALL)),
+heights AS (SELECT *, sum(CASE WHEN k = low THEN 0 ELSE ln((n - k + 1)::DOUBLE / k * ok / (n - ok)) END)
+                      OVER (PARTITION BY task_type, model ORDER BY k) AS h
+            FROM (SELECT *, unnest(range(low, high + 1)) AS k FROM sized)),
+masses AS (SELECT *, exp(h - max(h) OVER (PARTITION BY task_type, model)) AS m FROM heights),
+steps AS (SELECT task_type, model, k, coalesce(sum(m) OVER (PARTITION BY task_type, model ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING
+                 AND 1 PRECEDING), -1) / sum(m) OVER (PARTITION BY task_type, model) AS x FROM masses),
+draws AS (SELECT task_type, model, n, {uniform("task_type || '|' || model || '|' || r")} AS x FROM sized, range(1, 2001) t(r)),
+intervals AS (SELECT d.task_type, d.model, quantile_cont(s.k::DOUBLE / n, 0.025) AS ci_low, quantile_cont(s.k::DOUBLE / n, 0.975) AS ci_high
+              FROM draws d ASOF JOIN steps s ON d.task_type = s.task_type AND d.model = s.model AND d.x > s.x GROUP BY ALL)"""
+
+#: Two-sided tail of Student's t by Simpson's rule over the angle whose tangent is t / sqrt(dof).
+STUDENT_TAIL = """(SELECT exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) * 2 / sqrt(pi()) * sum(CASE WHEN i IN (0, 40000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+          * exp((dof - 1) * ln(greatest(cos(f + (e - f) * i / 40000), 1e-300)))) * (e - f) / 120000
+   FROM (SELECT atan(abs({t}) / sqrt({dof})) AS f, least(pi() / 2, atan(abs({t}) / sqrt({dof})) + 40 / sqrt({dof})) AS e, {dof} AS dof), range(0, 40001) g(i)
+   GROUP BY dof, e, f)"""
+
 _ROUTING = f"""{_RATES},
 placed AS (SELECT *, max(rate) OVER (PARTITION BY task_type) AS best,
                   row_number() OVER (PARTITION BY task_type ORDER BY rate DESC, model) AS lead_place FROM rates),
@@ -191,6 +217,28 @@ SELECT task_type, model, avg_cost AS avg_cost_usd, rate AS success_rate, n AS n_
 FROM rates r""",
         _RATES,
     ),
+    "l06_bootstrap_rate_ci": with_mapping(
+        """SELECT task_type, model, n AS n_runs, ok AS n_success, rate AS success_rate, ci_low AS success_rate_ci_low,
+                  ci_high AS success_rate_ci_high FROM sized JOIN intervals USING (task_type, model)""",
+        RESAMPLED,
+    ),
+    "l07_routing_policy": with_mapping(
+        """SELECT task_type, model, r.rate AS success_rate, ci_low AS success_rate_ci_low, ci_high AS success_rate_ci_high,
+                  avg_cost AS avg_cost_usd, r.n AS n_runs, lead_place = 1 AS is_current_best_success, chosen AS is_recommended
+           FROM routing r JOIN intervals USING (task_type, model)""",
+        _ROUTING.rstrip().rstrip(",") + ",\n" + RESAMPLED,
+    ),
+    "l09_rating_status_spearman": with_mapping(
+        """SELECT n AS n_rated_runs, rho AS spearman_rho, failed AS mean_rating_failed, partly AS mean_rating_partial,
+                  good AS mean_rating_success, """
+        + STUDENT_TAIL.format(t="(rho * sqrt((n - 2) / ((1 - rho) * (1 + rho))))", dof="(n - 2)::DOUBLE")
+        + """ AS p_value
+           FROM (SELECT count(*) AS n, corr(x, y) AS rho, avg(r) FILTER (s = 0) AS failed, avg(r) FILTER (s = 1) AS partly, avg(r) FILTER (s = 2) AS good
+                 FROM (SELECT s, r, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0::DOUBLE AS x,
+                              rank() OVER (ORDER BY r) + (count(*) OVER (PARTITION BY r) - 1) / 2.0::DOUBLE AS y
+                       FROM (SELECT human_rating AS r, CASE status WHEN 'failed' THEN 0 WHEN 'partial' THEN 1 WHEN 'success' THEN 2 END AS s
+                             FROM agent_runs WHERE human_rating IS NOT NULL) WHERE s IS NOT NULL))"""
+    ),
     "l07_routing_rates": with_mapping(
         """SELECT task_type, model, rate AS success_rate, avg_cost AS avg_cost_usd, n AS n_runs, ok AS n_success,
                   lead_place = 1 AS is_current_best_success, chosen AS is_recommended FROM routing""",
@@ -265,6 +313,37 @@ SELECT n1 AS n_control, n2 AS n_treatment, p1 AS conversion_control, p2 AS conve
 FROM (SELECT *, (p1 - p2) / NULLIF(sqrt((x1 + x2)::DOUBLE / (n1 + n2) * (1 - (x1 + x2)::DOUBLE / (n1 + n2)) * (w1 + w2)), 0) AS z FROM pp)""",
         AB,
     ),
+    "p06_bootstrap_revenue_ci": with_mapping(
+        """SELECT m.metric, m.mean, quantile_cont(v, 0.025) AS ci_low, quantile_cont(v, 0.975) AS ci_high
+           FROM means m JOIN (UNPIVOT (SELECT control AS control_revenue_per_assigned, treatment AS treatment_revenue_per_assigned,
+                                              treatment - control AS diff_treatment_minus_control FROM resampled)
+                              ON control_revenue_per_assigned, treatment_revenue_per_assigned, diff_treatment_minus_control
+                              INTO NAME metric VALUE v) u ON u.metric = m.metric
+           GROUP BY ALL""",
+        AB
+        + f""",
+earned AS (SELECT variant, coalesce(rev, 0) AS revenue
+           FROM ab a LEFT JOIN (SELECT a.customer_id, sum(revenue_usd) AS rev FROM ab a JOIN paid p ON p.customer_id = a.customer_id
+                WHERE converted = 1 AND p.month >= date_trunc('month', first_paid_date)
+                  AND p.month < date_trunc('month', first_paid_date) + INTERVAL 3 MONTH GROUP BY 1) f ON f.customer_id = a.customer_id),
+means AS (SELECT CASE variant WHEN 'control' THEN 'control_revenue_per_assigned' ELSE 'treatment_revenue_per_assigned' END AS metric,
+                 sum(revenue)::DOUBLE / count(*) AS mean FROM earned GROUP BY variant
+          UNION ALL SELECT 'diff_treatment_minus_control', sum(revenue) FILTER (variant = 'treatment')::DOUBLE / count(*) FILTER (variant = 'treatment')
+                 - sum(revenue) FILTER (variant = 'control')::DOUBLE / count(*) FILTER (variant = 'control') FROM earned),
+prices AS (SELECT variant, round(revenue * 100)::BIGINT AS cents, count(*) AS c FROM earned GROUP BY ALL),
+heights AS (SELECT *, sum(CASE WHEN k = low THEN 0 ELSE ln(c::DOUBLE / k) END) OVER (PARTITION BY variant, cents ORDER BY k) AS h
+            FROM (SELECT *, greatest(0, floor(c - 10 * sqrt(c)))::BIGINT AS low,
+                         unnest(range(greatest(0, floor(c - 10 * sqrt(c)))::BIGINT, ceil(c + 10 * sqrt(c) + 20)::BIGINT + 1)) AS k FROM prices)),
+masses AS (SELECT *, exp(h - max(h) OVER (PARTITION BY variant, cents)) AS m FROM heights),
+steps AS (SELECT variant, cents, k, coalesce(sum(m) OVER (PARTITION BY variant, cents ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING
+                 AND 1 PRECEDING), -1) / sum(m) OVER (PARTITION BY variant, cents) AS x FROM masses),
+weights AS (SELECT d.variant, d.cents, d.r, s.k AS w
+            FROM (SELECT variant, cents, r, {uniform("variant || '|' || cents || '|' || r")} AS x FROM prices, range(1, 5001) t(r)) d
+            ASOF JOIN steps s ON d.variant = s.variant AND d.cents = s.cents AND d.x > s.x),
+resampled AS (SELECT r, sum(w * cents) FILTER (variant = 'control')::DOUBLE / (sum(w) FILTER (variant = 'control') * 100) AS control,
+                     sum(w * cents) FILTER (variant = 'treatment')::DOUBLE / (sum(w) FILTER (variant = 'treatment') * 100) AS treatment
+              FROM weights GROUP BY r)""",
+    ),
     "p07_power_and_mde": with_mapping(
         f"""
 SELECT n1 AS n_control, n2 AS n_treatment, p1 AS conversion_control, p2 AS conversion_treatment, h AS observed_effect_size_h,

@@ -424,7 +424,10 @@ JOIN (SELECT model, avg({_pass('1')}) AS pass_at_1, avg({_pass('top')}) AS pass_
                          avg(tokens_per_sec) AS avg_tokens_per_sec, sum(cost_usd)::DOUBLE / count(*) AS avg_cost_usd FROM attempts GROUP BY ALL)"""
     ),
     "b05_contingency": with_mapping(
-        """SELECT * FROM (PIVOT (SELECT model, coalesce(status, 'unknown') AS status FROM attempts) ON status USING count(*) GROUP BY model)"""
+        """SELECT model, status, count(*) FILTER (hit) AS n
+           FROM (SELECT model, coalesce(status, 'unknown') AS status, true AS hit FROM attempts
+                 UNION ALL SELECT m.model, s.status, false FROM (SELECT DISTINCT model FROM attempts) m,
+                                  (SELECT DISTINCT coalesce(status, 'unknown') AS status FROM attempts) s) GROUP BY ALL"""
     ),
     "b05_outcome_chi2": with_mapping(
         f"""SELECT x2 AS chi2_statistic, CAST(dof AS INTEGER) AS degrees_of_freedom, sqrt(x2 / (n * small)) AS cramers_v,
@@ -521,8 +524,14 @@ QUALITY = {
     "q01_q18_soiled_quality_report": with_mapping(_quality_sql("bad_runs", "bad_months", "bad_assignments"), SOILED),
     "q19_star_quality": with_mapping(
         """
-SELECT * FROM (VALUES ('q19_dim_plan_key_unique', 0::BIGINT), ('q19_dim_model_key_unique', 0), ('q19_dim_customer_row_count', 0),
-                      ('q19_fact_customer_month_row_count', 0), ('q19_fact_agent_runs_row_count', 0), ('q19_dim_task_key_unique', 0)) t(rule, violations)
+SELECT 'q19_dim_plan_key_unique' AS rule, count(*) AS violations FROM (SELECT plan_key FROM dp GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'q19_dim_model_key_unique', count(*) FROM (SELECT model_key FROM dm GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'q19_dim_task_key_unique', count(*) FROM (SELECT task_key FROM dt GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'q19_dim_customer_row_count', abs((SELECT count(*) FROM dc) - (SELECT count(*) FROM customers))
+UNION ALL SELECT 'q19_fact_customer_month_row_count', abs(count(*) - (SELECT count(*) FROM customer_months))
+   FROM customer_months f JOIN dc ON dc.customer_id = f.customer_id JOIN dp ON dp.plan = f.plan
+UNION ALL SELECT 'q19_fact_agent_runs_row_count', abs(count(*) - (SELECT count(*) FROM agent_runs))
+   FROM agent_runs f JOIN dc ON dc.customer_id = f.customer_id JOIN dm ON dm.model = f.model JOIN dt ON dt.task_type = f.task_type
 UNION ALL SELECT 'q19_dim_customer_key_unique', count(*) FROM (SELECT customer_id FROM dc GROUP BY 1 HAVING count(*) > 1)
 UNION ALL SELECT 'q19_fact_agent_runs_customer_key_resolves', count(DISTINCT customer_id) FROM agent_runs WHERE customer_id NOT IN (SELECT customer_id FROM dc)
 UNION ALL SELECT 'q19_fact_agent_runs_plan_key_resolves', count(DISTINCT plan_at_run) FROM agent_runs WHERE plan_at_run NOT IN (SELECT plan FROM dp)
@@ -532,9 +541,13 @@ UNION ALL SELECT 'q19_fact_agent_runs_date_key_resolves', count(*) FROM (SELECT
 UNION ALL SELECT 'q19_fact_customer_month_customer_key_resolves', count(DISTINCT customer_id) FROM customer_months WHERE customer_id NOT IN (SELECT customer_id FROM dc)
 UNION ALL SELECT 'q19_fact_customer_month_plan_key_resolves', count(DISTINCT plan) FROM customer_months WHERE plan NOT IN (SELECT plan FROM dp)
 UNION ALL SELECT 'q19_fact_customer_month_date_key_resolves', count(DISTINCT month) FROM customer_months WHERE month > (SELECT max(day) FROM order_days)
-UNION ALL SELECT 'q19_dim_date_key_unique', 0::BIGINT
-UNION ALL SELECT 'q19_dim_date_without_gaps', 0::BIGINT""",
-        _DIMS,
+UNION ALL SELECT 'q19_dim_date_key_unique', count(*) FROM (SELECT strftime(d, '%Y%m%d') FROM calendar GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'q19_dim_date_without_gaps', count(*) FROM (SELECT d - lag(d) OVER (ORDER BY d) AS gap FROM calendar) WHERE gap <> 1""",
+        _DIMS
+        + """,
+calendar AS (SELECT unnest(generate_series(date_trunc('month', low), last_day(high), INTERVAL 1 DAY))::DATE AS d
+             FROM (SELECT least((SELECT min(started_at)::DATE FROM agent_runs), (SELECT min(signup_date) FROM customers), (SELECT min(month) FROM customer_months)) AS low,
+                          greatest((SELECT max(started_at)::DATE FROM agent_runs), (SELECT max(churn_date) FROM customers), (SELECT max(month) FROM customer_months)) AS high))""",
     ),
     "q20_dataset_summary": with_mapping(
         """
@@ -610,7 +623,9 @@ failed AS (SELECT model, task_type, sum(llm_cost_usd) AS cost FROM agent_runs WH
     ),
     "m08_retention_matrix": _over(
         REPORT_SQL["r03_cohort_retention"],
-        "SELECT * FROM (PIVOT (SELECT cohort_month, 'm' || months_since_signup AS k, retention_pct FROM {q}) ON k USING max(retention_pct) GROUP BY cohort_month)",
+        """WITH q AS {q} SELECT c.cohort_month, k.months_since_signup, (SELECT max(retention_pct) FROM q WHERE q.cohort_month = c.cohort_month
+                  AND q.months_since_signup = k.months_since_signup) AS retention_pct
+           FROM (SELECT DISTINCT cohort_month FROM q) c, (SELECT DISTINCT months_since_signup FROM q) k""",
     ),
     "m08_month_6_average": _over(
         REPORT_SQL["r03_cohort_retention"],
@@ -622,9 +637,10 @@ failed AS (SELECT model, task_type, sum(llm_cost_usd) AS cost FROM agent_runs WH
     ),
     "m09_model_task_matrix_wide": _over(
         REPORT_SQL["r06_model_task_matrix"],
-        """SELECT wide.*, spread_pp, spread_pp = max(spread_pp) OVER () AS is_widest
-           FROM (PIVOT (SELECT task_type, model, success_pct FROM {q}) ON model USING max(success_pct) GROUP BY task_type) wide
-           JOIN (SELECT task_type AS task, max(success_pct) - min(success_pct) AS spread_pp FROM {q} GROUP BY 1) ON task = wide.task_type""",
+        """WITH q AS {q}, s AS (SELECT task_type, max(success_pct) - min(success_pct) AS spread_pp FROM q GROUP BY 1)
+           SELECT task_type, model, success_pct, spread_pp, spread_pp = (SELECT max(spread_pp) FROM s) AS is_widest
+           FROM (SELECT * FROM (SELECT DISTINCT task_type FROM q), (SELECT DISTINCT model FROM q))
+           LEFT JOIN q USING (task_type, model) JOIN s USING (task_type)""",
     ),
     "m10_km_steps": with_mapping(
         """SELECT "group", 0::BIGINT AS t, 1.0::DOUBLE AS survival FROM km GROUP BY 1
@@ -671,6 +687,13 @@ _STAR_TABLES = {
     "fact_customer_month": with_mapping("SELECT month FROM customer_months"),
 }
 
+def _digest(name: str, sql: str) -> str:
+    """Per column of a query: values, their sum, and the length of what is not a number."""
+    return f"""SELECT '{name}' AS table_name, name, count(*) AS n_values, sum(try_cast(value AS DOUBLE)) AS total,
+                      sum(CASE WHEN try_cast(value AS DOUBLE) IS NULL THEN length(value) END)::BIGINT AS text_length
+               FROM (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM ({sql})) ON COLUMNS(*) INTO NAME name VALUE value) GROUP BY name"""
+
+
 SOURCES = {
     "io1_table_sizes": with_mapping(
         " UNION ALL ".join(
@@ -684,10 +707,10 @@ SOURCES = {
             for t in ("plans", "models", "customers", "customer_months", "agent_runs", "experiment_assignments")
         )
     ),
-    "io4_report_files": " UNION ALL ".join(
-        f"SELECT '{short}' AS table_name, count(*) AS n_rows FROM ({REPORT_SQL[name]})"
-        for short, name in (("r06", "r06_model_task_matrix"), ("r07", "r07_migration_pairs"), ("r12", "r12_failure_cost"))
+    "io2_benchmark_results": with_mapping(
+        _digest("attempts", "SELECT *, true AS code_extracted FROM attempts"),
     ),
+    "io4_report_files": " UNION ALL ".join(f"({_digest(name, sql)})" for name, sql in REPORT_SQL.items()),
     "io5_star_files": " UNION ALL ".join(
         f"SELECT '{table}' AS table_name, count(*) AS n_rows FROM ({sql})" for table, sql in _STAR_TABLES.items()
     ),
