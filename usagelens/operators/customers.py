@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from usagelens.functions import clusters
 from usagelens.functions.columns import (
     count_where,
     dbl,
@@ -261,6 +260,7 @@ PERSONA_FEATURES = [
 SKEWED_FEATURES = ["avg_monthly_runs", "avg_llm_cost", "lifetime_revenue_usd"]
 MIN_CLUSTER_SHARE = 0.05
 RESTARTS = 10
+FIRST_SEED = 42
 
 
 def customer_usage_features(customers: DataFrame, runs: DataFrame, months: DataFrame) -> DataFrame:
@@ -328,41 +328,15 @@ def cluster_matrix(features: DataFrame) -> DataFrame:
     return shaped.select("customer_id", *[standard(c).alias(c) for c in PERSONA_FEATURES])
 
 
-def _with_vectors(matrix: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=PERSONA_FEATURES, outputCol="features").transform(matrix).select(
-        "customer_id", "features"
-    )
-
-
-def _concurrently(job, arguments: Sequence, parallelism: int = 8) -> list:
-    """Submit independent Spark jobs from a few driver threads."""
-    with ThreadPoolExecutor(parallelism) as pool:
-        return list(pool.map(inheritable_thread_target(job), arguments))
-
-
-def fit_clusters(vectors: DataFrame, ks: Sequence[int], restarts: int = RESTARTS, parallelism: int = 8) -> dict:
-    """Best of ``restarts`` k-means models per k. Independent fits are submitted concurrently."""
-
-    def fit(job: tuple[int, int]):
-        k, seed = job
-        model = KMeans(k=k, seed=seed, maxIter=300).fit(vectors)
-        return k, model.summary.trainingCost, seed, model
-
-    fits = _concurrently(fit, [(k, 42 + r) for k in ks for r in range(restarts)], parallelism)
-    return {k: min((f for f in fits if f[0] == k), key=lambda f: (f[1], f[2]))[3] for k in ks}
-
-
-def choose_k(vectors: DataFrame, models: dict) -> DataFrame:
+def choose_k(matrix: DataFrame, models: dict[int, clusters.Clusters]) -> DataFrame:
     """Silhouette (squared Euclidean) and cluster sizes for each k."""
-
-    def assess(k: int):
-        sizes = [int(s) for s in models[k].summary.clusterSizes]
+    scores = clusters.mean_silhouettes(matrix, PERSONA_FEATURES, list(models.values())) if models else []
+    rows = []
+    for (k, model), score in zip(models.items(), scores):
+        sizes = [int(n) for n in model.sizes]
         share = min(sizes) / sum(sizes)
-        score = ClusteringEvaluator().evaluate(models[k].transform(vectors))
-        return k, score, ",".join(map(str, sizes)), share, share >= MIN_CLUSTER_SHARE
-
-    rows = _concurrently(assess, list(models))
-    return vectors.sparkSession.createDataFrame(
+        rows.append((k, score, ",".join(map(str, sizes)), share, share >= MIN_CLUSTER_SHARE))
+    return matrix.sparkSession.createDataFrame(
         rows,
         "k int, silhouette_score double, cluster_sizes string, smallest_cluster_share double, "
         "meets_min_cluster_share boolean",
@@ -383,15 +357,12 @@ def best_k(diagnostics: DataFrame) -> tuple[int, float]:
 
 
 def persona_models(features: DataFrame, ks: Sequence[int] = range(3, 7), restarts: int = RESTARTS):
-    """(vectors, models, diagnostics) over ever-paid customers."""
-    # checkpointed so that the many short k-means jobs do not carry the feature lineage
-    vectors = _with_vectors(cluster_matrix(features.where("ever_paid"))).checkpoint()
-    vectors.persist(StorageLevel.MEMORY_AND_DISK)  # one copy for all fits; else each caches its own
-    try:
-        models = fit_clusters(vectors, list(ks), restarts)
-        return vectors, models, choose_k(vectors, models)
-    finally:
-        vectors.unpersist()
+    """(matrix, best model per k, diagnostics) over ever-paid customers; all restarts of all k share their passes."""
+    # checkpointed so that the passes do not carry the feature lineage
+    matrix = cluster_matrix(features.where("ever_paid")).checkpoint()
+    seeds = range(FIRST_SEED, FIRST_SEED + restarts)
+    models = clusters.best_restarts(clusters.fit(matrix, PERSONA_FEATURES, "customer_id", list(ks), seeds))
+    return matrix, models, choose_k(matrix, models)
 
 
 def persona_k_selection(features: DataFrame, ks: Sequence[int] = range(3, 7), restarts: int = RESTARTS) -> DataFrame:
@@ -402,9 +373,9 @@ def personas(
     features: DataFrame, ks: Sequence[int] = range(3, 7), restarts: int = RESTARTS
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """C14: (assignments, named profiles, k diagnostics)."""
-    vectors, models, diagnostics = persona_models(features, ks, restarts)
+    matrix, models, diagnostics = persona_models(features, ks, restarts)
     k, score = best_k(diagnostics)
-    labels = models[k].transform(vectors).select("customer_id", F.col("prediction").alias("cluster"))
+    labels = clusters.assigned(matrix, PERSONA_FEATURES, "customer_id", models[k])
     assignments = features.where("ever_paid").join(labels, "customer_id").select(
         "customer_id", "cluster", *PERSONA_FEATURES
     )

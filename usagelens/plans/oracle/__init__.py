@@ -2,12 +2,14 @@
 
 from usagelens.plans.oracle.analytics import CUSTOMERS, MODELS, PRICING
 from usagelens.plans.oracle.layers import ATTEMPTS, FILTERED, HEADLINE, QUALITY, SOURCES, STAR, WHAT_IF
+from usagelens.plans.oracle.personas import PERSONAS
 from usagelens.plans.oracle.reports import REPORTS
 
 ORACLE: dict[str, str] = {
     **SOURCES,
     **REPORTS,
     **CUSTOMERS,
+    **PERSONAS,
     **MODELS,
     **PRICING,
     **FILTERED,

@@ -53,6 +53,22 @@ features AS (SELECT c.customer_id, current_plan, n_runs, failure_rate, migration
              FROM customers c JOIN behaviour USING (customer_id) LEFT JOIN scores USING (customer_id)
              LEFT JOIN bill USING (customer_id))"""
 
+MATRIX = f"""{FEATURES},
+ever AS (SELECT * FROM features WHERE ever_paid),
+q AS (SELECT quantile_cont(avg_monthly_runs, [0.01, 0.99]) AS a, quantile_cont(avg_llm_cost, [0.01, 0.99]) AS b,
+             quantile_cont(lifetime_revenue_usd, [0.01, 0.99]) AS c FROM ever),
+shaped AS (SELECT ever.*, ln(1 + greatest(least(avg_monthly_runs, a[2]), a[1])) AS amr,
+                  ln(1 + greatest(least(avg_llm_cost, b[2]), b[1])) AS alc,
+                  ln(1 + greatest(least(lifetime_revenue_usd, c[2]), c[1])) AS rev FROM ever, q),
+matrix AS (
+  SELECT customer_id, (amr - avg(amr) OVER ()) / stddev_pop(amr) OVER () AS avg_monthly_runs,
+         (failure_rate - avg(failure_rate) OVER ()) / stddev_pop(failure_rate) OVER () AS failure_rate,
+         (migration_share - avg(migration_share) OVER ()) / stddev_pop(migration_share) OVER () AS migration_share,
+         (activation_score - avg(activation_score) OVER ()) / stddev_pop(activation_score) OVER () AS activation_score,
+         (alc - avg(alc) OVER ()) / stddev_pop(alc) OVER () AS avg_llm_cost,
+         (rev - avg(rev) OVER ()) / stddev_pop(rev) OVER () AS lifetime_revenue_usd
+  FROM shaped)"""
+
 CUSTOMERS = {
     "c01_activation_scores": with_mapping("SELECT customer_id, score AS activation_score FROM scores", _SCORES),
     "c02_activation_threshold": with_mapping(
@@ -108,23 +124,7 @@ SELECT 'Never converted (Free only)' AS persona_name, count(*) FILTER (NOT ever_
 FROM features""",
         FEATURES,
     ),
-    "c12_cluster_matrix": with_mapping(
-        """
-SELECT customer_id, (amr - avg(amr) OVER ()) / stddev_pop(amr) OVER () AS avg_monthly_runs,
-       (failure_rate - avg(failure_rate) OVER ()) / stddev_pop(failure_rate) OVER () AS failure_rate,
-       (migration_share - avg(migration_share) OVER ()) / stddev_pop(migration_share) OVER () AS migration_share,
-       (activation_score - avg(activation_score) OVER ()) / stddev_pop(activation_score) OVER () AS activation_score,
-       (alc - avg(alc) OVER ()) / stddev_pop(alc) OVER () AS avg_llm_cost,
-       (rev - avg(rev) OVER ()) / stddev_pop(rev) OVER () AS lifetime_revenue_usd
-FROM shaped""",
-        f"""{FEATURES},
-ever AS (SELECT * FROM features WHERE ever_paid),
-q AS (SELECT quantile_cont(avg_monthly_runs, [0.01, 0.99]) AS a, quantile_cont(avg_llm_cost, [0.01, 0.99]) AS b,
-             quantile_cont(lifetime_revenue_usd, [0.01, 0.99]) AS c FROM ever),
-shaped AS (SELECT ever.*, ln(1 + greatest(least(avg_monthly_runs, a[2]), a[1])) AS amr,
-                  ln(1 + greatest(least(avg_llm_cost, b[2]), b[1])) AS alc,
-                  ln(1 + greatest(least(lifetime_revenue_usd, c[2]), c[1])) AS rev FROM ever, q)""",
-    ),
+    "c12_cluster_matrix": with_mapping("SELECT * FROM matrix", MATRIX),
 }
 
 _RATES = """rates AS (SELECT task_type, model, count(*) AS n, count(*) FILTER (status = 'success') AS ok, sum(llm_cost_usd) AS cost,
