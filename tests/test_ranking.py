@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from usagelens.functions.ranking import global_rank, interpolated_quantiles, ntile_of, quantile_bucket
+from usagelens.functions.ranking import global_rank, interpolated_quantiles, ntile_of, quantile_bucket, rank_auc
 
 
 def test_global_rank_is_dense_unique_and_ordered_under_heavy_ties(spark):
@@ -50,3 +50,19 @@ def test_interpolated_quantiles_match_numpy(spark):
     got = interpolated_quantiles(frame, ["a", "b"], [0.01, 0.5, 0.99])
     assert got["a"] == pytest.approx(list(np.quantile(a, [0.01, 0.5, 0.99])))
     assert got["b"] == pytest.approx(list(np.quantile(b, [0.01, 0.5, 0.99])))
+
+
+def test_rank_auc_counts_all_pairs(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([0.5, -1.25, rng.random()]), rng.random() < 0.3) for _ in range(300)]
+    frame = spark.createDataFrame(rows, "score double, hit boolean").repartition(5)
+    hits, rest = [s for s, hit in rows if hit], [s for s, hit in rows if not hit]
+    want = sum((a > b) + (a == b) / 2 for a in hits for b in rest) / (len(hits) * len(rest))
+
+    def counts(table):
+        return table.groupBy("score").agg(F.count_if("hit").alias("p"), F.count_if(~F.col("hit")).alias("n"))
+
+    for ranges in (1, 2, 7, 256):
+        assert rank_auc(counts(frame), "score", "p", "n", ranges).first()["auc"] == pytest.approx(want, abs=1e-12)
+    for table in (frame.where("hit"), frame.where("NOT hit"), frame.where("false")):
+        assert rank_auc(counts(table), "score", "p", "n").first()["auc"] is None

@@ -144,3 +144,23 @@ def _covered_ranks(counted: DataFrame) -> DataFrame:
         .withColumn("_last", F.col("_before") + F.sum("c").over(inside))
         .withColumn("_first", F.col("_last") - F.col("c") + 1)
     )
+
+
+def rank_auc(counts: DataFrame, score: str, positives: str, negatives: str, ranges: int = 256) -> DataFrame:
+    """One row (auc): the Mann-Whitney share of (positive, negative) pairs in the right order, ties counting half.
+
+    ``counts`` has one row per distinct score, so a score that most rows share is one row here. The scores are cut into
+    ranges at approximate quantiles; negatives below a score are those of the lower ranges plus a running sum inside its
+    own range. The cuts only spread the work: any cuts give the same result. NULL without positives or negatives.
+    """
+    cuts = counts.agg(F.percentile_approx(score, [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]
+    edges = F.array(*[F.lit(c).cast("double") for c in sorted(set(cuts or []))]).cast("array<double>")
+    placed = counts.withColumn("_range", F.size(F.filter(edges, lambda c: c < F.col(score))))
+    lower = placed.groupBy("_range").agg(F.sum(negatives).alias("_own")).select(
+        "_range", F.coalesce(F.sum("_own").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_lower")
+    )  # at most ``ranges`` rows
+    inside = F.coalesce(F.sum(negatives).over(W.partitionBy("_range").orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    won = F.col(positives) * (F.col("_lower") + F.col("_inside") + F.col(negatives) / 2)
+    return placed.withColumn("_inside", inside).join(F.broadcast(lower), "_range").agg(
+        F.try_divide(F.sum(won), F.sum(positives).cast("double") * F.sum(negatives)).alias("auc")
+    )

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -25,8 +25,9 @@ from usagelens.functions.columns import (
     ratio,
     scalar,
 )
-from usagelens.functions.ranking import ensure_checkpoint_dir, interpolated_quantiles
-from usagelens.functions.stats import Z_95, kaplan_meier
+from usagelens.functions.draws import uniform
+from usagelens.functions.ranking import ensure_checkpoint_dir, interpolated_quantiles, rank_auc
+from usagelens.functions.stats import Z_95, kaplan_meier, normal_tail
 from usagelens.operators.usage import (
     WINDOW_SIZE,
     activation_counts,
@@ -169,34 +170,31 @@ def hazard_odds_ratios(panel: DataFrame) -> DataFrame:
     )
     try:
         design, names = hazard_design(kept)
-        model = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=100, tol=1e-10).fit(design)
-        summary = model.summary
+        model = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=100, tol=1e-12).fit(design)
         rows = [
-            (name, float(b), float(se), float(p))
-            for name, b, se, p in zip(
-                names, model.coefficients, summary.coefficientStandardErrors, summary.pValues
-            )
+            (name, float(b), float(se))
+            for name, b, se in zip(names, model.coefficients, model.summary.coefficientStandardErrors)
         ]
     finally:
         kept.unpersist()
-    coefficients = panel.sparkSession.createDataFrame(rows, "feature string, coef double, se double, p_value double")
+    coefficients = panel.sparkSession.createDataFrame(rows, "feature string, coef double, se double")
     return coefficients.select(
         "feature",
         "coef",
         F.exp("coef").alias("odds_ratio"),
         F.exp(F.col("coef") - Z_95 * F.col("se")).alias("odds_ratio_ci_low"),
         F.exp(F.col("coef") + Z_95 * F.col("se")).alias("odds_ratio_ci_high"),
-        "p_value",
+        (2 * normal_tail(F.abs(F.try_divide("coef", "se")))).alias("p_value"),
     )
 
 
 def in_holdout(share: float = 0.25) -> Column:
     """Customer-level split: all months of a customer fall on the same side."""
-    return F.pmod(F.xxhash64("customer_id", F.lit("holdout")), F.lit(10_000)) < int(share * 10_000)
+    return uniform("customer_id", F.lit("holdout")) < share
 
 
-def hazard_holdout_auc(panel: DataFrame, share: float = 0.25) -> float:
-    """ROC-AUC on held-out customers of an L2 logistic model (C = 1 on standardised features)."""
+def hazard_holdout_auc(panel: DataFrame, share: float = 0.25) -> float | None:
+    """ROC-AUC on held-out customers of an L2 logistic model (C = 1 on standardised features), as a rank statistic."""
     kept = panel.select("customer_id", "churned_event", *HAZARD_CATEGORIES, *HAZARD_NUMBERS).persist(
         StorageLevel.MEMORY_AND_DISK
     )
@@ -206,10 +204,14 @@ def hazard_holdout_auc(panel: DataFrame, share: float = 0.25) -> float:
         shared = train.select("customer_id").join(test.select("customer_id"), "customer_id", "left_semi")
         if not shared.isEmpty():
             raise RuntimeError("a customer is on both sides of the holdout split")
-        size = train.count()
-        fitted = LogisticRegression(maxIter=1000, regParam=1.0 / size, elasticNetParam=0.0, standardization=True).fit(train)
-        # numBins=0: every distinct score is a threshold, so ties count half as in the rank statistic
-        return BinaryClassificationEvaluator(numBins=0).evaluate(fitted.transform(test))
+        fitted = LogisticRegression(
+            maxIter=1000, tol=1e-12, regParam=1.0 / train.count(), elasticNetParam=0.0, standardization=True
+        ).fit(train)
+        scored = fitted.transform(test).select("label", vector_to_array("rawPrediction")[1].alias("score"))
+        counts = scored.groupBy("score").agg(
+            F.count_if(F.col("label") == 1).alias("positives"), F.count_if(F.col("label") == 0).alias("negatives")
+        )
+        return rank_auc(counts, "score", "positives", "negatives").first()["auc"]
     finally:
         kept.unpersist()
 
@@ -218,7 +220,7 @@ def churn_model_summary(panel: DataFrame) -> DataFrame:
     """Holdout AUC with panel size and number of events."""
     auc = hazard_holdout_auc(panel)
     return panel.agg(
-        F.lit(auc).alias("holdout_roc_auc"),
+        F.lit(auc).cast("double").alias("holdout_roc_auc"),
         F.count(F.lit(1)).alias("n_panel_rows"),
         F.sum("churned_event").alias("n_events"),
     )

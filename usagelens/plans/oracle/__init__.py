@@ -1,6 +1,7 @@
 """Independent SQL for every registered query that SQL can express."""
 
 from usagelens.plans.oracle.analytics import CUSTOMERS, MODELS, PRICING
+from usagelens.plans.oracle.hazard import HAZARD
 from usagelens.plans.oracle.layers import ATTEMPTS, FILTERED, HEADLINE, QUALITY, SOURCES, STAR, WHAT_IF
 from usagelens.plans.oracle.personas import PERSONAS
 from usagelens.plans.oracle.reports import REPORTS
@@ -10,6 +11,7 @@ ORACLE: dict[str, str] = {
     **REPORTS,
     **CUSTOMERS,
     **PERSONAS,
+    **HAZARD,
     **MODELS,
     **PRICING,
     **FILTERED,

@@ -10,7 +10,7 @@ _LAGGED = """lagged AS (SELECT customer_id, (month + INTERVAL 1 MONTH)::DATE AS
                        count(*) FILTER (task_type = 'code_migration')::DOUBLE / count(*) AS mr
                        FROM agent_runs r GROUP BY customer_id, r.month)"""
 
-_PANEL = f"""{_SCORES},
+PANEL = f"""{_SCORES},
 {_LAGGED},
 rows AS (SELECT p.customer_id, p.month, p.plan, p.credits_used, c.signup_date, c.acquisition_channel, c.status, c.churn_date,
                 row_number() OVER (PARTITION BY p.customer_id ORDER BY p.month) AS row_number,
@@ -34,7 +34,7 @@ km AS (SELECT "group", t, n_at_risk, events,
                           lambda a, b: a * b) AS survival
        FROM risk)"""
 
-KM_ACTIVATION = f"""{_PANEL},
+KM_ACTIVATION = f"""{PANEL},
 subjects AS (SELECT CASE WHEN max(activation_score) >= 0.6::DOUBLE THEN 'Activated (>=3/5)' ELSE 'Not activated (<3/5)' END AS arm,
                     max(n_rows) AS duration, max(churned_event) AS event
              FROM panel GROUP BY customer_id),
@@ -99,7 +99,7 @@ SELECT customer_id, CAST(month AS VARCHAR) AS month, plan, credits_used, CAST(ro
        CAST(tenure_months AS INTEGER) AS tenure_months, CAST(tenure_months * tenure_months AS INTEGER) AS tenure_months_sq,
        ln(1 + prior_month_n_runs) AS log_monthly_runs
 FROM panel""",
-        _PANEL,
+        PANEL,
     ),
     "c08_kaplan_meier": with_mapping(
         'SELECT "group", CAST(t AS INTEGER) AS t, n_at_risk, events, survival FROM km',
