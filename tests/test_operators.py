@@ -2,6 +2,7 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from usagelens.operators import attempts, customers, filtered, headline, models, pricing, quality, reports, star, usage, whatif
@@ -519,6 +520,24 @@ def test_star_measures_rank_time_ties_together(spark, make):
     assert row["success_rate"] == pytest.approx(3 / 8) and row["activation_rate"] == 0.0
 
 
+def test_star_measures_keep_a_crowded_second_as_one_row(spark):
+    i = F.col("id")
+    # customer a: 4 early runs, then 20,000 in one second (all of rank 5), then later ones; others have few runs
+    crowd = spark.range(20_010).select(
+        F.when(i < 20_008, "a").otherwise("b").alias("customer_key"),
+        F.timestamp_seconds(F.when(i < 4, i).when(i < 20_004, 10).otherwise(i)).alias("started_at"),
+        F.when((i >= 4) & (i < 15_004) | (i == 20_008), "success").otherwise("failed").alias("status"),
+        F.lit(1).cast("decimal(18,6)").alias("llm_cost_usd"),
+    ).repartition(7)
+    ranked = crowd.withColumn("r", F.rank().over(Window.partitionBy("customer_key").orderBy("started_at"))).where("r <= 5")
+    shares = {r["customer_key"]: r["share"] for r in ranked.groupBy("customer_key").agg(
+        (F.count_if(F.col("status") == "success") / F.count(F.lit(1))).alias("share")).collect()}
+    assert shares["a"] == pytest.approx(15_000 / 20_004) and shares["b"] == 0.5
+    assert star.star_run_measures(crowd).first()["activation_rate"] == 0.5
+    assert star.star_run_measures(crowd.where("customer_key = 'a'")).first()["activation_rate"] == 1.0
+    assert star.star_run_measures(crowd.where("false")).first()["activation_rate"] is None
+
+
 # -- invariance ------------------------------------------------------------------------
 
 
