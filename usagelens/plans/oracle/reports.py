@@ -134,21 +134,23 @@ FROM (SELECT task_type, count(*) AS n_runs, count(*) FILTER (status = 'success')
     ),
     "r10_customer_margin_deciles": with_mapping(
         """
-SELECT margin_decile, count(*) AS customers, avg(margin) * 100.0 AS avg_margin_pct, min(margin) * 100 AS min_margin_pct,
-       max(margin) * 100 AS max_margin_pct, sum(rev)::DOUBLE AS total_revenue_usd,
-       sum(rev - cost)::DOUBLE AS total_gross_profit_usd, avg(share) * 100.0 AS avg_migration_share_pct,
-       any_value(v.plan) AS most_common_plan
-FROM d JOIN votes v USING (margin_decile) WHERE place = 1 GROUP BY margin_decile""",
-        """rc AS (SELECT customer_id, sum(llm_cost_usd) AS cost,
-                   count(*) FILTER (task_type = 'code_migration')::DOUBLE / count(*) AS share FROM agent_runs GROUP BY 1),
-econ AS (SELECT customer_id, sum(revenue_usd) AS rev FROM paid GROUP BY 1 HAVING sum(revenue_usd) > 0),
-m AS (SELECT customer_id, rev, coalesce(cost, 0) AS cost, coalesce(share, 0) AS share,
-             (rev - coalesce(cost, 0))::DOUBLE / rev::DOUBLE AS margin
-      FROM econ LEFT JOIN rc USING (customer_id)),
-d AS (SELECT *, CAST(ntile(10) OVER (ORDER BY margin, customer_id) AS INTEGER) AS margin_decile FROM m),
-votes AS (SELECT margin_decile, current_plan AS plan,
-                 row_number() OVER (PARTITION BY margin_decile ORDER BY count(*) DESC, current_plan) AS place
-          FROM d JOIN customers USING (customer_id) GROUP BY margin_decile, current_plan)""",
+SELECT margin_decile, count(*) AS customers, avg(kept::DOUBLE / earned::DOUBLE) * 100 AS avg_margin_pct,
+       min(kept::DOUBLE / earned::DOUBLE) * 100 AS min_margin_pct, max(kept::DOUBLE / earned::DOUBLE) * 100 AS max_margin_pct,
+       sum(earned)::DOUBLE AS total_revenue_usd, sum(kept)::DOUBLE AS total_gross_profit_usd,
+       avg(migrating) * 100 AS avg_migration_share_pct, any_value(favourite) AS most_common_plan
+FROM dealt LEFT JOIN tally USING (margin_decile) GROUP BY margin_decile""",
+        # bucket sizes by arithmetic: the first n % 10 buckets hold one customer more than n // 10
+        """ledger AS (SELECT customer_id, revenue_usd AS earned, 0 AS spent, NULL AS migration FROM paid
+           UNION ALL SELECT customer_id, 0, llm_cost_usd, (task_type = 'code_migration')::INT FROM agent_runs),
+book AS (SELECT customer_id, sum(earned) AS earned, sum(earned) - sum(spent) AS kept, coalesce(avg(migration), 0) AS migrating
+         FROM ledger GROUP BY customer_id),
+line AS (SELECT *, row_number() OVER (ORDER BY kept::DOUBLE / earned::DOUBLE, customer_id) - 1 AS ahead, count(*) OVER () AS n
+         FROM book WHERE earned > 0),
+dealt AS (SELECT *, CAST(1 + CASE WHEN ahead < (n % 10) * (n // 10 + 1) THEN ahead // (n // 10 + 1)
+                                  ELSE (ahead - n % 10) // (n // 10) END AS INTEGER) AS margin_decile FROM line),
+tally AS (SELECT margin_decile, min({'fewer': -members, 'plan': current_plan}).plan AS favourite
+          FROM (SELECT margin_decile, current_plan, count(*) AS members FROM dealt JOIN customers USING (customer_id)
+                WHERE current_plan IS NOT NULL GROUP BY ALL) GROUP BY margin_decile)""",
     ),
     "r11_experiment_results": with_mapping(
         """
