@@ -239,7 +239,7 @@ def pricing_scenarios(
     pro_increase: int = 10,
     exclude_already_repriced: bool = False,
 ) -> DataFrame:
-    """P10: observed billing and run cost under four pricing scenarios.
+    """P10: observed billing and run cost under four pricing scenarios, each with what it assumes in words.
 
     With ``exclude_already_repriced`` the Pro increase skips customers of the treatment arm.
     """
@@ -275,11 +275,24 @@ def pricing_scenarios(
     revenue, cost = dbl("revenue"), dbl("cost")
     old, new = migration_credits
     extra_credits = F.col("migrations") * (new - old) * ratio("revenue", "credits")
+    whom = "Pro months of customers not repriced before" if exclude_already_repriced else "all Pro months"
     scenarios = {
-        "status_quo": (revenue, cost),
-        "complexity_weighted_migration_credits": (revenue + extra_credits, cost),
-        "route_simple_tasks_to_balanced_medium": (revenue, dbl("other_cost") + F.col("rerouted")),
-        "pro_39": (revenue + F.col("pro_months") * pro_increase, cost),
+        "status_quo": (revenue, cost, "Billing and run cost as observed."),
+        "complexity_weighted_migration_credits": (
+            revenue + extra_credits,
+            cost,
+            f"A migration run is charged {new} credits instead of {old}, sold at the mean revenue per credit; run cost stays.",
+        ),
+        "route_simple_tasks_to_balanced_medium": (
+            revenue,
+            dbl("other_cost") + F.col("rerouted"),
+            f"Runs of {', '.join(sorted(simple_tasks))} cost what {BALANCED_MODEL} costs per run of the task; revenue stays.",
+        ),
+        "pro_39": (
+            revenue + F.col("pro_months") * pro_increase,
+            cost,
+            f"The fee rises by {pro_increase} USD in {whom} and nobody leaves because of it: an upper bound.",
+        ),
     }
     base = usage.withColumn("b", scalar(billed.select(F.struct("*").alias("b")), "b")).select("*", "b.*")
     rows = base.select(
@@ -288,10 +301,11 @@ def pricing_scenarios(
                 *[
                     F.struct(
                         F.lit(name).alias("scenario"),
+                        F.lit(text).alias("assumption"),
                         r.alias("total_revenue_usd"),
                         c.alias("total_llm_cost_usd"),
                     )
-                    for name, (r, c) in scenarios.items()
+                    for name, (r, c, text) in scenarios.items()
                 ]
             )
         ).alias("s")

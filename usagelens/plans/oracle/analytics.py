@@ -370,12 +370,16 @@ FROM pp""",
     ),
     "p10_pricing_scenarios": with_mapping(
         """
-SELECT scenario, revenue AS total_revenue_usd, cost AS total_llm_cost_usd, revenue - cost AS gross_profit_usd,
+SELECT scenario, assumption, revenue AS total_revenue_usd, cost AS total_llm_cost_usd, revenue - cost AS gross_profit_usd,
        (revenue - cost) * 100 / NULLIF(revenue, 0) AS gross_margin_pct
-FROM (SELECT unnest([{'scenario': 'status_quo', 'revenue': rev, 'cost': cost},
-                     {'scenario': 'complexity_weighted_migration_credits', 'revenue': rev + migrations * 4 * (rev / credits), 'cost': cost},
-                     {'scenario': 'route_simple_tasks_to_balanced_medium', 'revenue': rev, 'cost': other + rerouted},
-                     {'scenario': 'pro_39', 'revenue': rev + pro * 10, 'cost': cost}], recursive := true)
+FROM (SELECT unnest([{'scenario': 'status_quo', 'assumption': 'Billing and run cost as observed.', 'revenue': rev, 'cost': cost},
+                     {'scenario': 'complexity_weighted_migration_credits',
+                      'assumption': 'A migration run is charged 10 credits instead of 6, sold at the mean revenue per credit; run cost stays.', 'revenue': rev + migrations * 4 * (rev / credits), 'cost': cost},
+                     {'scenario': 'route_simple_tasks_to_balanced_medium',
+                      'assumption': 'Runs of bug_fix, dependency_upgrade, test_generation cost what balanced-medium costs per run of the task; revenue stays.',
+                      'revenue': rev, 'cost': other + rerouted},
+                     {'scenario': 'pro_39',
+                      'assumption': 'The fee rises by 10 USD in all Pro months and nobody leaves because of it: an upper bound.', 'revenue': rev + pro * 10, 'cost': cost}], recursive := true)
       FROM bill, usage)""",
         """bill AS (SELECT sum(revenue_usd)::DOUBLE AS rev, sum(credits_used)::DOUBLE AS credits, count(*) FILTER (plan = 'Pro') AS pro FROM paid),
 per AS (SELECT task_type, count(*) AS n, sum(llm_cost_usd) AS cost,
