@@ -425,6 +425,12 @@ def test_personas(tables):
     assert all(0 <= v <= 1 for r in scaled for v in r[1:])
 
 
+def test_personas_without_a_paying_customer(tables):
+    features = customers.customer_usage_features(tables.customers, tables.runs, tables.customer_months)
+    for frame in customers.personas(features.where("NOT ever_paid"), ks=(3, 4), restarts=2):
+        assert frame.count() == 0
+
+
 def test_persona_names_follow_the_rules(spark):
     fields = "cluster int, migration_share double, lifetime_revenue_usd double, avg_monthly_runs double, failure_rate double, activation_score double"
     profile = spark.createDataFrame(

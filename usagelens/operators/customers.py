@@ -123,6 +123,7 @@ def survival_panel(months: DataFrame, customers: DataFrame, runs: DataFrame) ->
     )
 
 
+# The covariates of the published model.
 HAZARD_CATEGORIES = ["acquisition_channel", "plan"]
 HAZARD_NUMBERS = [
     "activation_score",
@@ -251,6 +252,7 @@ def km_by_activation(panel: DataFrame, months: DataFrame, threshold: float = ACT
 
 # -- personas --------------------------------------------------------------------------
 
+# The published persona features, which of them are skewed, the least cluster share and the restarts.
 PERSONA_FEATURES = [
     "avg_monthly_runs",
     "failure_rate",
@@ -345,8 +347,8 @@ def choose_k(matrix: DataFrame, models: dict[int, clusters.Clusters]) -> DataFra
     )
 
 
-def best_k(diagnostics: DataFrame) -> tuple[int, float]:
-    """Best silhouette among k whose clusters are large enough, else the largest smallest share."""
+def best_k(diagnostics: DataFrame) -> tuple[int | None, float | None]:
+    """Best silhouette among k whose clusters are large enough, else the largest smallest share; None without models."""
     preference = F.struct(
         "meets_min_cluster_share",
         F.when(F.col("meets_min_cluster_share"), F.col("silhouette_score")).otherwise(
@@ -355,7 +357,7 @@ def best_k(diagnostics: DataFrame) -> tuple[int, float]:
         -F.col("k"),
     )
     best = diagnostics.agg(F.max_by(F.struct("k", "silhouette_score"), preference).alias("b")).first()["b"]
-    return best["k"], best["silhouette_score"]
+    return (best["k"], best["silhouette_score"]) if best else (None, None)
 
 
 def persona_models(features: DataFrame, ks: Sequence[int] = range(3, 7), restarts: int = RESTARTS):
@@ -374,10 +376,13 @@ def persona_k_selection(features: DataFrame, ks: Sequence[int] = range(3, 7), re
 def personas(
     features: DataFrame, ks: Sequence[int] = range(3, 7), restarts: int = RESTARTS
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """C14: (assignments, named profiles, k diagnostics)."""
+    """C14: (assignments, named profiles, k diagnostics); all without rows if no customer ever paid."""
     matrix, models, diagnostics = persona_models(features, ks, restarts)
     k, score = best_k(diagnostics)
-    labels = clusters.assigned(matrix, PERSONA_FEATURES, "customer_id", models[k])
+    if k is None:
+        labels = matrix.select("customer_id", F.lit(0).alias("cluster")).where("false")
+    else:
+        labels = clusters.assigned(matrix, PERSONA_FEATURES, "customer_id", models[k])
     assignments = features.where("ever_paid").join(labels, "customer_id").select(
         "customer_id", "cluster", *PERSONA_FEATURES
     )
@@ -386,16 +391,16 @@ def personas(
     )
     profile = sizes.withColumn(
         "share_of_paid_customers", ratio("n_customers", F.sum("n_customers").over(W.partitionBy()))
-    ).withColumn("silhouette_score", F.lit(score))
+    ).withColumn("silhouette_score", F.lit(score).cast("double"))
     return assignments, name_personas(profile), diagnostics
 
 
 def name_personas(profile: DataFrame) -> DataFrame:
     """Trait names against the unweighted mean of the centroids, made unique by revenue rank."""
-    clusters = W.partitionBy()
+    everything = W.partitionBy()
 
     def against_mean(column: str) -> Column:
-        return F.avg(column).over(clusters)
+        return F.avg(column).over(everything)
 
     def high(column: str, factor: float) -> Column:
         return F.col(column) >= against_mean(column) * factor
@@ -403,6 +408,7 @@ def name_personas(profile: DataFrame) -> DataFrame:
     def low(column: str, factor: float) -> Column:
         return F.col(column) <= against_mean(column) * factor
 
+    # fixed values: trait names and their factors
     enterprise = high("lifetime_revenue_usd", 1.5)
     leading = F.array_compact(
         F.array(
