@@ -506,6 +506,25 @@ def test_quality_rules_count_missing_values(make):
     assert broken == {"q07", "q08", "q10", "q11", "q13", "q14", "q15", "q17", "q18"}
 
 
+def test_quality_rules_count_days_and_missing_keys(make):
+    people = make.customers(dict(customer_id="a", churn_date=D(2025, 1, 31)), dict(customer_id="hot"), dict(customer_id=None))
+    moments = [(2025, 1, 4, 23, 59), (2025, 1, 5), (2025, 1, 31, 12), (2025, 2, 1), (2025, 2, 1, 0, 1), (2025, 2, 2)]
+    runs = make.runs(
+        *[dict(customer_id="a", started_at=dt.datetime(*m)) for m in moments],
+        *[dict(customer_id="hot", run_id=f"H{i % 40}", started_at=dt.datetime(2025, 3, 1 + i % 2, i % 24)) for i in range(60)],
+        dict(customer_id=None), dict(customer_id=None, run_id=None), dict(customer_id="ghost", run_id=None),
+    )
+    window, prices = (EXPERIMENT_START, EXPERIMENT_END), {"control": 29, "treatment": 39}
+    report = quality.quality_report(people, runs, make.months(dict(customer_id=None)), make.assignments(dict(customer_id=None)), window, prices)
+    got = {r["rule"][:3]: r["violations"] for r in report.collect()}
+    # H0 to H19 twice, the missing run id twice; customers: missing and ghost
+    assert (got["q02"], got["q03"], got["q04"], got["q05"]) == (21, 2, 1, 1)
+    # midnight after the churn day still counts as in time
+    assert (got["q13"], got["q14"]) == (1, 2)
+    empty = quality.quality_report(*[t.where("false") for t in (people, runs, make.months(), make.assignments())], window, prices)
+    assert {r["violations"] for r in empty.collect()} == {0} and empty.count() == 18
+
+
 def test_wide_tables_take_their_columns_from_the_data(spark):
     cohort = spark.range(31).selectExpr("'2025-01-01' AS cohort_month", "id AS months_since_signup", "100.0 - id AS retention_pct")
     wide = headline.retention_matrix(cohort).collect()[0]

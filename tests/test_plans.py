@@ -6,7 +6,7 @@ from contextlib import redirect_stdout
 import pytest
 from pyspark.sql import functions as F
 
-from usagelens.operators import filtered, models, reports, usage
+from usagelens.operators import filtered, models, quality, reports, usage
 from usagelens.schemas import TABLES
 from usagelens.sources.tables import load_tables
 
@@ -77,6 +77,15 @@ def test_failure_cost_reads_runs_once(stored):
     assert plan(reports.failure_cost(stored["agent_runs"])).count("Scan parquet") == 2  # tree line and detail line
 
 
+def test_quality_rules_read_a_table_once_and_run_ids_once_more(stored):
+    names = ("customers", "agent_runs", "customer_months", "experiment_assignments")
+    text = plan(quality.quality_report(*[stored[n] for n in names], ("2025-02-01", "2025-04-30"), {"control": 29, "treatment": 39}))
+    locations = [line for line in text.split("\n") if line.startswith("Location")]
+    for name in names[1:]:
+        assert sum(f"/{name}]" in line for line in locations) == (2 if name == "agent_runs" else 1), name
+    assert "ReadSchema: struct<run_id:string>" in text
+
+
 def test_hot_customer_is_reduced_before_the_join(stored):
     hot = stored["agent_runs"].withColumn(
         "customer_id", F.when(F.xxhash64("run_id") % 3 == 0, F.lit("C00000001")).otherwise(F.col("customer_id"))
