@@ -261,6 +261,25 @@ def _price_table(t: Tables) -> DataFrame:
     return t.models.withColumn("model", hosted)
 
 
+# What stands before and after a response's text, by the text's length modulo 5.
+_WRAPS = [
+    ("Here it is:\n```python\n", "\n```\nDone."),
+    ("```\n", "\n```\nand\n```py\ndef f():\n    return 1\n```"),
+    ("```python3\n", ""),
+    ("Sure.\n  import os\n", ""),
+    ("", ""),
+]
+
+
+def _wrapped_responses(t: Tables) -> DataFrame:
+    """The responses as a model may send code: in a fence, with a later function, in an open fence, without one, as they are."""
+    part = F.pmod(F.length("text"), F.lit(len(_WRAPS)))
+    text = F
+    for i, (before, after) in enumerate(_WRAPS):
+        text = text.when(part == i, F.concat(F.lit(before), "text", F.lit(after)))
+    return t.responses.withColumn("text", text)
+
+
 ATTEMPTS: dict[str, Query] = {
     "b01_wilson_ci": lambda t: attempts.wilson_ci(t.attempts, ["model", "task_id"]),
     "b02_pass_at_k": lambda t: attempts.pass_at_k(t.attempts, ["model"], 3),
@@ -275,6 +294,7 @@ ATTEMPTS: dict[str, Query] = {
     .groupBy("model", "task_type")
     .agg(F.sum("cost_usd").alias("cost_usd"), F.count(F.lit(1)).alias("n_attempts")),
     "b10_extract_code": lambda t: attempts.extract_code(t.responses),
+    "b10_extract_code_fenced": lambda t: attempts.extract_code(_wrapped_responses(t)),
     "b11_grade_status": lambda t: attempts.graded(t.attempts),
 }
 

@@ -396,6 +396,18 @@ def _pass(k: str) -> str:
     )
 
 
+def _extract_sql(responses: str) -> str:
+    return (
+        r"""
+SELECT response_id, text, regexp_replace(regexp_replace(CASE WHEN len(blocks) > 0 THEN coalesce(list_filter(blocks, lambda b: contains(b, 'def '))[1], blocks[1])
+            WHEN line <> '' THEN line ELSE text END, '^\s+', ''), '\s+$', '') AS code, len(blocks) > 0 AS extracted_cleanly
+FROM (SELECT *, regexp_extract_all(text, '(?s)```(?:python|python3|py)?\s*\n(.*?)```', 1) AS blocks,
+             regexp_extract(replace(text, chr(13) || chr(10), chr(10)), '(?m)^[\t ]*(?:def |import |from )(?s:.*)', 0) AS line FROM """
+        + responses
+        + ")"
+    )
+
+
 _TASKS = """per AS (SELECT model, task_id, count(*) AS n, count(*) FILTER (status = 'success') AS c FROM attempts GROUP BY ALL)"""
 
 ATTEMPTS = {
@@ -452,12 +464,18 @@ SELECT model, task_type, sum(cost) AS cost_usd, count(*) AS n_attempts
 FROM (SELECT a.model, task_type, round(prompt_tokens / 1e6::DOUBLE * usd_per_m_input::DOUBLE + output_tokens / 1e6::DOUBLE * usd_per_m_output::DOUBLE, 8) AS cost
       FROM attempts a JOIN models m ON m.model = a.model) GROUP BY ALL"""
     ),
-    "b10_extract_code": with_mapping(
-        r"""
-SELECT response_id, text, regexp_replace(regexp_replace(CASE WHEN len(blocks) > 0 THEN coalesce(list_filter(blocks, lambda b: contains(b, 'def '))[1], blocks[1])
-            WHEN line <> '' THEN line ELSE text END, '^\s+', ''), '\s+$', '') AS code, len(blocks) > 0 AS extracted_cleanly
-FROM (SELECT *, regexp_extract_all(text, '(?s)```(?:python|python3|py)?\s*\n(.*?)```', 1) AS blocks,
-             regexp_extract(replace(text, chr(13) || chr(10), chr(10)), '(?m)^[\t ]*(?:def |import |from )(?s:.*)', 0) AS line FROM responses)"""
+    "b10_extract_code": with_mapping(_extract_sql("responses")),
+    "b10_extract_code_fenced": with_mapping(
+        _extract_sql("wrapped"),
+        """
+wrapped AS (
+  SELECT response_id, CASE length(text) % 5
+      WHEN 0 THEN concat_ws(chr(10), 'Here it is:', '```python', text, '```', 'Done.')
+      WHEN 1 THEN concat_ws(chr(10), '```', text, '```', 'and', '```py', 'def f():', '    return 1', '```')
+      WHEN 2 THEN concat_ws(chr(10), '```python3', text)
+      WHEN 3 THEN concat_ws(chr(10), 'Sure.', '  import os', text)
+      WHEN 4 THEN text END AS text
+  FROM responses)""",
     ),
     "b11_grade_status": with_mapping(
         """SELECT status, CASE WHEN tests_total > 0 AND tests_passed = tests_total THEN 'success' WHEN tests_passed > 0 THEN 'partial'
