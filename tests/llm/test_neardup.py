@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -65,3 +66,34 @@ def test_repeated_and_missing_ids(spark, docs):
     kept = simhash.stage(spark, frame, "")
     assert kept.columns == frame.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["3", "4", "9", "None"]
     assert simhash.stage(spark, frame.limit(0), "").count() == 0
+
+
+def test_candidates_come_from_simhash_first(spark, docs):
+    rng = random.Random(5)
+    text = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    near = [" ".join([*text, *(f"tail{k}{i}" for i in range(3))]) for k in range(6)]
+    rows = list(enumerate([*near, " ".join(f"x{i}" for i in range(50)), None, ""]))
+    sets = neardup._sets(docs(*rows)).collect()
+    for row, (_, body) in zip(sorted(sets, key=lambda r: r.doc_id), rows):
+        assert row.fp & (1 << 64) - 1 == simhash.fingerprint((body or "").encode(), neardup.WORDS)
+    node = {r.doc_id: r.node for r in sets}
+    fp = {r.node: r.fp & (1 << 64) - 1 for r in sets}
+    pairs = {(r.a, r.b) for r in neardup.print_pairs(neardup._sets(docs(*rows))).collect()}
+    assert pairs and all((fp[a] ^ fp[b]).bit_count() <= simhash.RADIUS for a, b in pairs)
+    linked = {n for p in pairs for n in p}
+    for i in range(6):
+        close = any(i != j and (fp[node[i]] ^ fp[node[j]]).bit_count() <= simhash.RADIUS for j in range(6))
+        assert (node[i] in linked) == close
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 700, 5000])
+def test_bitmaps_never_exceed_the_difference(n):
+    rng = np.random.default_rng(n)
+    base = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+    for share in (0.0, 0.05, 0.3, 1.0):
+        fresh = rng.integers(0, 2**64, int(share * n), dtype=np.uint64)
+        other = np.unique(np.concatenate([base[rng.random(len(base)) >= share], fresh]))
+        differ = len(np.setxor1d(base, other))
+        assert neardup.apart(neardup.signature(base), neardup.signature(other)) <= differ
+        if n >= 700 and share == 1.0:  # and it refutes unlike sets
+            assert 9 * neardup.apart(neardup.signature(base), neardup.signature(other)) > len(base) + len(other)

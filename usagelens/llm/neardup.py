@@ -1,14 +1,20 @@
-"""Near-duplicate texts by the exact Jaccard similarity of their word shingles.
+"""Near-duplicate texts: SimHash candidates first, completed to the exact Jaccard similarity of word shingles.
 
 A text is the set of its shingles of ``WORDS`` words (lower-cased as for ``simhash``; a shorter text is one shingle).
 Texts whose sets have a similarity of at least ``NUM / DEN`` are linked, and a document's component is the smallest
 ``doc_id`` it reaches. Texts with equal sets are one node.
 
-The search is exact (prefix filtering). All shingles have one global order, those frequent in a bounded sample last; two
-sets of that similarity share a shingle among the first ``n - ceil(s n) + 1`` of each, and the first one they share
-stands early enough in both that the overlap can still be reached. The sample only steers how many candidates there are.
+The first candidates are SimHash's: nodes whose fingerprints, voted by the same shingles, differ in at most
+``simhash.RADIUS`` bits, found by the pigeonhole search of ``simhash.links``. Every candidate is verified on the whole sets.
 
-Candidates are compared on the whole sets. The first rounds compare the holders of a shingle with one hub of that
+Similar texts can lie further apart than any radius that can be searched, so a second search loses no link (prefix
+filtering). All shingles have one global order, those frequent in a bounded sample last; two sets of that similarity share
+a shingle among the first ``n - ceil(s n) + 1`` of each, and the first one they share stands early enough in both that the
+overlap can still be reached. The sample only steers how many candidates there are.
+
+Before whole sets are fetched, candidates are compared by parity bitmaps of about a bit a shingle: a shingle in only one of
+two sets flips one bit, so two sets differ in at least as many shingles as their bitmaps in bits. This refutes most
+candidates and never a link. The first rounds compare the holders of a shingle with one hub of that
 shingle only, so a crowd of near copies takes as many comparisons as it has members; the last round compares all pairs
 that still lie in different components. Pairs within one component need no comparison.
 """
@@ -16,7 +22,6 @@ that still lie in different components. Pairs within one component need no compa
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,29 +29,41 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.shared import components, stored
+from usagelens.llm import simhash
+from usagelens.llm.shared import components, discard, stored
 
 WORDS = 5
 NUM, DEN = 4, 5  # similarity 0.8
 HUB_ROUNDS = 2
 SAMPLE = 20_000
 FREQUENT = 200_000
-SEED = 42
 FEW = 2_000_000
 ROWS = 512
 
 
+def distinct(blocks: list[np.ndarray]) -> np.ndarray:
+    """Sorted distinct hashes of the blocks of ``simhash.shingle_hashes``."""
+    return np.unique(np.concatenate(blocks).astype(np.uint64)) if blocks else np.zeros(0, dtype=np.uint64)
+
+
 def shingles(raw: bytes, words: int = WORDS) -> np.ndarray:
     """Sorted distinct XXH64 of the shingles of a UTF-8 text; no words give none."""
-    found = raw.lower().split()
-    if not found:
-        return np.zeros(0, dtype=np.uint64)
-    joined = b" ".join(found)
-    ends = list(accumulate(map(len, found), lambda end, n: end + 1 + n))
-    last = ends[words - 1 :] or ends[-1:]
-    starts = [0, *(end + 1 for end in ends[: len(last) - 1])]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, last)], dtype=np.uint64))
+    return distinct(list(simhash.shingle_hashes(raw, words)))
+
+
+def signature(hashes: np.ndarray) -> bytes:
+    """Parity bitmap of a set: a power of two of bits, at least as many as hashes and at least 64."""
+    bits = max(64, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 64
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """A number of hashes in which the sets of two signatures differ at least; the longer one is folded to the shorter."""
+    x, y = sorted((np.frombuffer(s, dtype=np.uint64) for s in (a, b)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def set_node(hashes: np.ndarray) -> int:
@@ -81,13 +98,16 @@ def _frequent(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(documents: DataFrame) -> DataFrame:
-    """Rows (doc_id, text_key, node, n, keys): ``keys`` is the prefix of the set in the global order."""
+    """Rows (doc_id, text_key, node, n, fp, sign, keys): ``fp`` is the SimHash fingerprint of the shingles, ``sign`` the
+    parity bitmap of their set and ``keys`` the prefix of the set in the global order."""
     shared = documents.sparkSession.sparkContext.broadcast(_frequent(documents))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = shared.value
         for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
-            sets = [shingles(text.as_py() or b"") for text in batch.column(2)]
+            hashed = [list(simhash.shingle_hashes(text.as_py() or b"", WORDS)) for text in batch.column(2)]
+            prints = np.array([simhash.voted(blocks) for blocks in hashed], dtype=np.uint64).view(np.int64)
+            sets = [distinct(blocks) for blocks in hashed]
             keys = []
             for found in sets:
                 n = len(found)
@@ -101,13 +121,13 @@ def _sets(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns[:2], pa.array([set_node(s) for s in sets], type=pa.int64()), pa.array([len(s) for s in sets], type=pa.int32()),
-                    pa.array(keys, type=pa.list_(pa.int64())),
+                    pa.array(prints), pa.array([signature(s) for s in sets], type=pa.binary()), pa.array(keys, type=pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "text_key", "node", "n", "keys"],
+                names=["doc_id", "text_key", "node", "n", "fp", "sign", "keys"],
             )
 
     narrow = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.col("text").cast("binary"))
-    return stored(narrow.mapInArrow(run, "doc_id long, text_key long, node long, n int, keys array<long>"), "sets")
+    return stored(narrow.mapInArrow(run, "doc_id long, text_key long, node long, n int, fp long, sign binary, keys array<long>"), "sets")
 
 
 def _hashes(documents: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -142,8 +162,22 @@ def _small(numbers: DataFrame, label: str) -> DataFrame:
     return F.broadcast(found) if found.count() <= FEW else found
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of nodes that are similar."""
+def _may_by_sign(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that sizes and parity bitmaps leave possible."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total, left, right = (batch.column(c).to_pylist() for c in (2, 3, 4))
+            possible = [(NUM + DEN) * apart(x, y) <= (DEN - NUM) * n for n, x, y in zip(total, left, right)]
+            yield batch.select([0, 1]).filter(pa.array(possible, type=pa.bool_()))
+
+    of = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sign").alias(f"s{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").where(DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb"))
+    return both.select("a", "b", F.col("na") + F.col("nb"), "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def _verified(candidates: DataFrame, nodes: DataFrame, sets: DataFrame, documents: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of nodes that are similar, stored."""
+    pairs = stored(_may_by_sign(candidates, nodes), "candidates")
     wanted = _small(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
     held = _hashes(documents, sets, wanted)
 
@@ -154,39 +188,47 @@ def _verified(pairs: DataFrame, sets: DataFrame, documents: DataFrame) -> DataFr
 
     first = pairs.join(held.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a")
     both = first.join(held.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
-    return both.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
+    found = stored(both.select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long"), "similar")
+    discard(pairs, held)
+    return found
+
+
+def print_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes by their SimHash fingerprints: a hub stands for the nodes of an equal fingerprint, and is
+    paired with them and with the hubs of the fingerprints within ``simhash.RADIUS`` bits."""
+    hubs = stored(nodes.groupBy("fp").agg(F.min("node").alias("hub")), "prints")
+    equal = nodes.join(hubs, "fp").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    of = lambda c: hubs.select(F.col("fp").alias(c), F.col("hub").alias(f"hub_{c}"))
+    near = simhash.links(hubs).join(of("a"), "a").join(of("b"), "b").select(F.least("hub_a", "hub_b").alias("a"), F.greatest("hub_a", "hub_b").alias("b"))
+    return equal.unionAll(near)
 
 
 def links(sets: DataFrame, documents: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes that are similar, enough to connect every component; ``sets`` as stored by ``_sets`` for ``documents``."""
-    nodes = sets.select("node", "n", "keys").groupBy("node", "n").agg(F.first("keys").alias("keys"))
+    nodes = stored(sets.groupBy("node", "n").agg(F.first("fp").alias("fp"), F.first("sign").alias("sign"), F.first("keys").alias("keys")), "nodes")
     entries = nodes.select("node", "n", F.posexplode_outer("keys").alias("pos", "key")).where("key IS NOT NULL")
     shared = _small(entries.groupBy("key").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1").select("key"), "keys")
-    entries = stored(entries.join(shared, "key", "left_semi"), "entries").withColumn("comp", F.col("node"))
-    edges = None
+    entries = stored(entries.join(shared, "key", "left_semi"), "entries")
+    edges = _verified(print_pairs(nodes), nodes, sets, documents)
     for turn in range(HUB_ROUNDS + 1):
+        members = stored(components(edges), "members")
+        placed = stored(entries.join(members, "node", "left").select("node", "n", "pos", "key", F.coalesce("root", "node").alias("comp")), "placed")
         # what is left: keys whose holders lie in several components
-        open_keys = entries.groupBy("key").agg(
+        open_keys = placed.groupBy("key").agg(
             F.min("comp").alias("low"), F.max("comp").alias("high"),
             F.min_by(F.struct("node", "n", "pos", "comp"), F.struct(F.xxhash64(F.lit(turn), "node"), "node")).alias("hub"),
         ).where("low <> high")
         if turn < HUB_ROUNDS:
             other = open_keys.select("key", "hub.*")
         else:
-            other = entries.join(open_keys.select("key"), "key", "left_semi")
+            other = placed.join(open_keys.select("key"), "key", "left_semi")
         differ = (F.col("e.comp") != F.col("o.comp")) if turn < HUB_ROUNDS else (F.col("e.comp") < F.col("o.comp"))
-        pairs = stored(
-            entries.alias("e").join(other.alias("o"), F.col("e.key") == F.col("o.key")).where(differ & _may("e", "o"))
-            .select(F.least("e.node", "o.node").alias("a"), F.greatest("e.node", "o.node").alias("b")).distinct(),
-            "candidates",
+        pairs = (
+            placed.alias("e").join(other.alias("o"), F.col("e.key") == F.col("o.key")).where(differ & _may("e", "o"))
+            .select(F.least("e.node", "o.node").alias("a"), F.greatest("e.node", "o.node").alias("b")).distinct()
         )
-        found = stored(_verified(pairs, sets, documents), "similar")
-        edges = found if edges is None else edges.unionAll(found)
-        if turn < HUB_ROUNDS:
-            members = stored(components(edges), "members")
-            entries = stored(
-                entries.drop("comp").join(members, "node", "left").select("node", "n", "pos", "key", F.coalesce("root", "node").alias("comp")), "entries"
-            )
+        edges = edges.unionAll(_verified(pairs, nodes, sets, documents))
+        discard(members, placed)
     return edges
 
 

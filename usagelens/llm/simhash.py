@@ -16,7 +16,7 @@ reaches the driver. For hundreds of millions of distinct fingerprints use ``part
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from itertools import accumulate, combinations
 
@@ -27,7 +27,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from usagelens.llm import neardup
 from usagelens.llm.shared import components, stored, table
 
 WORDS = 3
@@ -39,21 +38,33 @@ SKETCH_BITS = 16
 SHINGLE_BLOCK = 1 << 16
 
 
-def fingerprint(raw: bytes, words: int = WORDS) -> int:
-    """The fingerprint of one UTF-8 text as an unsigned integer; no words give zero."""
+def shingle_hashes(raw: bytes, words: int = WORDS) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of one UTF-8 text, repeats included, in blocks of big-endian numbers; no words give none."""
     found = raw.lower().split()  # of bytes: A-Z only, and exactly the ASCII white space
     if not found:
-        return 0
+        return
     joined = b" ".join(found)
     ends = list(accumulate(map(len, found), lambda end, n: end + 1 + n))
     last = ends[words - 1 :] or ends[-1:]
     starts = [0, *(end + 1 for end in ends[: len(last) - 1])]
-    digest, votes = xxhash.xxh64_digest, np.zeros(64, dtype=np.int64)
+    digest = xxhash.xxh64_digest
     for k in range(0, len(last), SHINGLE_BLOCK):
         hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[k : k + SHINGLE_BLOCK], last[k:])])
-        bits = np.unpackbits(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8), axis=1)
-        votes += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > len(last)).tobytes(), "big")
+        yield np.frombuffer(hashes, dtype=">u8")
+
+
+def voted(blocks: Iterable[np.ndarray]) -> int:
+    """The fingerprint that blocks of shingle hashes vote for, as an unsigned integer; no hashes give zero."""
+    votes, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in blocks:
+        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+    return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
+
+
+def fingerprint(raw: bytes, words: int = WORDS) -> int:
+    """The fingerprint of one UTF-8 text as an unsigned integer; no words give zero."""
+    return voted(shingle_hashes(raw, words))
 
 
 def fingerprints(documents: DataFrame, words: int = WORDS) -> DataFrame:
@@ -267,6 +278,8 @@ def fingerprints_beside(rows: DataFrame, print_of: Callable[[bytes], str]) -> Da
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles with a Jaccard similarity of at least 0.8."""
+    from usagelens.llm import neardup  # which builds on this module
+
     return standing_for(docs, neardup.near_duplicates(docs), neardup.text_print)
 
 
