@@ -171,7 +171,13 @@ def hazard_odds_ratios(panel: DataFrame) -> DataFrame:
     )
     try:
         design, names = hazard_design(kept)
-        model = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=100, tol=1e-12).fit(design)
+        # rows with equal covariates and label enter the likelihood as one row with their number as its weight
+        counted = design.groupBy("label", "features").agg(F.count(F.lit(1)).cast("double").alias("weight")).persist(
+            StorageLevel.MEMORY_AND_DISK
+        )
+        model = GeneralizedLinearRegression(
+            family="binomial", link="logit", maxIter=100, tol=1e-12, weightCol="weight"
+        ).fit(counted)
         rows = [
             (name, float(b), float(se))
             for name, b, se in zip(names, model.coefficients, model.summary.coefficientStandardErrors)
