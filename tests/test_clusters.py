@@ -88,3 +88,13 @@ def test_all_models_share_their_passes(spark, points):
     alone = max(jobs([k], [s]) for k in (2, 3) for s in range(2))
     assert jobs([2, 3], [0, 1]) <= alone + 2
     spark.sparkContext.setJobGroup("", "")
+
+
+def test_passes_read_blocks_and_keep_the_distances(spark, points):
+    blocks = clusters._blocks(frame(spark, points).coalesce(1), ["a", "b"]).collect()
+    assert len(blocks) == 1 and np.frombuffer(blocks[0]["block"]).reshape(2, -1).shape == (2, len(points))
+    x = np.random.default_rng(3).normal(size=(500, 6))
+    centres = np.concatenate([x[:3], x[1:2]])  # a repeated centre: ties go to the lower number
+    distance = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
+    cluster, least = clusters.nearest(x, centres)
+    assert cluster.tolist() == distance.argmin(axis=1).tolist() and least.tolist() == distance.min(axis=1).tolist()

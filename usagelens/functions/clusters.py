@@ -13,12 +13,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 STILL = 1e-10
 MAX_PASSES = 300
+BLOCK = 4096
 SAME_COST = 1e-9  # restarts whose costs differ by less reached one optimum; the lower seed stands for it
 
 
@@ -52,9 +54,23 @@ class Clusters:
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nearest centre of every row and the squared distance to it."""
-    distance = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
-    cluster = distance.argmin(axis=1)
-    return cluster, distance[np.arange(len(x)), cluster]
+    return _nearest(np.ascontiguousarray(x.T), centres)
+
+
+def _nearest(columns: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``nearest`` for rows given column by column: whole columns at a time, a few vectors of working memory."""
+    n = columns.shape[1]
+    cluster, least = np.zeros(n, dtype=np.int64), np.full(n, np.inf)
+    distance, step = np.empty(n), np.empty(n)
+    for j, centre in enumerate(centres):
+        distance.fill(0.0)
+        for column, c in zip(columns, centre):
+            np.subtract(column, c, out=step)
+            np.multiply(step, step, out=step)
+            np.add(distance, step, out=distance)
+        cluster[distance < least] = j
+        np.minimum(least, distance, out=least)
+    return cluster, least
 
 
 def _values(batch: pa.RecordBatch, columns: Sequence[str]) -> np.ndarray:
@@ -73,20 +89,36 @@ def starts(matrix: DataFrame, columns: Sequence[str], key: str, ks: Sequence[int
     return {(k, s): of_seed[s][:k] for k in ks for s in seeds}
 
 
-def _pass(matrix: DataFrame, columns: Sequence[str], centres: Sequence[np.ndarray]) -> dict:
-    """{(model, cluster): (rows, squares, cost, sums)} of one pass over all rows."""
+def _blocks(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The vectors as blocks of up to ``BLOCK`` rows, column by column, so that a pass reads no single rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _values(batch, columns).astype(np.float64)
+            cut = [np.ascontiguousarray(x[i : i + BLOCK].T).tobytes() for i in range(0, len(x), BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array(cut, pa.binary())], names=["block"])
+
+    return matrix.select(*columns).mapInArrow(run, "block binary")
+
+
+def _pass(blocks: DataFrame, columns: Sequence[str], centres: Sequence[np.ndarray], measured: bool = False) -> dict:
+    """{(model, cluster): (rows, squares, cost, sums)} of one pass over all blocks; squares and cost are 0 unless ``measured``."""
     d = len(columns)
     sums = [f"s{i}" for i in range(d)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = [np.zeros((len(c), d + 3)) for c in centres]
-        for batch in batches:
-            x = _values(batch, columns)
-            squares = (x**2).sum(axis=1)
+        for block in (b for batch in batches for b in batch.column(0)):
+            x = np.frombuffer(block.as_py(), dtype=np.float64).reshape(d, -1)
+            squares = (x.T**2).sum(axis=1) if measured else None
             for total, c in zip(totals, centres):
-                cluster, distance = nearest(x, c)
-                weights = [None, squares, distance, *x.T]
-                total += np.column_stack([np.bincount(cluster, w, len(c)) for w in weights])
+                cluster, distance = _nearest(x, c)
+                total[:, 0] += np.bincount(cluster, minlength=len(c))
+                if measured:
+                    total[:, 1] += np.bincount(cluster, squares, len(c))
+                    total[:, 2] += np.bincount(cluster, distance, len(c))
+                for i, column in enumerate(x):
+                    total[:, 3 + i] += np.bincount(cluster, column, len(c))
         model = np.repeat(np.arange(len(centres)), [len(c) for c in centres])
         cluster = np.concatenate([np.arange(len(c)) for c in centres])
         found = np.concatenate(totals)
@@ -97,22 +129,30 @@ def _pass(matrix: DataFrame, columns: Sequence[str], centres: Sequence[np.ndarra
 
     numbers = ["n", "squares", "cost", *sums]
     schema = "model int, cluster int, " + ", ".join(f"{c} double" for c in numbers)
-    per_task = matrix.select(*columns).mapInArrow(run, schema)
+    per_task = blocks.mapInArrow(run, schema)
     rows = per_task.groupBy("model", "cluster").agg(*[F.sum(c).alias(c) for c in numbers]).collect()  # one row per centre
     return {(r["model"], r["cluster"]): (r["n"], r["squares"], r["cost"], np.array([r[c] for c in sums])) for r in rows}
 
 
 def fit(matrix: DataFrame, columns: Sequence[str], key: str, ks: Sequence[int], seeds: Sequence[int]) -> list[Clusters]:
-    """All (k, seed) models, fitted by shared passes over ``matrix``; it is read once per pass, so it should be stored.
+    """All (k, seed) models, fitted by shared passes over the vectors of ``matrix``, kept in blocks meanwhile.
 
     Rows must have a unique ``key`` and no NULL in ``columns``. A table without rows gives no models.
     """
+    blocks = _blocks(matrix, columns).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fit(matrix, blocks, columns, key, ks, seeds)
+    finally:
+        blocks.unpersist()
+
+
+def _fit(matrix: DataFrame, blocks: DataFrame, columns: Sequence[str], key: str, ks: Sequence[int], seeds: Sequence[int]) -> list[Clusters]:
     current = {m: c for m, c in starts(matrix, columns, key, ks, seeds).items() if len(c)}
     moving = list(current)
     for _ in range(MAX_PASSES):
         if not moving:
             break
-        found = _pass(matrix, columns, [current[m] for m in moving])
+        found = _pass(blocks, columns, [current[m] for m in moving])
         still = set()
         for i, m in enumerate(moving):
             before = current[m]
@@ -122,7 +162,7 @@ def fit(matrix: DataFrame, columns: Sequence[str], key: str, ks: Sequence[int],
                 still.add(m)
         moving = [m for m in moving if m not in still]
     names = list(current)
-    found = _pass(matrix, columns, [current[m] for m in names]) if names else {}
+    found = _pass(blocks, columns, [current[m] for m in names], measured=True) if names else {}
     models = []
     for i, (k, seed) in enumerate(names):
         parts = [found[i, j] for j in range(len(current[k, seed]))]
