@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -87,9 +87,10 @@ def dim_date(runs: DataFrame, months: DataFrame, customers: DataFrame) -> DataFr
     )
 
 
-def _with_key(fact: DataFrame, dim: DataFrame, key: str, natural: str, fact_column: str) -> DataFrame:
+def _with_key(fact: DataFrame, dim: DataFrame, key: str, natural: str, fact_column: str, labels: bool = False) -> DataFrame:
+    """``labels``: the dimension has one row per plan, model or task, so it is sent to the facts, not they to it."""
     keys = dim.select(key, F.col(natural).alias(fact_column))
-    return fact.join(keys, fact_column, "left")
+    return fact.join(F.broadcast(keys) if labels else keys, fact_column, "left")
 
 
 def fact_agent_runs(
@@ -97,13 +98,14 @@ def fact_agent_runs(
 ) -> DataFrame:
     """Runs with surrogate keys.
 
-    Adaptive execution broadcasts the label dimensions by their measured bytes; where one is too
-    large for that, it splits the hot partitions of the join, as it does for customers.
+    A shuffle by plan, model or task would put all runs into as many tasks as there are labels. Runs that
+    already carry ``customer_key`` keep it; others are joined to the customers.
     """
-    keyed = _with_key(runs, plan_dim, "plan_key", "plan", "plan_at_run")
-    keyed = _with_key(keyed, model_dim, "model_key", "model", "model")
-    keyed = _with_key(keyed, task_dim, "task_key", "task_type", "task_type")
-    keyed = _with_key(keyed, customer_dim, "customer_key", "customer_id", "customer_id")
+    keyed = _with_key(runs, plan_dim, "plan_key", "plan", "plan_at_run", labels=True)
+    keyed = _with_key(keyed, model_dim, "model_key", "model", "model", labels=True)
+    keyed = _with_key(keyed, task_dim, "task_key", "task_type", "task_type", labels=True)
+    if "customer_key" not in keyed.columns:
+        keyed = _with_key(keyed, customer_dim, "customer_key", "customer_id", "customer_id")
     ordered = keyed.select(
         "run_id", "customer_key", date_key("started_at").alias("date_key"), "plan_key", "model_key", "task_key",
         "started_at", "source_stack", "target_stack", "steps", "input_tokens", "output_tokens", "llm_cost_usd",
@@ -117,7 +119,7 @@ def fact_customer_month(
 ) -> DataFrame:
     """Billing rows with run cost and surrogate keys."""
     keyed = _with_key(billing_with_cost(months, runs), customer_dim, "customer_key", "customer_id", "customer_id")
-    keyed = _with_key(keyed, plan_dim, "plan_key", "plan", "plan")
+    keyed = _with_key(keyed, plan_dim, "plan_key", "plan", "plan", labels=True)
     return keyed.select(
         "customer_key", date_key("month").alias("date_key"), "plan_key", "monthly_fee_usd", "included_credits",
         "credits_used", "overage_credits", "overage_revenue_usd", "revenue_usd", "llm_cost_usd",
@@ -125,9 +127,10 @@ def fact_customer_month(
 
 
 def star_schema(
-    customers: DataFrame, plans: DataFrame, models: DataFrame, months: DataFrame, runs: DataFrame
+    customers: DataFrame, plans: DataFrame, models: DataFrame, months: DataFrame, runs: DataFrame,
+    keyed_runs: Callable[[DataFrame], DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
-    """All seven tables; the dimensions are shared by the facts."""
+    """All seven tables; the dimensions are shared by the facts. ``keyed_runs`` gives the runs with the key of a customer dimension."""
     customer_dim, plan_dim, model_dim = dim_customer(customers), dim_plan(plans), dim_model(models)
     task_dim = dim_task(runs)
     return {
@@ -136,7 +139,7 @@ def star_schema(
         "dim_model": model_dim,
         "dim_task": task_dim,
         "dim_date": dim_date(runs, months, customers),
-        "fact_agent_runs": fact_agent_runs(runs, customer_dim, plan_dim, model_dim, task_dim),
+        "fact_agent_runs": fact_agent_runs(keyed_runs(customer_dim) if keyed_runs else runs, customer_dim, plan_dim, model_dim, task_dim),
         "fact_customer_month": fact_customer_month(months, runs, customer_dim, plan_dim),
     }
 

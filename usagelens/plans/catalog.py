@@ -213,12 +213,13 @@ WHAT_IF: dict[str, Query] = {
 
 
 def _star(t: Tables) -> dict[str, DataFrame]:
-    return star.star_schema(t.customers, t.plans, t.models, t.customer_months, t.agent_runs)
+    return star.star_schema(t.customers, t.plans, t.models, t.customer_months, t.agent_runs, t.keyed_runs)
 
 
 def _fact_runs(t: Tables) -> DataFrame:
+    customer_dim = star.dim_customer(t.customers)
     return star.fact_agent_runs(
-        t.agent_runs, star.dim_customer(t.customers), star.dim_plan(t.plans), star.dim_model(t.models), star.dim_task(t.runs)
+        t.keyed_runs(customer_dim), customer_dim, star.dim_plan(t.plans), star.dim_model(t.models), star.dim_task(t.runs)
     )
 
 
