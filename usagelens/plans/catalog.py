@@ -27,7 +27,7 @@ from usagelens.operators import (
     usage,
     whatif,
 )
-from usagelens.plans.mapping import EXPERIMENT_END, EXPERIMENT_NAME, EXPERIMENT_START, Tables
+from usagelens.plans.mapping import EXPERIMENT_END, EXPERIMENT_NAME, EXPERIMENT_START, KeptTables, Tables
 from usagelens.schemas import ATTEMPTS as ATTEMPTS_SCHEMA
 from usagelens.schemas import TABLES
 from usagelens.sources import sinks, tables
@@ -361,6 +361,21 @@ QUALITY: dict[str, Query] = {
     ),
 }
 
+# Columns of the runs that R06, R12 and L08 use, and those that R01 to R12 use.
+_COST_COLUMNS = (
+    "task_type", "model", "status", "started_at", "steps", "latency_sec", "input_tokens", "output_tokens", "llm_cost_usd",
+)
+_REPORT_COLUMNS = (*_COST_COLUMNS, "run_id", "customer_id", "source_stack", "target_stack", "credits_charged")
+
+
+def _headline_costs(t: Tables) -> DataFrame:
+    """The three reports read the same runs: lines and orders are joined once, not once a report."""
+    kept = KeptTables(t.spark, t.folder, _folder(t), _COST_COLUMNS)
+    return headline.headline_costs(
+        MODELS["l08_routing_savings"](kept), REPORTS["r12_failure_cost"](kept), REPORTS["r06_model_task_matrix"](kept)
+    )
+
+
 HEADLINE: dict[str, Query] = {
     "m01_headline_growth": lambda t: headline.headline_growth(
         REPORTS["r01_monthly_kpis"](t), REPORTS["r02_nrr_grr"](t)
@@ -371,9 +386,7 @@ HEADLINE: dict[str, Query] = {
     "m03_headline_channels": lambda t: headline.headline_channels(REPORTS["r05_channel_performance"](t)),
     "m04_activation_lift": lambda t: headline.activation_lift(CUSTOMERS["c02_activation_threshold"](t)),
     "m05_strongest_driver": lambda t: headline.strongest_driver(CUSTOMERS["c05_hazard_odds_ratios"](t)),
-    "m06_headline_costs": lambda t: headline.headline_costs(
-        MODELS["l08_routing_savings"](t), REPORTS["r12_failure_cost"](t), REPORTS["r06_model_task_matrix"](t)
-    ),
+    "m06_headline_costs": _headline_costs,
     "m07_scenario_best": lambda t: headline.scenario_best(PRICING["p10_pricing_scenarios"](t)),
     "m08_retention_matrix": lambda t: headline.retention_cells(REPORTS["r03_cohort_retention"](t)),
     "m08_month_6_average": lambda t: headline.month_n_average(REPORTS["r03_cohort_retention"](t), 6),
