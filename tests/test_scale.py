@@ -82,6 +82,19 @@ def test_headline_costs_join_lines_and_orders_once(spark, odd):
     assert shared.collect() == alone.collect()
 
 
+def test_report_files_derive_their_tables_once(spark, odd, monkeypatch):
+    texts, write = {}, sinks.write_report_table
+
+    def watched(frame, folder, name, file_format="parquet"):
+        texts[name] = plan(frame)
+        return write(frame, folder, name, file_format)
+
+    monkeypatch.setattr(sinks, "write_report_table", watched)
+    digest = catalog._report_files(Tables(spark, odd))
+    assert set(texts) == set(catalog.REPORTS) == {row["table_name"] for row in digest.collect()}
+    assert not [name for name, text in texts.items() if "lineitem.parquet" in text]
+
+
 def test_kept_tables_are_the_tables(spark, odd, tmp_path):
     t, kept = Tables(spark, odd), KeptTables(spark, odd, str(tmp_path), catalog._REPORT_COLUMNS)
     for name in ("runs", "customers", "customer_months"):

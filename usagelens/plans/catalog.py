@@ -458,9 +458,10 @@ def _digest(name: str, frame: DataFrame) -> DataFrame:
 
 
 def _report_files(t: Tables) -> DataFrame:
-    """IO3, IO4: all twelve reports written, then read again; a digest of every column."""
+    """IO3, IO4: all twelve reports written, then read again; a digest of every column. The reports share their tables."""
     folder = _folder(t)
-    written = sinks.run_report_catalog({name: (lambda q=query: q(t)) for name, query in REPORTS.items()}, folder)
+    kept = KeptTables(t.spark, t.folder, _folder(t), _REPORT_COLUMNS)
+    written = sinks.run_report_catalog({name: (lambda q=query: q(kept)) for name, query in REPORTS.items()}, folder)
     return reduce(DataFrame.unionByName, [_digest(name, t.spark.read.parquet(f"{folder}/{name}")) for name in written])
 
 
