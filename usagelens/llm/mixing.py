@@ -8,7 +8,8 @@ document the posterior of each domain. Document rates r >= ``lower`` are then fi
     r_i <- max(lower, r_i - eta * sum_d p_id * (S_d - T_d) / A_dd)
 
 so a rate is a fold over the steps' D numbers: no rate is kept between iterations. Each iteration is one aggregation of
-the stored posteriors; only D totals reach the driver.
+the stored posteriors; only D totals reach the driver. The steps reach the aggregation as data, so that Spark compiles
+one plan for every ``FOLDED`` iterations, not one (and a longer one) for each.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ SAMPLE = 4000
 HASHED = 4096
 LOWER = 1.0
 STEPS = 30
+FOLDED = 10
 TOLERANCE = 1e-4
 _SLOTS = 1 << 20
 
@@ -102,6 +104,20 @@ class Fit:
         return value
 
 
+def stepped(posteriors: DataFrame, steps: list[list[float]], lower: float) -> DataFrame:
+    """Add ``rate``, equal to that of a ``Fit`` with these steps. They are filled up with zeros, which move no rate."""
+    if not steps:
+        return posteriors.withColumn("rate", F.lit(max(1.0, lower)))
+    k, n = len(steps[0]), -(-len(steps) // FOLDED) * FOLDED
+    numbers = [g for step in steps for g in step] + [0.0] * (k * (n - len(steps)))
+    row = posteriors.sparkSession.sql(f"SELECT * FROM VALUES (array({', '.join(f'{g!r}D' for g in numbers)})) AS t(steps)")
+    value = F.lit(max(1.0, lower))
+    for i in range(n):
+        move = sum((F.get("posterior", d) * F.get("steps", i * k + d) for d in range(k)), F.lit(0.0))
+        value = F.greatest(F.lit(lower), value - move)
+    return posteriors.crossJoin(F.broadcast(row)).withColumn("rate", value).drop("steps")  # one row
+
+
 def fit_rates(stored_posteriors: DataFrame, weights: list[float], lower: float = LOWER, total: float | None = None, steps: int = STEPS) -> Fit:
     """Rates whose expected totals are ``weights`` times ``total`` tokens, for a frame with tokens and posterior.
 
@@ -114,15 +130,17 @@ def fit_rates(stored_posteriors: DataFrame, weights: list[float], lower: float =
     gram = stored_posteriors.agg(*[F.sum(tokens * p[i] * p[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)]).first()
     a = [[gram[f"a{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]
 
-    def totals(rate: Column) -> list[float]:
-        row = stored_posteriors.agg(*[F.sum(rate * tokens * p[d]).alias(f"s{d}") for d in range(k)]).first()
+    def totals(steps: list[list[float]]) -> list[float]:
+        rated = stepped(stored_posteriors, steps, lower)
+        row = rated.agg(*[F.sum(F.col("rate") * tokens * p[d]).alias(f"s{d}") for d in range(k)]).first()
         return [row[f"s{d}"] or 0.0 for d in range(k)]
 
     fit = Fit([], lower, [], [], [])
-    fit.before = totals(F.lit(1.0))
+    before = stored_posteriors.agg(*[F.sum(tokens * p[d]).alias(f"s{d}") for d in range(k)]).first()
+    fit.before = [before[f"s{d}"] or 0.0 for d in range(k)]
     total = total or max((s / w for s, w in zip(fit.before, share) if w > 0), default=0.0)
     fit.target = [w * total for w in share]
-    fit.reached = totals(fit.rate())
+    fit.reached = totals(fit.steps)
     diagonal = [a[d][d] for d in range(k)]
     if not sum(diagonal) > 0:
         return fit
@@ -132,7 +150,7 @@ def fit_rates(stored_posteriors: DataFrame, weights: list[float], lower: float =
         if max(map(abs, gaps)) <= TOLERANCE * total:
             break
         fit.steps.append([step * g / d if d > 0 else 0.0 for g, d in zip(gaps, diagonal)])
-        fit.reached = totals(fit.rate())
+        fit.reached = totals(fit.steps)
     return fit
 
 
