@@ -37,3 +37,16 @@ def test_iterations_share_their_code(spark, tmp_path):
         codes = rated.agg(F.sum("rate"))._jdf.queryExecution().debug().codegenToSeq()
         bodies.add(tuple(sorted(codes.apply(i)._2() for i in range(codes.size()))))
     assert len(bodies) == 1
+
+
+def test_iterations_broadcast_nothing_and_stay_short(spark, tmp_path, monkeypatch):
+    _posteriors(spark).drop("id").write.parquet(str(tmp_path / "p"))
+    kept = spark.read.parquet(str(tmp_path / "p"))
+    plan = mixing.stepped(kept, _steps(3), 1.0).agg(F.sum("rate"))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    lengths, stepped = [], mixing.stepped
+    monkeypatch.setattr(mixing, "stepped", lambda frame, steps, lower: lengths.append(len(steps)) or stepped(frame, steps, lower))
+    fit = mixing.fit_rates(kept, [0.2, 0.3, 0.5], steps=2 * mixing.FOLDED + 1)
+    assert len(fit.steps) == 2 * mixing.FOLDED + 1 and max(lengths) == mixing.FOLDED
+    reached = kept.withColumn("rate", fit.rate()).agg(*[F.sum(F.col("rate") * F.col("tokens") * F.get("posterior", d)) for d in range(3)]).first()
+    assert all(abs(a - b) <= 1e-9 * abs(b) for a, b in zip(fit.reached, reached))

@@ -7,9 +7,10 @@ document the posterior of each domain. Document rates r >= ``lower`` are then fi
 
     r_i <- max(lower, r_i - eta * sum_d p_id * (S_d - T_d) / A_dd)
 
-so a rate is a fold over the steps' D numbers: no rate is kept between iterations. Each iteration is one aggregation of
-the stored posteriors; only D totals reach the driver. The steps reach the aggregation as data, so that Spark compiles
-one plan for every ``FOLDED`` iterations, not one (and a longer one) for each.
+so a rate is a fold over the steps' D numbers. Each iteration is one aggregation of the stored posteriors; only D totals
+reach the driver. The steps reach the aggregation as the value of a scalar subquery, and after ``FOLDED`` of them the
+rates are stored beside the posteriors. So all iterations have one short plan, compiled once, and none leaves a broadcast,
+its threads and its buffers in the driver.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm.shared import stored, table
+from usagelens.llm.shared import discard, stored, table
 
 #: Share of tokens each domain shall have. Domains are the languages of the labelled documents.
 TARGETS = {"en": 0.55, "de": 0.16, "fr": 0.16, "es": 0.13}
@@ -105,17 +106,20 @@ class Fit:
 
 
 def stepped(posteriors: DataFrame, steps: list[list[float]], lower: float) -> DataFrame:
-    """Add ``rate``, equal to that of a ``Fit`` with these steps. They are filled up with zeros, which move no rate."""
+    """Add ``rate``, equal to that of a ``Fit`` with these steps; a ``rate`` that is there is taken further by them.
+
+    The steps are filled up with zeros, which move no rate.
+    """
+    value = F.col("rate") if "rate" in posteriors.columns else F.lit(max(1.0, lower))
     if not steps:
-        return posteriors.withColumn("rate", F.lit(max(1.0, lower)))
+        return posteriors.withColumn("rate", value)
     k, n = len(steps[0]), -(-len(steps) // FOLDED) * FOLDED
     numbers = [g for step in steps for g in step] + [0.0] * (k * (n - len(steps)))
     row = posteriors.sparkSession.sql(f"SELECT * FROM VALUES (array({', '.join(f'{g!r}D' for g in numbers)})) AS t(steps)")
-    value = F.lit(max(1.0, lower))
     for i in range(n):
         move = sum((F.get("posterior", d) * F.get("steps", i * k + d) for d in range(k)), F.lit(0.0))
         value = F.greatest(F.lit(lower), value - move)
-    return posteriors.crossJoin(F.broadcast(row)).withColumn("rate", value).drop("steps")  # one row
+    return posteriors.withColumn("steps", row.scalar()).withColumn("rate", value).drop("steps")
 
 
 def fit_rates(stored_posteriors: DataFrame, weights: list[float], lower: float = LOWER, total: float | None = None, steps: int = STEPS) -> Fit:
@@ -127,30 +131,36 @@ def fit_rates(stored_posteriors: DataFrame, weights: list[float], lower: float =
     k = len(share)
     p = [F.get("posterior", d) for d in range(k)]
     tokens = F.col("tokens").cast("double")
-    gram = stored_posteriors.agg(*[F.sum(tokens * p[i] * p[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-    a = [[gram[f"a{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]
-
-    def totals(steps: list[list[float]]) -> list[float]:
-        rated = stepped(stored_posteriors, steps, lower)
-        row = rated.agg(*[F.sum(F.col("rate") * tokens * p[d]).alias(f"s{d}") for d in range(k)]).first()
-        return [row[f"s{d}"] or 0.0 for d in range(k)]
-
-    fit = Fit([], lower, [], [], [])
-    before = stored_posteriors.agg(*[F.sum(tokens * p[d]).alias(f"s{d}") for d in range(k)]).first()
-    fit.before = [before[f"s{d}"] or 0.0 for d in range(k)]
+    first = stored_posteriors.agg(
+        *[F.sum(tokens * p[i] * p[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)],
+        *[F.sum(tokens * p[d]).alias(f"b{d}") for d in range(k)],
+        *[F.sum(F.lit(max(1.0, lower)) * tokens * p[d]).alias(f"s{d}") for d in range(k)],
+    ).first()
+    a = [[first[f"a{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]
+
+    fit = Fit([], lower, [first[f"b{d}"] or 0.0 for d in range(k)], [], [first[f"s{d}"] or 0.0 for d in range(k)])
     total = total or max((s / w for s, w in zip(fit.before, share) if w > 0), default=0.0)
     fit.target = [w * total for w in share]
-    fit.reached = totals(fit.steps)
     diagonal = [a[d][d] for d in range(k)]
     if not sum(diagonal) > 0:
         return fit
     step = 1.0 / max(sum(row) / d for row, d in zip(a, diagonal) if d > 0)  # bounds the largest eigenvalue
+    kept, done = stored_posteriors, 0  # the first ``done`` steps are in the rates of ``kept``
     for _ in range(steps):
         gaps = [s - t for s, t in zip(fit.reached, fit.target)]
         if max(map(abs, gaps)) <= TOLERANCE * total:
             break
+        if len(fit.steps) - done == FOLDED:
+            before, kept = kept, stored(stepped(kept, fit.steps[done:], lower), "rates")
+            if done:
+                discard(before)
+            done += FOLDED
         fit.steps.append([step * g / d if d > 0 else 0.0 for g, d in zip(gaps, diagonal)])
-        fit.reached = totals(fit.steps)
+        rated = stepped(kept, fit.steps[done:], lower)
+        row = rated.agg(*[F.sum(F.col("rate") * tokens * p[d]).alias(f"s{d}") for d in range(k)]).first()
+        fit.reached = [row[f"s{d}"] or 0.0 for d in range(k)]
+    if done:
+        discard(kept)
     return fit
 
 
