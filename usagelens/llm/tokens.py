@@ -37,7 +37,7 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 LENGTH = 2048
 BATCH = 256
-CACHE, KEPT = 250_000, 60_000
+CACHE, KEPT = 400_000, 200_000
 TOGETHER = 512
 ROWS = 64
 
@@ -56,8 +56,8 @@ class Encoder:
 
     The library splits a text into pieces and encodes each by itself, so the ids of a piece are remembered (at most
     ``CACHE`` between calls; of these the first ``KEPT``, most of them common, outlive a clean-up) and only new pieces are
-    encoded, words up to ``TOGETHER`` in one call. A text with a character outside the Latin range, or with the text of
-    a special token, goes through the library as a whole.
+    encoded, words up to ``TOGETHER`` in one text; the bytes of the tokens tell where each word's ids end. A text with a
+    character outside the Latin range, or with the text of a special token, goes through the library as a whole.
     """
 
     def __init__(self, path: str):
@@ -66,6 +66,9 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.width = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)  # a character of a token stands for a byte
+        for token, at in self.tokenizer.get_vocab().items():
+            self.width[at] = len(token)
         self.known: dict[str, bytes] = {}
 
     def _direct(self, texts: list[str]) -> list[bytes]:
@@ -75,15 +78,20 @@ class Encoder:
         ]
 
     def _learn(self, pieces: list[str]) -> None:
-        words = [p for p in pieces if _WORD.fullmatch(p)]
-        rest = [p for p in pieces if not _WORD.fullmatch(p)]
-        for k in range(0, len(words), TOGETHER):
-            part = words[k : k + TOGETHER]
-            found = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            of, ids = np.array(found.word_ids), np.array(found.ids, dtype=self.kind)
-            ends = np.searchsorted(of, np.arange(len(part)), side="right")
-            raw, size = ids.tobytes(), self.kind.itemsize
-            self.known.update((p, raw[size * a : size * b]) for p, a, b in zip(part, [0, *ends[:-1]], ends))
+        words, rest = [], []
+        for p in pieces:
+            (words if _WORD.fullmatch(p) else rest).append(p)
+        if words:
+            texts = ["".join(words[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)]
+            ids = np.concatenate([np.array(e.ids, dtype=self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            bytes_to, word_ends = np.cumsum(self.width[ids]), np.cumsum([len(w.encode()) for w in words])
+            ends = np.searchsorted(bytes_to, word_ends) + 1
+            if ends[-1] == len(ids) and np.array_equal(bytes_to[ends - 1], word_ends):
+                raw, size = ids.tobytes(), self.kind.itemsize
+                cuts = (size * ends).tolist()
+                self.known.update((w, raw[a:b]) for w, a, b in zip(words, [0, *cuts], cuts))
+            else:  # not a vocabulary of bytes
+                rest += words
         if rest:
             self.known.update(zip(rest, self._direct(rest)))
 
@@ -92,11 +100,10 @@ class Encoder:
         pieces = [_PIECES.findall(t) if p else [] for t, p in zip(texts, plain)]
         if len(self.known) > CACHE:
             self.known = dict(islice(self.known.items(), KEPT))
-        known = self.known
-        self._learn(sorted(set().union(*(set(found).difference(known) for found in pieces))))
-        return [
-            b"".join(map(known.__getitem__, found)) if p else self._direct([t])[0] for t, p, found in zip(texts, plain, pieces)
-        ]
+        needed = set().union(*pieces)
+        self._learn(sorted(needed.difference(self.known)))
+        here = {p: self.known[p] for p in needed}  # small, so quick to look up
+        return [b"".join(map(here.__getitem__, found)) if p else self._direct([t])[0] for t, p, found in zip(texts, plain, pieces)]
 
 
 _encoders: dict[str, Encoder] = {}
