@@ -114,7 +114,7 @@ def stepped(posteriors: DataFrame, steps: list[list[float]], lower: float) -> Da
     if not steps:
         return posteriors.withColumn("rate", value)
     k, n = len(steps[0]), -(-len(steps) // FOLDED) * FOLDED
-    numbers = [g for step in steps for g in step] + [0.0] * (k * (n - len(steps)))
+    numbers = [float(g) for step in steps for g in step] + [0.0] * (k * (n - len(steps)))
     row = posteriors.sparkSession.sql(f"SELECT * FROM VALUES (array({', '.join(f'{g!r}D' for g in numbers)})) AS t(steps)")
     for i in range(n):
         move = sum((F.get("posterior", d) * F.get("steps", i * k + d) for d in range(k)), F.lit(0.0))
