@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagelens.llm import simhash
-from usagelens.llm.shared import components, discard, stored
+from usagelens.llm.shared import components, discard, release, stored
 
 WORDS = 5
 NUM, DEN = 4, 5  # similarity 0.8
@@ -83,6 +83,7 @@ def _frequent(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     texts = documents.select(key.alias("k"), F.col("text").cast("binary").alias("text")).where(F.pmod(F.xxhash64(F.lit(7), "k"), F.lit(share)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # what the stage before kept
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 found = [shingles(text.as_py() or b"") for text in batch.column(1).slice(k, ROWS)]
@@ -103,6 +104,7 @@ def _sets(documents: DataFrame) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(_frequent(documents))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # what the stage before kept
         common, counts = shared.value
         for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             hashed = [list(simhash.shingle_hashes(text.as_py() or b"", WORDS)) for text in batch.column(2)]

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from usagelens.llm.shared import components, stored, table
+from usagelens.llm.shared import components, small_batches, stored, table
 
 WORDS = 3
 RADIUS = 2
@@ -280,6 +280,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles with a Jaccard similarity of at least 0.8."""
     from usagelens.llm import neardup  # which builds on this module
 
+    small_batches(spark)
     return standing_for(docs, neardup.near_duplicates(docs), neardup.text_print)
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from usagelens.llm.shared import new_folder, publish, store, table
+from usagelens.llm.shared import kept, new_folder, publish, small_batches, store, table
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
@@ -106,14 +106,9 @@ class Encoder:
         return [b"".join(map(here.__getitem__, found)) if p else self._direct([t])[0] for t, p, found in zip(texts, plain, pieces)]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder per worker process, kept for its later tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One encoder per worker process, kept for its later tasks until one of another operator keeps something."""
+    return kept(path, lambda: Encoder(path))
 
 
 class PartWriter:
@@ -265,6 +260,7 @@ def encode_documents(documents: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return encode_documents(docs)
 
 

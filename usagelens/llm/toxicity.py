@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm.shared import stored, table
+from usagelens.llm.shared import kept, small_batches, stored, table
 
 EXAMPLES = 20_000
 FEATURES = 4096
@@ -48,7 +48,6 @@ WORD_CACHE = 50_000
 COUNTED = 50_000
 
 _WORD = re.compile(r"[^\W\d_]+")
-_RECENT: list = [None, {}]
 
 
 def word_features(word: str) -> list[str]:
@@ -72,7 +71,7 @@ def chi_squared(with_toxic: np.ndarray, with_all: np.ndarray, toxic: int, total:
     return np.where(below > 0, total * (a * d - b * c) ** 2 / np.maximum(below, 1e-12), 0.0)
 
 
-@dataclass
+@dataclass(eq=False)
 class Space:
     """The vector space: feature ids and inverse document frequencies."""
 
@@ -81,9 +80,7 @@ class Space:
 
     def _known(self) -> dict[str, tuple[int, ...]]:
         """Terms of words met before: one bounded memory per worker, for the space it used last."""
-        if _RECENT[0] is not self:
-            _RECENT[:] = [self, {}]
-        return _RECENT[1]
+        return kept(self, dict)
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Sorted term ids and unit-length weights; empty where the text has no feature."""
@@ -367,6 +364,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return without_toxic(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
