@@ -8,8 +8,9 @@ document and an item on one diagonal (document position minus item position) for
 the item must stand for equal values of the document (slot consistency). A document is contaminated by an item if
 consistent windows cover at least ``THRESHOLD`` of the item's windows.
 
-Benchmark windows are broadcast in blocks of at most ``MAX_WINDOWS`` rows (counted first), so documents are never
-shuffled: a larger benchmark takes more passes over the documents, not more memory.
+Documents are read once and never shuffled. What is broadcast is a Bloom filter of the benchmark's hashes of at most
+``MAX_WINDOWS`` words; the few windows that pass it meet the benchmark windows in a join by hash. Items of equal text are
+matched once. A larger benchmark lets more windows pass by chance, which the join removes; it takes no more memory.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from usagelens.llm.shared import stored, table
 
 WINDOW = 5
 THRESHOLD = 0.8
-MAX_WINDOWS = 1_000_000
+MAX_WINDOWS = 1_000_000  # words of 64 bits
 
 # Units that may follow a number.
 UNITS = [
@@ -86,21 +87,21 @@ def windowed(texts: DataFrame, *keys: str) -> DataFrame:
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """Windows of all items: item_id, item_key, n_windows, item_at, hash, item_values.
+    """Windows of the items' different texts: item_key, n_windows, item_at, hash, item_values.
 
     A window is listed in every form a document may have it: a capitalised word as a name or as the word, and the first
     word as a name that is this word. An item shorter than a window would match any names, so only names within its
     sentences are free there, and each other word may be capitalised.
     """
-    items = benchmark.select(F.col("item_id").cast("long"), "text", F.xxhash64("text").alias("item_key")).distinct()
+    items = benchmark.select("text", F.xxhash64("text").alias("item_key")).distinct()
     long_values, short_values = _tokens(marked_text(F.col("text"))), _tokens(marked_text(F.col("text"), _INNER_NAME))
-    items = items.select("item_id", "item_key", long_values.alias("long_values"), short_values.alias("short_values"))
+    items = items.select("item_key", long_values.alias("long_values"), short_values.alias("short_values"))
     short = F.size("long_values") < WINDOW
     # stored step by step: else Spark repeats the chain of replacements wherever a later expression uses it
-    items = stored(items.select("item_id", "item_key", short.alias("short"), F.when(short, F.col("short_values")).otherwise(F.col("long_values")).alias("values")), "items")
+    items = stored(items.select("item_key", short.alias("short"), F.when(short, F.col("short_values")).otherwise(F.col("long_values")).alias("values")), "items")
     n_windows = F.when(F.size("values") > 0, F.greatest(F.size("values") - WINDOW + 1, F.lit(1))).otherwise(0)
     at = items.withColumn("n_windows", n_windows).where("n_windows > 0").select(
-        "item_id", "item_key", "short", "n_windows", "values", F.explode(F.sequence(F.lit(0), F.col("n_windows") - 1)).alias("item_at")
+        "item_key", "short", "n_windows", "values", F.explode(F.sequence(F.lit(0), F.col("n_windows") - 1)).alias("item_at")
     ).withColumn("item_values", F.slice("values", F.col("item_at") + 1, WINDOW))
 
     def forms(v: Column, k: Column) -> Column:
@@ -113,7 +114,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     picked = F.transform("forms", lambda f, k: F.when(F.expr("mask").bitwiseAND(F.pow(F.lit(2), k).cast("int")) > 0, f["other"]).otherwise(f["usual"]))
     listed = stored(listed.where(F.col("mask") < F.pow(F.lit(2), F.size("forms"))).withColumn("tokens", picked), "forms_picked")
     listed = listed.where(F.forall("tokens", lambda t: t.isNotNull()))
-    return listed.select("item_id", "item_key", "n_windows", "item_at", windows(F.col("tokens"))[0].alias("hash"), "item_values").distinct()
+    return listed.select("item_key", "n_windows", "item_at", windows(F.col("tokens"))[0].alias("hash"), "item_values").distinct()
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -125,25 +126,26 @@ def contamination(documents: DataFrame, benchmark: DataFrame, threshold: float =
     NULL id are told apart by ``text_key`` (xxhash64 of the text); repeated rows give one row. Other columns are
     ignored; empty tables give no rows.
     """
+    ids = benchmark.select(F.col("item_id").cast("long"), F.xxhash64("text").alias("item_key")).distinct()
+    return (
+        _contaminated(documents, benchmark, threshold).join(ids, "item_key")
+        .groupBy("doc_id", "text_key", "item_id")
+        .agg(F.max(F.struct((F.col("matched") / F.col("n_windows")).alias("containment"), "matched", "n_windows", "verbatim")).alias("b"))
+        .select("doc_id", "text_key", "item_id", "b.matched", "b.n_windows", "b.containment", "b.verbatim")
+    )
+
+
+def _contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The same per document and text of an item: doc_id, text_key, item_key, n_windows, matched, verbatim."""
     items = stored(item_windows(benchmark), "benchmark")
-    blocks = max(1, -(-items.count() // MAX_WINDOWS))
     texts = documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
     docs = windowed(texts, "doc_id", "text_key")
-    docs = docs.select("doc_id", "text_key", "values", F.posexplode_outer("hashes").alias("at", "hash"))
-    block = F.pmod(F.xxhash64("item_id", "item_key"), F.lit(blocks))
-    found = reduce(
-        DataFrame.unionAll,
-        [
-            docs.join(F.broadcast(items.where(block == b)), "hash").select(
-                "doc_id", "text_key", "item_id", "item_key", "n_windows", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"),
-                "item_values", F.slice("values", F.col("at") + 1, WINDOW).alias("doc_values"),
-            )
-            for b in range(blocks)
-        ],
-    )
+    docs = _in_filter(docs.select("doc_id", "text_key", "values", F.posexplode_outer("hashes").alias("at", "hash")), items)
+    docs = docs.select("doc_id", "text_key", "at", "hash", F.slice("values", F.col("at") + 1, WINDOW).alias("doc_values"))
+    found = docs.join(items, "hash").withColumn("diagonal", F.col("at") - F.col("item_at")).drop("hash", "at")
     # filtered once stored: as a condition of the join, the test would take each window's row with its whole text along
     found = stored(_with_slots(found), "windows").where("fits").drop("fits")
-    pair = ["doc_id", "text_key", "item_id", "item_key"]
+    pair = ["doc_id", "text_key", "item_key"]
     covered = found.groupBy(*pair, "n_windows").agg(F.count_distinct("item_at").alias("hits"))
     likely = covered.where(F.col("hits") >= threshold * F.col("n_windows")).select(*pair)
     same_pair = reduce(Column.__and__, [F.col(f"f.{c}").eqNullSafe(F.col(f"l.{c}")) for c in pair])
@@ -151,6 +153,16 @@ def contamination(documents: DataFrame, benchmark: DataFrame, threshold: float =
     return _consistent(found, pair, threshold)
 
 
+def _in_filter(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``hash`` may be one of ``items``: all that are, and of the others about one in 10,000 while
+    the hashes are fewer than ``MAX_WINDOWS``. A hash sets four bits of one word."""
+    words = max(1, min(MAX_WINDOWS, items.count()))
+    word = F.pmod("hash", F.lit(words))
+    mask = F.expr(" | ".join(f"shiftleft(1L, cast(shiftrightunsigned(hash, {k}) & 63 AS int))" for k in (40, 46, 52, 58)))
+    bits = items.select(word.alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits"))
+    return docs.withColumn("word", word).join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(mask) == mask)
+
+
 def _with_slots(found: DataFrame) -> DataFrame:
     """``slots``: the placeholders of the window with the values of item and document; most windows have none.
 
@@ -186,9 +198,6 @@ def _consistent(found: DataFrame, pair: list[str], threshold: float) -> DataFram
         .groupBy(*pair, "n_windows")
         .agg(F.count_distinct("item_at").alias("matched"), F.bool_and("verbatim").alias("verbatim"))
         .where(F.col("matched") >= threshold * F.col("n_windows"))
-        .groupBy("doc_id", "text_key", "item_id")
-        .agg(F.max(F.struct((F.col("matched") / F.col("n_windows")).alias("containment"), "matched", "n_windows", "verbatim")).alias("b"))
-        .select("doc_id", "text_key", "item_id", "b.matched", "b.n_windows", "b.containment", "b.verbatim")
     )
 
 
