@@ -36,3 +36,18 @@ def test_the_filter_lets_every_window_of_an_item_pass(spark):
     got = {r.hash for r in decontamination._in_filter(hashes, items).collect()}
     assert {r.hash for r in items.collect()} <= got and len(got) < 550
     assert decontamination._in_filter(hashes, items.limit(0)).count() == 0
+
+
+def test_the_stage_does_not_shuffle_texts(spark, monkeypatch, tmp_path, docs, benchmark):
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame = docs((1, TEXTS[0]), (2, "some clean words"), (None, TEXTS[1]), (3, None))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = decontamination.stage(spark, frame, str(tmp_path))
+        assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+        assert {r.doc_id for r in out.collect()} == {2, 3}
+        monkeypatch.setattr(decontamination, "FEW_KEYS", 1)
+        assert {r.doc_id for r in decontamination.stage(spark, frame, str(tmp_path)).collect()} == {2, 3}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

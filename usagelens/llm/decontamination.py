@@ -25,6 +25,7 @@ from usagelens.llm.shared import stored, table
 WINDOW = 5
 THRESHOLD = 0.8
 MAX_WINDOWS = 1_000_000  # words of 64 bits
+FEW_KEYS = 500_000  # keys of contaminated documents that the stage sends to the documents; more are joined by a shuffle
 
 # Units that may follow a number.
 UNITS = [
@@ -208,10 +209,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that no benchmark item contaminates, all columns as they are."""
     bad = stored(
-        contamination(docs, table(spark, sf_dir, "benchmark"))
+        _contaminated(docs, table(spark, sf_dir, "benchmark"))
         .select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct(),
         "contaminated",
     )
+    bad = F.broadcast(bad) if bad.count() <= FEW_KEYS else bad
     return docs.join(
         bad, docs["doc_id"].cast("long").eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs["text"]) == bad["bad_key"]), "left_anti"
     )
