@@ -128,10 +128,12 @@ def fact_customer_month(
 
 def star_schema(
     customers: DataFrame, plans: DataFrame, models: DataFrame, months: DataFrame, runs: DataFrame,
-    keyed_runs: Callable[[DataFrame], DataFrame] | None = None,
+    keyed_runs: Callable[[DataFrame], DataFrame] | None = None, customer_dim: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """All seven tables; the dimensions are shared by the facts. ``keyed_runs`` gives the runs with the key of a customer dimension."""
-    customer_dim, plan_dim, model_dim = dim_customer(customers), dim_plan(plans), dim_model(models)
+    """All seven tables; the dimensions are shared by the facts. ``keyed_runs`` gives the runs with the key of a customer
+    dimension, ``customer_dim`` is the dimension of ``customers`` if there is one."""
+    plan_dim, model_dim = dim_plan(plans), dim_model(models)
+    customer_dim = dim_customer(customers) if customer_dim is None else customer_dim
     task_dim = dim_task(runs)
     return {
         "dim_customer": customer_dim,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Collection, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,17 +54,37 @@ def run_report_catalog(
             frame.unpersist()
 
 
-def write_star_schema(star: Mapping[str, DataFrame], folder: str) -> dict[str, str]:
-    """IO5: one CSV folder per star table; facts are partitioned by month."""
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when the write that made them ends, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def write_star_schema(
+    star: Mapping[str, DataFrame], folder: str, compression: str = "none", as_read: Collection[str] = ()
+) -> dict[str, str]:
+    """IO5: one CSV folder per star table; facts are partitioned by month.
+
+    A fact in ``as_read`` is not dealt out by month first, which costs a shuffle of all its rows: each task that reads it
+    writes a file per month. That is for facts read from files, whose tasks have a set size. They are written last, when
+    the others' shuffles are gone.
+    """
     paths = {}
-    for name, frame in star.items():
+    for name, frame in sorted(star.items(), key=lambda table: table[0] in as_read):
         path = f"{folder}/{name}"
         if name.startswith("fact_"):
             # rebalance: adaptive execution merges small months and splits large ones by size
             month = F.floor(F.col("date_key") / 100).cast("int")
-            by_month = frame.withColumn("month_key", month).hint("rebalance", "month_key")
-            by_month.write.mode("overwrite").option("header", True).partitionBy("month_key").csv(path)
+            by_month = frame.withColumn("month_key", month)
+            by_month = by_month if name in as_read else by_month.hint("rebalance", "month_key")
+            by_month.write.mode("overwrite").option("header", True).partitionBy("month_key").csv(path, compression=compression)
         else:
-            frame.write.mode("overwrite").option("header", True).csv(path)
+            frame.write.mode("overwrite").option("header", True).csv(path, compression=compression)
         paths[name] = path
-    return paths
+    return {name: paths[name] for name in star}
